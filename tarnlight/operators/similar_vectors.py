@@ -1,0 +1,208 @@
+"""The most similar vectors of every vector, by counting collisions on single-projection arrays.
+
+1. Vectors of exactly one direction are one class, so that copies cost nothing however many there are.
+2. Every class enters the cells of its nearest anchors. Anchors are a bounded sample of the vectors; every vector is
+   indexed. A cell holds the vectors among which windows on random lines are selective at all: over a whole
+   collection a window that catches a cosine of 0.8 covers a third of any line.
+3. In a cell each vector is projected on random lines; every line is a sorted array. Around each query a window of
+   radius R is opened on all lines; R grows by a constant factor (virtual rehashing: the arrays stay as they are).
+   Vectors that fall into the windows of enough lines are verified by their cosine. A query ends as soon as it has its
+   k vectors within R, or when R has reached the distance that belongs to the least cosine asked for.
+4. The lists of the cells are merged and copies are put back.
+
+Cells beyond ``block`` members are cut into blocks and every pair of blocks is searched in a task of its own.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+LINES, COLLISIONS, GROWTH, ROUNDS = 32, 18, 2.0, 2
+ANCHOR_EVERY, MOST_ANCHORS, CELLS_EACH, BLOCK = 64, 16_384, 3, 2048
+
+
+def _search(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, points: np.ndarray, lines: np.ndarray, k: int, least: float) -> list[tuple]:
+    """``(id, other, cosine)`` of up to k vectors per query with a cosine of at least ``least``."""
+    on_lines = points @ lines
+    order = np.argsort(on_lines, axis=0, kind="stable")
+    arrays = np.take_along_axis(on_lines, order, axis=0)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(points))[:, None], axis=0)
+    place = np.ascontiguousarray(place.T.astype(np.uint16))
+    centres = queries @ lines
+    widest = math.sqrt(max(0.0, 2 - 2 * least))
+    open_ = np.arange(len(queries))
+    found = []
+    for step in range(ROUNDS):
+        radius = widest / GROWTH ** (ROUNDS - 1 - step)
+        last = step == ROUNDS - 1
+        again = []
+        for start in range(0, len(open_), 256):
+            rows = open_[start : start + 256]
+            count = np.zeros((len(rows), len(points)), np.uint8)
+            for line in range(lines.shape[1]):
+                low = np.searchsorted(arrays[:, line], centres[rows, line] - radius).astype(np.uint16)
+                high = np.searchsorted(arrays[:, line], centres[rows, line] + radius, "right").astype(np.uint16)
+                count += (place[line][None, :] - low[:, None]) < (high - low)[:, None]
+            q, p = np.nonzero(count >= COLLISIONS)
+            differ = ids[rows[q]] != others[p]
+            q, p = q[differ], p[differ]
+            cosine = np.empty(len(q), np.float32)
+            for a in range(0, len(q), 65_536):
+                cosine[a : a + 65_536] = np.einsum("ij,ij->i", queries[rows[q[a : a + 65_536]]], points[p[a : a + 65_536]])
+            near = cosine >= least
+            q, p, cosine = q[near], p[near], cosine[near]
+            by = np.lexsort((others[p], -cosine, q))
+            q, p, cosine = q[by], p[by], cosine[by]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            top = nth < k
+            q, p, cosine, nth = q[top], p[top], cosine[top], nth[top]
+            if last:
+                ended = np.ones(len(rows), bool)
+            else:
+                ended = np.zeros(len(rows), bool)
+                ended[q[(nth == k - 1) & (cosine >= 1 - radius * radius / 2)]] = True
+            out = ended[q]
+            found.append((ids[rows[q[out]]], others[p[out]], cosine[out]))
+            again.append(rows[~ended])
+        open_ = np.concatenate(again) if again else open_[:0]
+    return found
+
+
+def unit_vectors(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """``(id, direction, unit)`` of the usable vectors: ``width`` finite numbers, not all zero.
+
+    ``unit`` is the vector at length 1 in 16-bit steps of its largest number, ``direction`` a hash of it; a row
+    written twice appears twice.
+    """
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(1)
+            x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            steps = np.rint(x * 32767).astype("<i2")
+            units = [row.tobytes() for row in steps]
+            marks = [hashlib.md5(unit).digest() for unit in units]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(units, pa.binary())], names=["id", "direction", "unit"])
+
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where((F.size(v) == width) & F.col("id").isNotNull())
+    usable = usable.where(F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False)))
+    return usable.mapInArrow(run, "id long, direction binary, unit binary")
+
+
+def _matrix(units: list[bytes], width: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(units), "<i2").reshape(-1, width).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blob", k: int = 5, least: float = 0.8, width: int = 96, seed: int = 7, block: int = BLOCK) -> DataFrame:
+    """``(id, other, cosine, place)``: for every usable vector its up to k most similar others with cosine >= least.
+
+    Every row is a query and every row is indexed. Rows without a usable vector (null, other width, a null, infinite or
+    NaN number, all zero) or without an id do not appear; a row written twice is one row; other columns are
+    ignored. Ties go to the smaller id, also among copies. No usable vector gives no rows.
+    """
+    spark = df.sparkSession
+    rows = df.count()
+    anchors = int(min(MOST_ANCHORS, max(16, rows // ANCHOR_EVERY)))
+    sample = 4 * anchors
+    units = unit_vectors(df, key, vector, width)
+    share = min(1.0, sample / max(rows, 1))
+    picked = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    drawn = unit_vectors(picked, key, vector, width).select("unit").distinct().limit(2 * sample).collect()
+    kept = sorted(bytes(r.unit) for r in drawn)
+    if not kept:
+        return spark.createDataFrame([], "id long, other long, cosine float, place int")
+    rng = np.random.default_rng(seed)
+    pool = _matrix(kept, width)
+    centre = pool[rng.permutation(len(pool))[:anchors]]
+    near = np.argsort(-(pool @ centre.T), axis=1)[:, :CELLS_EACH]
+    expected = np.bincount(near.ravel(), minlength=len(centre)) * (rows / len(pool))
+    blocks = np.maximum(1, np.ceil(expected / block)).astype(int)
+    shared = spark.sparkContext.broadcast((centre, blocks, rng.standard_normal((width, LINES)).astype(np.float32)))
+
+    classes = units.groupBy("direction").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n"), F.first("unit").alias("unit"))
+
+    def assign(batches):
+        import pyarrow as pa
+
+        centre, blocks, _ = shared.value
+        each = min(CELLS_EACH, len(centre))
+        for batch in batches:
+            ids, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for start in range(0, len(ids), 2048):
+                some = units[start : start + 2048]
+                if not some:
+                    continue
+                closeness = _matrix(some, width) @ centre.T
+                cells = np.argpartition(-closeness, each - 1, axis=1)[:, :each]
+                out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+                for i, own in enumerate(cells):
+                    for cell in own:
+                        n = int(blocks[cell])
+                        mine = int(ids[start + i]) * 2654435761 % 4294967296 * n >> 32
+                        for other in range(n):
+                            for column, value in zip(out, (int(cell), min(mine, other), max(mine, other), mine, start + i)):
+                                column.append(value)
+                at = np.array(out[4])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, pa.int32()) for x in out[:4]), pa.array(ids[at], pa.int64()), pa.array([units[i] for i in at], pa.binary())],
+                    names=["cell", "a", "b", "own", "id", "unit"],
+                )
+
+    placed = classes.select("id", "unit").mapInArrow(assign, "cell int, a int, b int, own int, id long, unit binary")
+
+    def search(table):
+        import pyarrow as pa
+
+        lines = shared.value[2]
+        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
+        x = _matrix(table.column("unit").to_pylist(), width)
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        if a == b:
+            found = _search(ids, x, ids, x, lines, k, least)
+        else:
+            one, two = own == a, own == b
+            found = _search(ids[one], x[one], ids[two], x[two], lines, k, least) + _search(ids[two], x[two], ids[one], x[one], lines, k, least)
+        parts = [np.concatenate(p) for p in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
+        return pa.table(parts, names=["id", "other", "cosine"])
+
+    links = placed.groupBy("cell", "a", "b").applyInArrow(search, "id long, other long, cosine float")
+    links = links.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    links = links.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+    # copies: the first k + 1 ids of each class that has more than one, found in salted steps
+    copied = classes.where("n > 1").select("direction", F.col("id").alias("head"), "n")
+    members = units.select("id", "direction").join(copied, "direction").select("head", "n", "id").distinct()
+    salted = Window.partitionBy("head", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    whole = Window.partitionBy("head").orderBy("id")
+    first = members.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
+    first = first.groupBy("head").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    inside = members.join(first.select("head", "ids"), "head").select("id", F.explode("ids").alias("other"), F.lit(1.0).cast("float").alias("cosine")).where("id <> other")
+    between = (
+        links.join(first.select(F.col("head").alias("id"), F.col("n").alias("n"), F.col("ids").alias("own")), "id", "left")
+        .join(first.select(F.col("head").alias("other"), F.col("ids").alias("theirs")), "other", "left")
+        .where(F.coalesce(F.col("n"), F.lit(1)) <= k)
+        .select(F.explode(F.coalesce("own", F.array("id"))).alias("id"), F.coalesce("theirs", F.array("other")).alias("theirs"), "cosine")
+        .select("id", F.explode("theirs").alias("other"), "cosine")
+    )
+    both = inside.unionByName(between)
+    return both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.8, **options) -> DataFrame:
+    """``(id_a, id_b)``, id_a < id_b: pairs of which either is among the k most similar of the other."""
+    found = similar_vectors(df, k=k, least=least, **options)
+    return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

@@ -1,0 +1,17 @@
+"""Queries of the general operators for training data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnlight.operators.similar_vectors import similar_pairs
+from tarnlight.session import read, union_all
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    tables = ("atomic_memories", "hypotheses")
+    return union_all([similar_pairs(read(spark, folder, t)).select(F.lit(t).alias("collection"), "id_a", "id_b") for t in tables])
+
+
+QUERIES = {"p2_found": p2_found}
