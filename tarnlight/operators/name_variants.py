@@ -1,0 +1,231 @@
+"""Variant spellings of names, linked by merging matched profiles and matching the richer profiles again.
+
+A name is parsed once into a person (surname, given name or initial, middle initials) or an organisation (core word,
+initials of its kind). Equal parses are one profile. In each round profiles meet in blocks (the surname or core and
+its forms with one letter left out, so that one-letter slips share a block), matched profiles are merged through
+connected components, and the merged profile carries all spellings, given names and initials of its members into the
+next round. The rounds end when nothing merges any more. Work is done on distinct names, so a name that holds a third
+of the rows is one record.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarnlight.operators.components import connected_components
+from tarnlight.session import cut
+
+# Short and pet forms of given names, with the full forms they may stand for.
+PET_FORMS = {
+    "alexander": "alex alec sandy sasha xander al", "aleksandra": "ola sasha alex sandra", "alexandra": "alex sandra sasha lexi",
+    "anais": "nana", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny benji",
+    "bjorn": "", "casimir": "caz kazik caspar", "catherine": "cathy kate katie kit", "charles": "charlie chuck chas", "charlotte": "charlie lottie lotte char",
+    "christopher": "chris kit topher", "daniel": "dan danny", "daniela": "dani danni ella", "david": "dave davy", "dorothea": "dora thea dot dorrie dolly",
+    "edmund": "ned ed eddie ted", "edward": "ed eddie ned ted", "elizabeth": "liz beth eliza betty lizzie lisa bess libby elsie", "francisco": "paco pancho paquito fran",
+    "frederick": "fred freddie freddy rick", "giulia": "giuli julia", "gregory": "greg gregg", "haruto": "haru", "hendrik": "henk rik hen",
+    "henrietta": "etta hettie hattie henny retta", "henry": "harry hank hal", "ingrid": "inga inge", "isabella": "bella izzy isa ella belle", "james": "jim jimmy jamie",
+    "jennifer": "jen jenny", "john": "jack johnny", "jose": "pepe chepe joselito", "joseph": "joe joey", "josephine": "jo josie fifi posy", "jurgen": "jurg",
+    "katherine": "kathy kate katie kat kitty kit kay", "kwame": "", "leonard": "leo len lenny", "lukasz": "lukas luka", "malgorzata": "gosia malgosia", "margaret": "maggie peggy meg greta madge daisy",
+    "marisol": "mari sol", "matthew": "matt", "michael": "mike mick mikey", "mirela": "mira", "nathaniel": "nat nate nathan", "nicholas": "nick nicky", "noor": "",
+    "olena": "lena olenka", "ondrej": "ondra", "patricia": "pat patty trish", "philippa": "pippa pip", "priya": "", "quentin": "quinn", "renee": "ren",
+    "richard": "rick dick rich", "robert": "bob rob bobby robbie bert", "rosalind": "roz rosie ros rosa lindy", "samuel": "sam sammy", "soren": "", "stephen": "steve",
+    "susannah": "sue susie suzy sanna", "thandiwe": "thandi", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "tomasz": "tomek tomas",
+    "ursula": "ulla uschi ursa", "victoria": "vicky tori vic vicki", "viktor": "vitya vik", "wilhelmina": "willa mina minnie billie wilma", "william": "will bill billy willy liam",
+    "xavier": "xavi xav", "yusuf": "yus", "zoe": "",
+}
+# Words that tell an organisation, with their usual abbreviations.
+KIND_WORDS = {
+    "association": "assoc assn", "centre": "ctr center cntr", "college": "coll", "company": "co", "consulting": "cons", "corporation": "corp", "council": "", "department": "dept dep",
+    "foundation": "fdn found", "group": "grp", "house": "", "institute": "inst", "international": "intl int", "laboratory": "lab", "learning": "lrng", "library": "lib",
+    "museum": "mus", "office": "off", "press": "", "publishing": "publ pub", "research": "res", "school": "sch", "science": "sci", "sciences": "", "society": "soc",
+    "studies": "stud", "systems": "sys", "university": "univ uni", "applied": "appl", "academy": "acad", "archives": "arch", "archivists": "",
+}
+TITLES = "dr prof professor mr mrs ms mx sir dame rev phd md msc bsc ba ma mba esq jr sr dphil".split()
+LEGAL = "gmbh ab ltd limited inc sa llc plc ag bv nv oy srl spa kg as corp".split()
+SMALL_WORDS = "of for the and de du des der fur in".split()
+FULL_FORM = {short: word for word, forms in KIND_WORDS.items() for short in [word, *forms.split()]}
+SHORT_FOR: dict[str, list[str]] = {}
+for _name, _forms in PET_FORMS.items():
+    SHORT_FOR.setdefault(_name, []).append(_name)
+    for _form in _forms.split():
+        SHORT_FOR.setdefault(_form, []).append(_name)
+#: The letters that an initial may stand for: a person may sign with the initial of a pet form.
+INITIALS = {name: "".join(sorted({f[0] for f in [name, *forms.split()]})) for name, forms in PET_FORMS.items()}
+LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
+
+
+def fold(text: str) -> str:
+    """Lower case without diacritics."""
+    plain = unicodedata.normalize("NFKD", text.lower().translate(LETTERS))
+    return "".join(c for c in plain if not unicodedata.combining(c))
+
+
+def respell(word: str) -> str:
+    """One letter for letters that sound alike."""
+    return word.replace("ph", "f").replace("ck", "k").replace("c", "k").replace("y", "i")
+
+
+def one_slip(a: str, b: str) -> bool:
+    """True if a and b differ by one letter changed, added, left out, or by two neighbours swapped."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    x, y = a[i:], b[i:]
+    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
+
+
+def _is_given(word: str) -> bool:
+    return word in SHORT_FOR or (len(word) > 3 and any(abs(len(word) - len(g)) < 2 and one_slip(word, g) for g in PET_FORMS))
+
+
+def parse_name(name: str | None) -> tuple | None:
+    """``(kind, head, given, sure, middle)`` of a name, or None if it is neither a person's nor an organisation's.
+
+    ``kind`` is person or organisation, ``head`` the surname or core word, ``given`` the full forms the given
+    name may stand for (or its initial) or the initials of the organisation's kind, ``sure`` whether ``given`` is one
+    full name, ``middle`` the middle initials.
+    """
+    if not name or not name.strip():
+        return None
+    parts = [re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\.", p.replace("S.A.", "SA").replace("s.a.", "sa").replace("Ph.D", "PhD")) for p in name.split(",")]
+    parts = [[w for w in p if w != "."] for p in parts]
+    raw = [w for p in parts for w in p]
+    folded = [[fold(w) for w in p] for p in parts]
+    flat = [w for p in folded for w in p]
+    legal = any(w in LEGAL for w in flat[1:])
+    last = raw[-1] if raw else ""
+    short = len(raw) == 2 and last.isupper() and 2 <= len(last) <= 4 and fold(last) not in SHORT_FOR and not _is_given(flat[0]) and len(flat[0]) > 2 and fold(last) not in TITLES
+    kinds = [w for w in flat if w in FULL_FORM]
+    if legal or short or kinds:
+        pieces = [[w for w in p if w not in LEGAL] for p in folded]
+        pieces = [p for p in pieces if p]
+        words = [w for p in (reversed(pieces) if len(pieces) > 1 else pieces) for w in p if w != "the"]
+        if len(words) < 2 or words[0] in SMALL_WORDS:
+            return None if len(words) != 1 or not legal else ("organisation", respell(words[0]), [""], True, [])
+        if short:
+            return "organisation", respell(words[0]), [words[-1]], True, []
+        return "organisation", respell(words[0]), ["".join(w[0] for w in words[1:] if w not in SMALL_WORDS)], True, []
+    pieces = [[w for w in p if w not in TITLES] for p in folded]
+    pieces = [p for p in pieces if p]
+    words = [w for p in pieces for w in p]
+    if len(words) < 2 or len(words) > 5:
+        return None
+    if len(pieces) > 1:
+        head, rest = pieces[0][-1], [w for p in pieces[1:] for w in p] + pieces[0][:-1]
+    elif (len(words[-1]) == 1 or _is_given(words[-1])) and len(words[0]) > 1 and not _is_given(words[0]):
+        head, rest = words[0], [*words[-1:], *words[1:-1]]
+    else:
+        head, rest = words[-1], words[:-1]
+    given = rest[0]
+    middle = sorted({w[0] for w in rest[1:]})
+    if len(given) == 1:
+        return "person", respell(head), [given], False, middle
+    full = SHORT_FOR.get(given) or [g for g in PET_FORMS if len(given) > 2 and one_slip(given, g)] or [given]
+    return "person", respell(head), sorted(full), len(full) == 1, middle
+
+
+def parse_names(names: DataFrame) -> DataFrame:
+    """``(name, kind, head, given, sure, middle)`` of the distinct non-null names that can be parsed."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(name, *parsed) for name in batch["name"] if (parsed := parse_name(name))]
+            yield pd.DataFrame(rows, columns=["name", "kind", "head", "given", "sure", "middle"])
+
+    distinct = names.select("name").where("name is not null").distinct()
+    return distinct.mapInPandas(run, "name string, kind string, head string, given array<string>, sure boolean, middle array<string>")
+
+
+def link_variants(names: DataFrame) -> DataFrame:
+    """``(name, entity)``: every parsed name with the smallest name of its entity; input column ``name``.
+
+    Null, empty and unparsable names (a single word without a legal form, digits, junk) get no row. Names
+    that differ only in case, spacing, accents, titles, order, pet form or legal form parse alike. Repeated names
+    count once. No names give no rows. A short form or an initial that fits several persons stays unlinked.
+    """
+    parsed = cut(parse_names(names))
+    entry = ["kind", "head", "given", "sure"]
+    spelling = parsed.groupBy(*entry).agg(
+        F.min("name").alias("root"),
+        F.count("*").alias("support"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("middle")))).alias("middle"),
+    )
+    heads = parsed.groupBy("kind", "head").agg(F.count("*").alias("head_support"))
+    rows = cut(spelling.join(heads, ["kind", "head"]))
+    labels = rows.select(*entry, "root")
+    same_slip = F.udf(lambda a, b: one_slip(a, b), "boolean")
+
+    def block(df: DataFrame) -> DataFrame:
+        less = F.transform(F.sequence(F.lit(1), F.length("head")), lambda i: F.concat(F.col("head").substr(F.lit(1), i - 1), F.col("head").substr(i + 1, F.length("head"))))
+        return df.withColumn("key", F.explode(F.array_distinct(F.concat(F.array("head"), F.when(F.length("head") > 4, less).otherwise(F.array().cast("array<string>"))))))
+
+    blocked = block(rows.select(*entry, "support", "head_support"))
+    met = (
+        blocked.alias("a")
+        .join(blocked.alias("b"), ["key", "kind"])
+        .where("(a.head < b.head) or (a.head = b.head and a.given < b.given)")
+        .select("kind", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("head", "given", "sure", "support", "head_support")])
+        .distinct()
+    )
+    met = met.withColumn("equal_head", F.col("a_head") == F.col("b_head"))
+    met = met.withColumn("overlap", F.arrays_overlap("a_given", "b_given"))
+    letters = F.create_map(*[F.lit(x) for pair in INITIALS.items() for x in pair])
+
+    def stands_for(short: str, full: str, direct: bool):
+        return F.exists(short, lambda g: (F.length(g) == 1) & F.exists(full, lambda h: h.startswith(g) if direct else F.coalesce(letters[h], h.substr(1, 1)).contains(g)))
+
+    met = met.withColumn("direct", F.col("overlap") | stands_for("a_given", "b_given", True) | stands_for("b_given", "a_given", True))
+    met = met.withColumn("initial", stands_for("a_given", "b_given", False) | stands_for("b_given", "a_given", False))
+    met = met.withColumn("given_slip", F.col("a_sure") & F.col("b_sure") & (F.length(F.col("a_given")[0]) > 1) & (F.length(F.col("b_given")[0]) > 1) & same_slip(F.col("a_given")[0], F.col("b_given")[0]))
+    person = F.col("kind") == "person"
+    met = met.where((F.col("equal_head") & ((person & (F.col("overlap") | F.col("initial") | F.col("given_slip"))) | (~person & F.col("given_slip")))) | (~F.col("equal_head") & (F.col("overlap") | (person & F.col("initial")))))
+    met = met.where(F.col("equal_head") | same_slip("a_head", "b_head"))
+    fewer, more = F.least("a_head_support", "b_head_support"), F.greatest("a_head_support", "b_head_support")
+    met = met.where(F.col("equal_head") | (fewer <= 2) | ((fewer == 3) & (more >= 10)))
+    met = cut(met.withColumn("certain", F.col("a_sure") & F.col("b_sure") & (F.col("overlap") | F.col("given_slip"))))
+
+    def side(letter: str, name: str) -> DataFrame:
+        cols = [F.col(c).alias(c if c == "kind" else f"{letter}_{c}") for c in entry]
+        return state.select(*cols, F.col("root").alias(f"{letter}_{name}"), F.col("middles").alias(f"{letter}_middle"), F.col("rooted").alias(f"{letter}_rooted"))
+
+    while True:
+        profile = labels.join(rows.select(*entry, "middle"), entry).groupBy("root").agg(
+            F.array_distinct(F.flatten(F.collect_list("middle"))).alias("middles"), F.max("sure").alias("rooted")
+        )
+        state = labels.join(profile, "root")
+        pairs = met.join(side("a", "root"), ["kind", "a_head", "a_given", "a_sure"]).join(side("b", "root"), ["kind", "b_head", "b_given", "b_sure"])
+        free = (F.size("a_middle") == 0) | (F.size("b_middle") == 0) | F.arrays_overlap("a_middle", "b_middle")
+        pairs = cut(pairs.where((F.col("a_root") != F.col("b_root")) & free))
+        certain = pairs.where("certain").select("a_root", "b_root")
+        # a profile with only initials or open short forms joins the one full profile that it fits
+        loose = pairs.where("not certain")
+        rank = F.when(F.col("equal_head") & F.col("direct"), 0).when(F.col("equal_head"), 1).when(F.col("direct"), 2).otherwise(3)
+        sides = [loose.where(f"not {x}_rooted").select(F.col(f"{x}_root").alias("u"), F.col(f"{y}_root").alias("v"), (rank + F.when(F.col(f"{y}_rooted"), 0).otherwise(4)).alias("rank")) for x, y in ("ab", "ba")]
+        towards = sides[0].union(sides[1]).groupBy("u", "v").agg(F.min("rank").alias("rank"))
+        first = towards.groupBy("u").agg(F.min("rank").alias("rank"))
+        choice = towards.join(first, ["u", "rank"]).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("b_root"))
+        unique = choice.where("n = 1").select(F.col("u").alias("a_root"), "b_root")
+        if not certain.isEmpty():
+            merges = certain
+        elif not unique.isEmpty():
+            merges = unique
+        else:
+            break
+        found = connected_components(merges, "a_root", "b_root").withColumnsRenamed({"node": "root"})
+        labels = cut(labels.join(found, "root", "left").select(*entry, F.coalesce("component", "root").alias("root")))
+    return parsed.join(labels, entry).select("name", F.col("root").alias("entity"))
+
+
+def variant_pairs(names: DataFrame) -> DataFrame:
+    """``(name_a, name_b)``, name_a < name_b by code point: every two spellings of one entity."""
+    linked = link_variants(names)
+    other = linked.select(F.col("name").alias("name_b"), "entity")
+    return linked.withColumnRenamed("name", "name_a").join(other, "entity").where("name_a < name_b").select("name_a", "name_b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlight.operators.name_variants import variant_pairs
 from tarnlight.operators.similar_vectors import similar_pairs
 from tarnlight.session import read, union_all
 
@@ -14,4 +15,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return union_all([similar_pairs(read(spark, folder, t)).select(F.lit(t).alias("collection"), "id_a", "id_b") for t in tables])
 
 
-QUERIES = {"p2_found": p2_found}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    authors = read(spark, folder, "sources").select(F.col("author").alias("name"))
+    entities = read(spark, folder, "memory_entities").select(F.col("entity").alias("name"))
+    return variant_pairs(authors.union(entities))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
