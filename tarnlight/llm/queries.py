@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import conversations, encoding
+from tarnlight.llm import conversations, encoding, leakage, residue
 from tarnlight.session import read
 
 
@@ -18,8 +18,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_corpus(read(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find_residue(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 SQL: dict[str, str] = {}
