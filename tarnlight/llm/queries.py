@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlight.llm import conversations, encoding, leakage, residue
+from tarnlight.llm import conversations, encoding, leakage, residue, scan_noise
 from tarnlight.session import read
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.scan_noise(read(spark, folder, "chunks"), read(spark, folder, "sources"))["found"]
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, folder, "memory_recall")).select("session_id", "turn", "message_id")
 
@@ -27,6 +31,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
