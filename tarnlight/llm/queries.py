@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnlight.llm import conversations, encoding, leakage, residue, scan_noise
-from tarnlight.session import read
+from tarnlight.llm import conversations, encoding, leakage, personal, residue, scan_noise
+from tarnlight.session import read, union_all
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +19,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, folder, "memory_recall")).select("session_id", "turn", "message_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    tagger = personal.train()
+    found = [
+        personal.find_personal_data(read(spark, folder, table), "id", column, tagger).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), F.explode("kinds").alias("kind"))
+        for table, column in (("memory_recall", "content"), ("atomic_memories", "fact"))
+    ]
+    return union_all(found).distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_corpus(read(spark, folder, "documents"))
 
@@ -33,6 +43,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
