@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tarnlight.llm import personal_table
-from tarnlight.operators.name_variants import FULL_FORM, LEGAL, SHORT_FOR, fold
+from tarnlight.operators.name_variants import FULL_FORM, LEGAL, PET_FORMS, SHORT_FOR, fold, one_slip
 
 TRAINING_ROWS, EPOCHS, BATCH, RATE, DECAY = 3600, 4, 48, 0.25, 2e-6
 KINDS = ["name", "email", "phone", "id", "address", "org"]
@@ -50,6 +50,8 @@ def _features(token: str) -> tuple[str, ...]:
         out.append(f"is{low}")
     if low in SHORT_FOR:
         out += ["given", f"given{shape}"]
+    elif len(low) > 4 and any(low[0] in (g[0], g[1]) and one_slip(low, g) for g in PET_FORMS):
+        out += ["nearly", f"nearly{shape}"]
     if low in FULL_FORM:
         out.append("kind")
     if low in LEGAL:
@@ -268,8 +270,10 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "id":
         return digits >= 6
     if kind == "address":
-        return digits >= 1 and len(re.findall(r"[^\W\d_]{4,}", text)) >= 1
+        return digits >= 1 and bool(re.search(r"[^\W\d_]{4,}|[^\W\d_]+\W+(?:\d+\W+)?[^\W\d_]+", text))
     words = re.findall(r"[^\W\d_]+", text)
+    if len(words[-1:]) and words[-1].isupper() and 2 <= len(words[-1]) <= 4 and not text.isupper() and words[-1] != "PhD" and fold(words[-1]) not in SHORT_FOR or any(fold(w) in FULL_FORM and len(w) > 4 for w in words):
+        return False  # the short form of an organisation
     return len(words) >= 2 and digits == 0 and "@" not in text and any(len(w) > 2 for w in words)
 
 

@@ -145,6 +145,9 @@ Strangely enough, the <adj> register stabilises everyday judgement, although nob
 Can you compare <topic> and <topic>
 Looking back, the curator decided that the <adj> map explains the memory of the <adj> index
 You keep the notes of one reader.
+the <adj> index reshapes a reader's understanding of <topic>
+a note confirms a person's working memory
+a follow-up interview without much effort simplifies the purpose of <topic>
 - the value of one <adj> inventory
 Uses <tool> instead of <tool> for <topic>
 """
@@ -177,7 +180,7 @@ def _name(r: random.Random) -> str:
     last = _surname(r)
     if r.random() < 0.15:
         last, first = _typo(last, r), first
-    if r.random() < 0.06:
+    if r.random() < 0.1:
         first = _typo(first, r)
     middle = f" {r.choice('ABCDEFGHJKLMNPRST')}." if r.random() < 0.12 else ""
     shape = r.random()
