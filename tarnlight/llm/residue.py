@@ -9,7 +9,10 @@ taken as residue too. A document is residue if it has at least one residue piece
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.session import cut
@@ -49,60 +52,91 @@ PLACEHOLDER = r"<%=?[^%\n]{0,60}%>|\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{0,60}%\}|%%[
 UNDONE = r"^\W*(todo|fixme|tbd|tba|n\.n\.|t\.b\.d\.)\b|\b(tbd|tba)\W*$|^\W*\(?(fill in( later)?|to be (written|added|done|filled in|completed|decided)|to do|to come|wird ergänzt|noch offen|à compléter|à rédiger|por (completar|escribir)|pendiente)\)?\W*$"
 BESIDE = r"^\(?(reload\b.{0,60}|(please )?(check|reload|refresh|go back|contact|return)\b.{0,60}|(reference|request id|kennung|kennziffer|vorgang|référence|referencia|incidente|incident|error id|ref|trace|ray id|code)\b.{0,40}|if this keeps happening.{0,60}|allow (them|it) .{0,60}|reason:?.{0,20}|why:?.{0,20}|because:?.{0,20})\W*$"
 # Fixed words: the vocabulary of the usual Latin filler.
-LATIN = (
+LATIN = set((
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris "
     "nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-).split()
+).split())
 # Fixed stems: a piece without any of them cannot match the patterns above; this spares most sentences the long patterns.
 STEMS = (
-    r"[{}«%<\[$]|__|xx|\.{6}|\b(?:no[ nt]|error|fehler|erreur|forbid|gateway|unavail|request|denied|timed|wrong|oops|gone|sorry|uups|ups\b|hoppla|could|cannot|can't|couldn't|refused|did not|is (?:not|no|down|under|temp|over|unav)"
-    r"|took too|moved|renamed|deleted|unexpected cond|permission|trouble|mainten|returned|slow down|rate limit|session|expired|(?:please )?try|retry|traceback|checking|this takes|status|code|http|seite|kein|kennung|existiert|verschoben|gelöscht|revenez|retournez|zurück|référence|referencia|zugriff|server|wartung|versuch"
-    r"|introuv|accès|service|indispon|veuillez|réess|une erreur|página|acceso|intént|vuelva|ha ocur|se prod|java|js\b|script|cookies|you (?:cannot|are not)|turn (?:them|it)|skript|active|activ|autoris|habilit|permit|your |this is (?:a )?|replace"
-    r"|placeholder|text|texto|texte|add |enter |insert |type |write |put |paste |blindtext|hier |platzhalter|votre|contenu|contenido|aquí|foo|test|asdf|qwer|blah?\b|abc\b|coming|under cons|lorem|todo|fixme|tbd|tba|n\.n|t\.b|fill|to (?:be|do|come)|wird erg|noch offen|à |por |pendiente"
-    r"|reload|check|refresh|go back|contact|return|reference|incident|ref\b|trace|ray id|if this|allow|reason|why|because|name>|[a-z]*exception)|error|exception|script|^#|nicht|dispon|encontr|[(]fill|[(]to"
-)
+    "not ,n't ,no longer av,no se ,no disp,no enc,no est,error,fehler,erreur,forbid,gateway,unavail,request,denied,timed,wrong,oops,gone,sorry,uups,ups,hoppla,could,cannot,refused,is down,is under,is temp,is over,is un,took too,moved,renamed,deleted,"
+    "unexpected cond,permission,trouble,mainten,returned,slow down,rate limit,expired,try ,retry,traceback,exception,checking,this takes,status,code,http,seite,kein,nicht,kennung,existiert,verschoben,gelöscht,"
+    "zurück,zugriff,wartung,versuch,introuv,accès,indispon,dispon,veuillez,réess,survenue,revenez,retournez,référence,página,acceso,intént,vuelva,ha ocur,se prod,encontr,servicio,javascript,java script,noscript, script,skript, js ,cookies,turn them,turn it,"
+    "aktivier,active,activ,autoris,habilit,permit,your ,sample text,sample cont,sample para,sample page,replace it,replace th,placeholder, text ,text text, add , enter , insert , type , write , put , paste ,blindtext,hier ,platzhalter,votre,contenu,contenido,aquí,xx, foo ,test,asdf,qwer,blah,"
+    "coming soon,under cons,lorem,todo,to do,fixme,tbd,tba,n.n,t.b,fill in,to be ,to come,wird erg,noch offen,à compl,à réd,por comp,por esc,pendiente,reload,refresh,go back,contact,incident,request id,ref:, ref ,trace,ray id,"
+    "if this,allow,reason:,why:,because:,{,},«,%%,<%,{%,<,[i,[y,[e,[a,[n,[t,[d,[p,[f,[[,${,__,....,server,service"
+).split(",")
+_BARE = re.compile(r"^[\s#>*\-|+=~`.:•]+|[\s|`]+$")
+_ENDS = re.compile(r"\n|(?<=[.!?…])\s+|(?<=[.!?…][\"')\]])\s+")
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,60}@[\w.-]{1,60}|(?<!\S)/[\w./-]+")
+_DIGITS = re.compile(r"\b(?=[0-9a-f]{0,40}[0-9])[0-9a-f]{5,}\b|\b\d+(?:[.,:/-]\d+)*\b")
+_BLANKS = re.compile(r"[\s\u200b\u200e\u200f\ufeff\u2060]+")
+_WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_RULES = {name: re.compile(rule) for name, rule in (("furniture", FURNITURE), ("error", ERROR), ("script", SCRIPT), ("filler", FILLER), ("placeholder", PLACEHOLDER), ("undone", UNDONE), ("beside", BESIDE))}
+_NONSENSE = re.compile(r"^(?:(?:x{2,}|foo|bar|baz|test|asdf|qwer|text|blah?)\b\W*){20}")
+_SENTENCE_END = re.compile(r"[.!?…]\W*$")
 SOURCES = 3
 
 
-def masked(piece: Column) -> Column:
+def masked(piece: str) -> str:
     """Lower case; addresses as @, dates, times, numbers and identifiers as #; single blanks."""
-    out = F.lower(piece)
-    out = F.regexp_replace(out, r"(https?://|www\.)\S+|[\w.+-]{1,60}@[\w.-]{1,60}|(?<!\S)/[\w./-]+", "@")
-    out = F.regexp_replace(out, r"\b(?=[0-9a-f]{0,40}[0-9])[0-9a-f]{5,}\b|\b\d+([.,:/-]\d+)*\b", "#")
-    return F.trim(F.regexp_replace(out, r"[\s\p{Z}\p{Cf}]+", " "))
+    return _BLANKS.sub(" ", _DIGITS.sub("#", _ADDRESS.sub("@", piece.lower()))).strip()
 
 
-def classify(form: Column) -> Column:
+def classify(form: str) -> str:
     """What a masked piece is: ``residue``, ``furniture``, ``label`` or ``content``."""
-    plain = F.regexp_replace(form, r"^[\s#>*\-|+=~`.:•]+|[\s|`]+$", "")
-    words = F.size(F.regexp_extract_all(form, F.lit(r"[\p{L}']+"), F.lit(0)))
-    rest = F.size(F.regexp_extract_all(F.regexp_replace(form, PLACEHOLDER, " "), F.lit(r"[\p{L}']+"), F.lit(0)))
-    latin = F.size(F.filter(F.regexp_extract_all(form, F.lit(r"[\p{L}']+"), F.lit(0)), lambda w: w.isin(LATIN)))
-    long = F.length(form) > 400
-    return (
-        F.when(long & ((latin >= words * 0.6) & (words >= 3) | form.rlike(r"^((x{2,}|foo|bar|baz|test|asdf|qwer|text|blah?)\\b\\W*){20}")), "residue")
-        .when(long, "content")
-        .when((latin >= words * 0.6) & (words >= 3), "residue")
-        .when(~form.rlike(STEMS) & (words > 6), "content")
-        .when(form.rlike(FURNITURE) | plain.rlike(FURNITURE), "furniture")
-        .when(form.rlike(PLACEHOLDER) & (rest <= 10), "residue")
-        .when((plain.rlike(UNDONE) | form.rlike(UNDONE)) & (words <= 8), "residue")
-        .when(plain.rlike(FILLER) & (words <= 60), "residue")
-        .when(plain.rlike(SCRIPT) & (words <= 25), "residue")
-        .when((plain.rlike(ERROR) | form.rlike(r"^[#\s]*#\W*$") & form.contains("# #")) & (words <= 22), "residue")
-        .when(plain.rlike(BESIDE), "label")
-        .when((words <= 6) & ~form.rlike(r"[.!?…]\W*$"), "label")
-        .when(words <= 1, "label")
-        .otherwise("content")
-    )
+    found = _WORDS.findall(form)
+    words = len(found)
+    if words >= 3 and sum(w in LATIN for w in found) >= words * 0.6:
+        return "residue"
+    if len(form) > 400:
+        return "residue" if _NONSENSE.match(form) else "content"
+    plain = _BARE.sub("", form)
+    if words <= 12 and (_RULES["furniture"].search(form) or _RULES["furniture"].search(plain)):
+        return "furniture"
+    padded = f" {plain} "
+    if any(stem in padded for stem in STEMS):
+        if _RULES["placeholder"].search(form) and len(_WORDS.findall(_RULES["placeholder"].sub(" ", form))) <= 10:
+            return "residue"
+        if words <= 8 and (_RULES["undone"].search(plain) or _RULES["undone"].search(form)):
+            return "residue"
+        if words <= 60 and _RULES["filler"].search(plain):
+            return "residue"
+        if words <= 25 and _RULES["script"].search(plain):
+            return "residue"
+        if words <= 22 and _RULES["error"].search(plain):
+            return "residue"
+        if _RULES["beside"].search(plain):
+            return "label"
+    if words <= 1 or (words <= 6 and not _SENTENCE_END.search(form)):
+        return "label"
+    return "content"
 
 
 def pieces(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``(doc, source, form, kind)``, a row per line or sentence."""
-    cut_at = r"\R|(?<=[.!?…][\"')\]]?)\s+"
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(source).alias("source"), F.explode(F.split(F.col(text), cut_at)).alias("piece"))
-    rows = rows.select("doc", "source", masked(F.col("piece")).alias("form")).where("form <> ''")
-    return rows.withColumn("kind", classify(F.col("form")))
+    """``(doc, source, h, kind)``, a row per line or sentence that is residue or content; h is the hash of its form."""
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            docs, sources, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            at, hashes, kinds = [], [], []
+            for i, value in enumerate(texts):
+                for piece in _ENDS.split(value.replace("\r", "\n")):
+                    form = masked(piece)
+                    if form:
+                        kind = classify(form)
+                        if kind in ("residue", "content"):
+                            at.append(i)
+                            hashes.append(int.from_bytes(hashlib.blake2b(form.encode(), digest_size=8).digest(), "little", signed=True))
+                            kinds.append(kind)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.take(rows), sources.take(rows), pa.array(hashes, pa.int64()), pa.array(kinds, pa.string())], names=["doc", "source", "h", "kind"])
+
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(source).alias("source"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc {documents.schema[key].dataType.simpleString()}, source long, h long, kind string")
 
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -112,8 +146,7 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     sentence of content anywhere makes a text content. A null source counts as one source. An empty table gives no rows. Whole texts are
     read; what is shuffled are hashes of the pieces that no rule names.
     """
-    rows = pieces(documents, key, text, source)
-    slim = cut(rows.select("doc", F.xxhash64("source").alias("source"), F.xxhash64("form").alias("h"), "kind").where("kind in ('residue', 'content')"))
+    slim = cut(pieces(documents, key, text, source))
     verdict = slim.groupBy("doc").agg(
         F.count_if(F.col("kind") == "residue").alias("residue"), F.count_if(F.col("kind") == "content").alias("content")
     )
