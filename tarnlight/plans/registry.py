@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tarnlight.plans import aggregates, catalog, problems, search, streams
+from tarnlight.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tarnlight.plans import problems
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+_MODULES = [catalog, aggregates, search, streams]
+QUERIES: dict[str, Query] = {n: q for m in _MODULES for n, q in m.catalogue.queries.items()} | problems.QUERIES
+SQL: dict[str, str] = {n: s for m in _MODULES for n, s in m.catalogue.sql.items()}

@@ -1,0 +1,57 @@
+import numpy as np
+
+from tarnlight.operators.similar_vectors import similar_pairs, similar_vectors
+
+SCHEMA = "id long, embedding_blob array<float>, direction string, cosine int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA)
+
+
+def groups(seed, clusters, size, noise):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((clusters, 96))
+    return [(int(c * size + n), (centres[c] + noise * rng.standard_normal(96)).astype("float32").tolist()) for c in range(clusters) for n in range(size)]
+
+
+def brute(rows, k, least):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    return {tuple(sorted((int(ids[i]), int(ids[j])))) for i in range(len(ids)) for j in np.lexsort((ids, -s[i]))[:k] if s[i, j] >= least}
+
+
+def test_recall_against_brute_force(spark):
+    rows = groups(1, 40, 12, 0.35)
+    want = brute(rows, 5, 0.8)
+    got = {(r.id_a, r.id_b) for r in similar_pairs(table(spark, rows)).collect()}
+    assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
+
+
+def test_blocks_of_a_hot_cell_lose_nothing(spark):
+    rows = groups(2, 3, 60, 0.3)
+    whole = {(r.id, r.other) for r in similar_vectors(table(spark, rows)).collect()}
+    cut = {(r.id, r.other) for r in similar_vectors(table(spark, rows), block=16).collect()}
+    assert len(whole ^ cut) <= 0.05 * len(whole)
+
+
+def test_copies_scaled_and_written_twice(spark):
+    v = groups(3, 1, 1, 0)[0][1]
+    other = groups(4, 1, 1, 0)[0][1]
+    rows = [(i, [2.0**i * x for x in v]) for i in range(9)] + [(3, [8.0 * x for x in v]), (50, other)]
+    got = {}
+    for r in similar_vectors(table(spark, rows)).collect():
+        got.setdefault(r.id, []).append((r.place, r.other))
+    assert set(got) == set(range(9))
+    assert [o for _, o in sorted(got[0])] == [1, 2, 3, 4, 5] and [o for _, o in sorted(got[8])] == [0, 1, 2, 3, 4]
+
+
+def test_unusable(spark):
+    good = groups(5, 1, 2, 0.1)
+    bad = [(10, None), (11, []), (12, [0.0] * 96), (13, [float("nan")] + [1.0] * 95), (14, [float("inf")] + [1.0] * 95), (15, [1.0] * 95), (16, [None] + [1.0] * 95), (None, good[0][1])]
+    assert {(r.id, r.other) for r in similar_vectors(table(spark, good + bad)).collect()} == {(0, 1), (1, 0)}
+    assert similar_vectors(table(spark, bad)).count() == 0
+    assert similar_vectors(table(spark, [])).count() == 0
