@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise.scan_noise(read(spark, folder, "chunks"), read(spark, folder, "sources"))["found"]
 
 
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.repair_pages(read(spark, folder, "chunks"), read(spark, folder, "sources"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, folder, "memory_recall")).select("session_id", "turn", "message_id")
 
@@ -28,6 +32,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return union_all(found).distinct()
 
 
+def p5_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.find_personal_data(read(spark, folder, "memory_recall").dropDuplicates(["id"]), "id", "content").select("id", "masked")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_corpus(read(spark, folder, "documents"))
 
@@ -42,8 +50,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,

@@ -163,3 +163,8 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     left = open_forms.join(doubtful, "doc", "left_semi").join(learned.withColumn("known", F.lit(1)), "h", "left")
     more = left.groupBy("doc").agg(F.count_if(F.col("known").isNull()).alias("unknown")).where("unknown = 0").select("doc")
     return sure.union(more).withColumnRenamed("doc", key)
+
+
+def without_residue(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The documents that are not residue; rows with a null key stay."""
+    return documents.join(find_residue(documents, key, **options), key, "left_anti")

@@ -251,7 +251,8 @@ def scan_noise(chunks: DataFrame, sources: DataFrame | None = None) -> dict[str,
     ends = pages.select("id", "source_id", "chunk_index", F.try_element_at(tops, F.lit(1)).alias("top"), F.try_element_at(bottoms, F.lit(1)).alias("bottom"))
     tails = ends.where("bottom.half <> ''").select("id", "source_id", F.col("chunk_index").alias("i"), "bottom.half", "bottom.mark")
     starts = ends.select("source_id", (F.col("chunk_index") - 1).alias("i"), F.col("top.first").alias("rest")).dropDuplicates(["source_id", "i"])
-    across = tails.join(starts, ["source_id", "i"], "left").select("id", F.concat("half", F.coalesce("rest", F.lit(""))).alias("joined"), F.concat("half", F.lit("-"), F.coalesce("rest", F.lit(""))).alias("compound"), (F.col("mark") != "-").alias("soft"))
+    over = tails.join(starts, ["source_id", "i"], "left")
+    across = over.select("id", F.concat("half", F.coalesce("rest", F.lit(""))).alias("joined"), F.concat("half", F.lit("-"), F.coalesce("rest", F.lit(""))).alias("compound"), (F.col("mark") != "-").alias("soft"))
     broken = inside.union(across)
     counts = words.select("word", "n")
     rightly = misread.select(F.col("word").alias("joined"), "right")
@@ -267,4 +268,101 @@ def scan_noise(chunks: DataFrame, sources: DataFrame | None = None) -> dict[str,
         noise.where("running").select("id", F.lit("running_line").alias("kind")), noise.where("page_number").select("id", F.lit("page_number").alias("kind")),
     ]
     found = kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3]).distinct().withColumnRenamed("id", "chunk_id")
-    return {"found": found, "misread": misread, "edges": noise, "words": words}
+    return {"found": found, "misread": misread, "edges": noise, "words": words, "hyphen": hyphen.select("id", "joined").distinct(), "odd": body.distinct(), "over": over}
+
+
+def context_choice(chunks: DataFrame, words: DataFrame, odd: DataFrame) -> DataFrame:
+    """``(id, word, right)``: for each misreading on a page the form of its group that its neighbours support.
+
+    Where a group has several frequent forms, the one that most often follows the same word is taken; without such
+    support it is the most frequent one.
+    """
+    plain = words.where(F.col("word").rlike("^[a-z][a-z'’-]*$") & (F.col("n") >= SUPPORT))
+    most = plain.groupBy("skeleton").agg(F.max("n").alias("most"), F.count("*").alias("forms"))
+    rivals = plain.join(most.where("forms > 1"), "skeleton").where("n * 20 >= most").select("skeleton", F.col("word").alias("form"))
+    open_words = odd.join(words.select("word", "skeleton"), "word").join(rivals.select("skeleton").distinct(), "skeleton", "left_semi")
+    tokens = chunks.where(F.col("text").isNotNull()).select("id", F.split(F.lower("text"), r"[^\p{L}\p{N}!(|'’-]+").alias("t"))
+    pairs = tokens.select("id", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, 1_000_000).alias("b"))).alias("p")).select("id", F.col("p.a").alias("before"), F.col("p.b").alias("word"))
+    before = pairs.join(open_words.select("id", "word", "skeleton", "right"), ["id", "word"])
+    support = pairs.join(rivals.withColumnRenamed("form", "word"), "word").groupBy("before", "word").agg(F.count("*").alias("k")).withColumnRenamed("word", "form")
+    scored = before.join(rivals, "skeleton").join(support, ["before", "form"]).groupBy("id", "word").agg(F.max_by("form", F.struct("k", "form")).alias("chosen"))
+    return odd.join(scored, ["id", "word"], "left").select("id", "word", F.coalesce("chosen", "right").alias("right"))
+
+
+def repair_pages(chunks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``(chunk_id, source_id, chunk_index, paragraph, text)``: the pages without their noise, as continuous paragraphs.
+
+    Running lines and page numbers are gone, misread words replaced, broken words whole (a word that runs over two pages
+    stands on the first), lines set as paragraphs. A page without body has no rows; a page written twice comes once.
+    """
+    noise = scan_noise(chunks, sources)
+    gone = noise["edges"].groupBy("id").agg(F.collect_set("at").alias("gone"))
+    fixes = context_choice(chunks, noise["words"], noise["odd"]).groupBy("id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
+    whole = noise["hyphen"].groupBy("id").agg(F.collect_set("joined").alias("whole"))
+    over = noise["over"].withColumn("joined", F.concat("half", F.coalesce("rest", F.lit("")))).join(noise["hyphen"], ["id", "joined"], "left_semi")
+    ends = over.groupBy("id").agg(F.first("rest").alias("rest"))
+    begins = over.select("source_id", (F.col("i") + 1).alias("chunk_index"), F.lit(True).alias("begun")).distinct()
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for page in batch.itertuples():
+                lines = page.text.split("\n")
+                skip = set() if page.gone is None else set(page.gone)
+                right = {} if page.fixes is None else {f["word"]: f["right"] for f in page.fixes}
+                joined = set() if page.whole is None else set(page.whole)
+                body = [(i, line) for i, line in enumerate(lines) if i not in skip]
+                while body and not body[-1][1].strip():
+                    body.pop()
+                carried, blank = "", True
+                first = page.begun is True
+                for n, (_, line) in enumerate(body):
+                    if not line.strip():
+                        blank = True
+                        continue
+                    tokens = line.split()
+                    if carried or first:
+                        tokens = tokens[1:]
+                    first = False
+                    carried = ""
+                    tokens = [_mend(t, right) for t in tokens]
+                    raw = line.rstrip()
+                    if tokens and raw[-1] in MARKS and len(raw) > 1 and raw[-2].isalnum():
+                        left = line.split()[-1]
+                        follow = next((b.split()[0] for _, b in body[n + 1 :] if b.strip()), "")
+                        if follow and bare(left[:-1]) + bare(follow) in joined:
+                            tokens[-1] = _mend(left[:-1] + follow, right)
+                            carried = follow
+                        elif follow:
+                            tokens[-1] = left + follow
+                            carried = follow
+                        elif isinstance(page.rest, str) and page.rest:
+                            tokens[-1] = _mend(left[:-1] + page.rest, right)
+                    start = blank or line.startswith("  ")
+                    blank = False
+                    rows.append((page.id, page.source_id, page.chunk_index, n, start, " ".join(tokens)))
+            yield pd.DataFrame(rows, columns=["chunk_id", "source_id", "chunk_index", "line", "starts", "piece"])
+
+    pages = chunks.where(F.lower("location").rlike(PAGE) & F.col("text").isNotNull()).select("id", "source_id", F.col("chunk_index").cast("int"), "text").dropDuplicates(["id"])
+    wide = pages.join(gone, "id", "left").join(fixes, "id", "left").join(whole, "id", "left").join(ends, "id", "left").join(begins, ["source_id", "chunk_index"], "left")
+    lines = wide.select("id", "source_id", "chunk_index", "text", "gone", "fixes", "whole", "rest", "begun").mapInPandas(run, "chunk_id long, source_id long, chunk_index int, line int, starts boolean, piece string")
+    upto = Window.partitionBy("chunk_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(upto)).where("piece <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), " ")
+    return numbered.groupBy("chunk_id", "source_id", "chunk_index", "paragraph").agg(text.alias("text"))
+
+
+def _mend(token: str, right: dict[str, str]) -> str:
+    """The token with its misread word replaced, in the same case and with the same punctuation."""
+    word = bare(token)
+    good = right.get(word)
+    if good is None:
+        return token
+    at = token.lower().find(word)
+    if at < 0:
+        return token
+    inside = token[at : at + len(word)]
+    good = good.upper() if inside.isupper() and len(inside) > 1 else good[:1].upper() + good[1:] if inside[:1].isupper() else good
+    return token[:at] + good + token[at + len(word) :]
