@@ -24,10 +24,13 @@ FURNITURE = (
     r"(terms|privacy|contact|imprint|impressum|home|notes|archive|sign in|about|help|faq)( ?[·|/•-] ?(terms|privacy|contact|imprint|impressum|home|notes|archive|sign in|about|help|faq))+|"
     r"related( articles| pages)?|read more|next|previous|breadcrumbs?|advertisement|zum inhalt springen|suche|aller au contenu|ir al contenido|updated\W*)$"
 )
-ERROR = (
+# Names of errors: residue only in a short piece, for a longer sentence may tell of one.
+STATUS = (
     r"\b(not found|forbidden|internal server error|bad gateway|gateway time-?out|service unavailable|too many requests|bad request|unauthori[sz]ed|access denied|"
     r"request timed? ?out|something went wrong|an error (has )?occurred|(http|error|fehler|erreur|status)( code)? ?:? ?#)\b"
-    r"|^(oops|gone|error|sorry|forbidden|404|fehler|erreur|uups|ups|hoppla)\W*$|^# ?#?\W*$"
+)
+ERROR = (
+    r"^(oops|gone|error|sorry|forbidden|404|fehler|erreur|uups|ups|hoppla)\W*$|^# ?#?\W*$"
     r"|\b(page|chapter|notebook|document|scan|file|site|content|resource|entry|link|archive|url) (you (asked|looked|are looking) for )?.{0,30}(could not be|could not|cannot be|can't be|was not|is not|couldn't be|is no longer|does not exist|no longer exists)\b.{0,30}(loaded|found|converted|available|displayed|opened|read|reached|exist|located)?"
     r"|\b(server|archive|page|site|service) (refused|did not answer|did not respond|is not responding|is down|is temporarily|is under|took too long|is unavailable|is overloaded)"
     r"|may have been (moved|renamed|deleted)|unexpected condition|you are not allowed to|do not have permission|having trouble at the moment|down for maintenance|under maintenance|scheduled maintenance"
@@ -71,7 +74,7 @@ _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,60}@[\w.-]{1,60}|(?<!\S
 _DIGITS = re.compile(r"\b(?=[0-9a-f]{0,40}[0-9])[0-9a-f]{5,}\b|\b\d+(?:[.,:/-]\d+)*\b")
 _BLANKS = re.compile(r"[\s\u200b\u200e\u200f\ufeff\u2060]+")
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-_RULES = {name: re.compile(rule) for name, rule in (("furniture", FURNITURE), ("error", ERROR), ("script", SCRIPT), ("filler", FILLER), ("placeholder", PLACEHOLDER), ("undone", UNDONE), ("beside", BESIDE))}
+_RULES = {name: re.compile(rule) for name, rule in (("furniture", FURNITURE), ("status", STATUS), ("error", ERROR), ("script", SCRIPT), ("filler", FILLER), ("placeholder", PLACEHOLDER), ("undone", UNDONE), ("beside", BESIDE))}
 _NONSENSE = re.compile(r"^(?:(?:x{2,}|foo|bar|baz|test|asdf|qwer|text|blah?)\b\W*){20}")
 _SENTENCE_END = re.compile(r"[.!?…]\W*$")
 SOURCES = 3
@@ -103,6 +106,8 @@ def classify(form: str) -> str:
             return "residue"
         if words <= 25 and _RULES["script"].search(plain):
             return "residue"
+        if words <= 9 and _RULES["status"].search(plain):
+            return "residue"
         if words <= 22 and _RULES["error"].search(plain):
             return "residue"
         if _RULES["beside"].search(plain):
