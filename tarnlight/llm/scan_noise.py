@@ -25,7 +25,7 @@ from tarnlight.session import cut
 
 # Glyphs that scanners confuse; the right side stands for the whole class.
 SINGLE = str.maketrans({
-    "0": "o", "1": "l", "!": "l", "|": "l", "i": "l", "j": "l", "5": "s", "$": "s", "9": "g", "q": "g", "6": "b", "8": "b", "4": "a", "@": "a", "3": "c", "(": "c", "e": "c", "{": "c", "[": "l", "]": "l",
+    "0": "o", "1": "l", "!": "l", "|": "l", "i": "l", "5": "s", "$": "s", "9": "g", "q": "g", "6": "b", "8": "b", "4": "a", "@": "a", "3": "c", "(": "c", "e": "c", "{": "c", "[": "l", "]": "l",
     "f": "t", "7": "t", "+": "t", "u": "h", "n": "h", "2": "z", "ı": "l", "ø": "o", "ł": "l", "ß": "b", "æ": "ac", "œ": "oc", "v": "v", "y": "v",
 })
 #: Marks at the end of a line that may break a word.
@@ -41,12 +41,30 @@ _CHAPTER = re.compile(r"^\s*(?:chapter|chaptcr|ch[a-z4]pter|(?:ch|c[bh])\w{3,5}|
 _NUMBERED = re.compile(r"^\s*[\dlIO]{1,2}[.)]\s+\S")
 
 
-def skeleton(word: str) -> str:
-    """The word with every confusable glyph or pair replaced by its class."""
+#: Orders in which confusable pairs are read; a misreading has the skeleton of its word in at least one of them.
+ORDERS = (
+    (("vv", "w"), ("rh", "m"), ("lh", "m"), ("ll", "h"), ("cl", "d")),
+    (("vv", "w"), ("ll", "h"), ("cl", "d"), ("rh", "m"), ("lh", "m")),
+    (("vv", "w"), ("cl", "d"), ("ll", "h"), ("rh", "m"), ("lh", "m")),
+)
+
+
+def skeletons(word: str) -> list[str]:
+    """The word with every confusable glyph or pair replaced by its class, for every order of the pairs."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)).translate(SINGLE)
-    for pair, one in (("vv", "w"), ("rh", "m"), ("lh", "m"), ("ll", "h"), ("cl", "d")):
-        plain = plain.replace(pair, one)
-    return plain
+    out = []
+    for order in ORDERS:
+        form = plain
+        for pair, one in order:
+            form = form.replace(pair, one)
+        out.append(form)
+    backwards = plain[::-1].replace("vv", "w").replace("ll", "h").replace("lc", "d").replace("hr", "m").replace("hl", "m")[::-1]
+    return list(dict.fromkeys([*out, backwards]))
+
+
+def skeleton(word: str) -> str:
+    """The first of the skeletons."""
+    return skeletons(word)[0]
 
 
 def bare(token: str) -> str:
@@ -77,7 +95,7 @@ def _wordlike(form: str) -> bool:
 
 
 def count_words(chunks: DataFrame) -> DataFrame:
-    """``(word, n, outside, skeleton)``: counts of all words, and of those outside pages."""
+    """``(word, n, outside, skeleton)``, a row per word and skeleton: counts of all words, and of those outside pages."""
 
     def run(batches):
         import pyarrow as pa
@@ -98,9 +116,9 @@ def count_words(chunks: DataFrame) -> DataFrame:
                         total[word] += n
                         if not paged:
                             outside[word] += n
-            words = list(total)
+            rows = [(w, k) for w in total for k in skeletons(w)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64()), pa.array([outside[w] for w in words], pa.int64()), pa.array([skeleton(w) for w in words], pa.string())],
+                [pa.array([w for w, _ in rows], pa.string()), pa.array([total[w] for w, _ in rows], pa.int64()), pa.array([outside[w] for w, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())],
                 names=["word", "n", "outside", "skeleton"],
             )
 
@@ -113,14 +131,15 @@ def misread_forms(words: DataFrame) -> DataFrame:
     plain = words.where(F.col("word").rlike("^[a-z][a-z'’-]*$"))
     best = plain.groupBy("skeleton").agg(F.max_by("word", F.struct("n", "word")).alias("right"), F.max("n").alias("most"), F.max_by("outside", F.struct("n", "word")).alias("elsewhere"))
     odd = words.join(best, "skeleton").where("word <> right")
+    odd = odd.where(~F.col("word").rlike("^[ivxlc]+$"))  # numerals
     strange = F.col("word").rlike("[^a-z'’-]")
     enough = (F.col("most") >= RATIO * F.col("n")) & (F.col("most") >= SUPPORT)
-    return odd.where(enough & ((F.col("outside") == 0) | (strange & (F.col("outside") * 50 < F.col("most")))) & (F.length("word") >= 2)).select("word", "right")
+    return odd.where(enough & ((F.col("outside") == 0) | (strange & (F.col("outside") * 50 < F.col("most")))) & (F.length("word") >= 2)).groupBy("word").agg(F.max_by("right", F.struct("most", "right")).alias("right"))
 
 
 def page_facts(chunks: DataFrame, words: DataFrame, misread: DataFrame) -> DataFrame:
     """A narrow row per page, each page once: edge lines, broken words, unknown words."""
-    frequent = words.join(misread, "word", "left_anti").where("n >= 3").orderBy(F.desc("n"), "word").limit(KNOWN).select("word").collect()
+    frequent = words.select("word", "n").distinct().join(misread, "word", "left_anti").where("n >= 3").orderBy(F.desc("n"), "word").limit(KNOWN).select("word").collect()
     known = chunks.sparkSession.sparkContext.broadcast({r.word for r in frequent})
 
     def run(batches):
@@ -254,7 +273,7 @@ def scan_noise(chunks: DataFrame, sources: DataFrame | None = None) -> dict[str,
     over = tails.join(starts, ["source_id", "i"], "left")
     across = over.select("id", F.concat("half", F.coalesce("rest", F.lit(""))).alias("joined"), F.concat("half", F.lit("-"), F.coalesce("rest", F.lit(""))).alias("compound"), (F.col("mark") != "-").alias("soft"))
     broken = inside.union(across)
-    counts = words.select("word", "n")
+    counts = words.select("word", "n").distinct()
     rightly = misread.select(F.col("word").alias("joined"), "right")
     judged = (
         broken.join(rightly, "joined", "left")
@@ -263,6 +282,9 @@ def scan_noise(chunks: DataFrame, sources: DataFrame | None = None) -> dict[str,
     )
     hyphen = judged.where(F.col("soft") | (F.coalesce("as_compound", F.lit(0)) <= F.coalesce("as_word", F.lit(0)) * 2))
     body = pages.select("id", "gone", F.explode("odd").alias("o")).where("not array_contains(gone, o.tag)").select("id", "o.word").join(misread, "word")
+    # the rest of a word that began on the page before is no word of its own
+    rests = over.where("rest is not null").select("source_id", (F.col("i") + 1).alias("chunk_index"), F.col("rest").alias("word"))
+    body = body.join(pages.select("id", "source_id", "chunk_index").join(rests, ["source_id", "chunk_index"]).select("id", "word"), ["id", "word"], "left_anti")
     kinds = [
         hyphen.select("id", F.lit("hyphen").alias("kind")), body.select("id", F.lit("misread").alias("kind")),
         noise.where("running").select("id", F.lit("running_line").alias("kind")), noise.where("page_number").select("id", F.lit("page_number").alias("kind")),
