@@ -131,10 +131,11 @@ def nearest_to_ledger(spark, folder):
     return sims.select("vec_id", F.round(F.greatest("m", F.lit(0.0)), 6).alias("nearest"))
 
 
-@add("A19", "SELECT coalesce(topic_a, '_unmapped') AS map, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM hypotheses GROUP BY 1")
+@add("A19", "SELECT coalesce(topic_a, '_unmapped') AS map, row_number() OVER (PARTITION BY coalesce(topic_a, '_unmapped') ORDER BY id) AS place, id FROM hypotheses")
 def rules_by_map(spark, folder):
-    grouped = read(spark, folder, "hypotheses").groupBy(F.coalesce("topic_a", F.lit("_unmapped")).alias("map"))
-    return grouped.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
+    """The rows of each map in order; as numbered rows, for one map may hold a third of them."""
+    rows = read(spark, folder, "hypotheses").select(F.coalesce("topic_a", F.lit("_unmapped")).alias("map"), "id")
+    return R.numbered(rows, "map", ["id"], "place").select("map", "place", "id")
 
 
 @add("A20", """WITH t AS (SELECT DISTINCT topic, replace(topic, '_', ' ') AS term FROM documents WHERE topic IS NOT NULL),
@@ -293,7 +294,7 @@ def first_match_order(spark, folder):
 @add("X6", "SELECT memory_id, count(DISTINCT lower(trim(entity))) AS n FROM memory_entities WHERE trim(entity) <> '' GROUP BY 1")
 def entity_sets(spark, folder):
     e = read(spark, folder, "memory_entities").select("memory_id", F.lower(F.trim("entity")).alias("e")).where("e <> ''")
-    return e.groupBy("memory_id").agg(F.size(F.array_distinct(F.collect_list("e"))).cast("long").alias("n"))
+    return e.groupBy("memory_id").agg(F.count_distinct("e").alias("n"))
 
 
 @add("M1", """SELECT coalesce(o.topic_a, n.topic_a) AS topic_a, coalesce(n.v, o.v) AS v FROM (SELECT topic_a, min(snippet_a) AS v FROM hypotheses WHERE topic_a IS NOT NULL AND id <= 150 GROUP BY 1) o

@@ -107,7 +107,7 @@ def memory_search(spark, folder):
     near = S.gated(S.most_similar(u, q, 60, "id", "embedding_blob"), 0.2)
     words = S.bm25(m, ["weekly", "review"], "id", "fact", every=False)
     hits = read(spark, folder, "memory_entities").where(F.col("entity").isin("backlog", "draft")).select(F.col("memory_id").alias("id")).distinct()
-    exact = hits.withColumn("rank", F.row_number().over(S.Window.orderBy("id")))
+    exact = R.numbered(hits.withColumn("all", F.lit(1)), "all", ["id"], "rank")
     fused = S.fuse([(S.ranked(near, "id", "sim", 60), 1.0), (S.ranked(words, "id", "score", 60), 1.0), (exact, 0.5)], "id").select("id", "score")
     kept = R.in_scope(R.live(m.select("id", "project", "superseded_by")).join(fused, "id"), "fern")
     return kept.select("id", F.round(F.col("score") + F.when(F.col("project") == "fern", 0.01).otherwise(0.0), 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)

@@ -42,6 +42,30 @@ def session_gate(events: DataFrame) -> DataFrame:
     return events.groupBy("session").applyInPandasWithState(_gate, GATE_OUT, GATE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def time_gate(events: DataFrame, seconds: float) -> DataFrame:
+    """Events ``session, ts`` of a stream with ``opened``: whether so many seconds have passed since the session last opened."""
+
+    def gate(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        (last,) = state.get if state.exists else (None,)
+        out = []
+        for ts in sorted(t for b in batches for t in b["ts"]):
+            opened = last is None or ts - last >= seconds
+            last = float(ts) if opened else last
+            out.append((key[0], float(ts), opened))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["session", "ts", "opened"])
+
+    return events.groupBy("session").applyInPandasWithState(gate, "session string, ts double, opened boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def watch_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the files that appear below a folder, ready to be ingested batch by batch."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", F.sha2("content", 256).alias("checksum"), "content")
+
+
 def new_messages(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     """Messages of a stream, each id once within the delay; the watermark bounds the state."""
     return messages.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])

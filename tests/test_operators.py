@@ -79,3 +79,30 @@ def test_phrases(spark):
     df = spark.createDataFrame([("The concept graph of the notes can't wait",)], "t string").select(T.phrase_words(F.col("t")).alias("own"))
     got = df.select(T.phrases(F.col("own"))).first()[0]
     assert "concept graph" in got and "the" not in got and not any("can't" in p or p.startswith("the ") or p.endswith(" of") for p in got)
+
+
+def test_reranker_orders_the_first_and_survives_failure(spark):
+    from tarnlight.operators.plugs import reranked
+
+    df = spark.createDataFrame([(1, "x", 1), (2, "a b", 2), (3, "a", 3), (4, "a b", 4)], "id int, text string, rank int")
+    assert [r.id for r in reranked(df, "a b", "text", "rank", top=3).orderBy("place").collect()] == [2, 3, 1, 4]
+    assert [r.id for r in reranked(df, "a b", "text", "rank", scorer=lambda q, t: 1 / 0).orderBy("place").collect()] == [1, 2, 3, 4]
+
+
+def test_embedder(spark):
+    from tarnlight.operators.plugs import embedded
+
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id long, text string")
+    got = {r.id: r.embedding for r in embedded(df, "id", "text").collect()}
+    assert set(got) == {1, 3} and abs(sum(x * x for x in got[1]) - 1) < 1e-5
+
+
+def test_load_checked_writes_all_or_nothing(spark, tmp_path):
+    from tarnlight.operators.plugs import load_checked
+
+    df = spark.createDataFrame([(1,), (None,)], "id long")
+    with pytest.raises(ValueError):
+        load_checked(df, F.col("id").isNull(), str(tmp_path / "t"))
+    assert not (tmp_path / "t").exists()
+    load_checked(df.where("id is not null"), F.col("id").isNull(), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1

@@ -37,3 +37,23 @@ def test_late_and_repeated_messages(spark, tmp_path):
     assert spark.table("once").count() == 2
     capture.counts_by_window(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {r.role: r.n for r in spark.table("counts").collect()} == {"user": 2, "tool": 1}
+
+
+def test_time_gate(spark, tmp_path):
+    for ts in (0.0, 100.0, 600.0, 700.0, 1200.0):
+        spark.createDataFrame([("s", ts)], "session string, ts double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = capture.time_gate(capture.read_messages(spark, str(tmp_path / "in"), "session string, ts double", 5), 600)
+    out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    assert [r.opened for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()] == [True, False, True, False, True]
+
+
+def test_watched_folder_is_ingested(spark, tmp_path):
+    from tarnlight.sources.files import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Chapter 1\nbody of the text")
+    known = spark.createDataFrame([], "checksum string")
+    found = []
+    stream = capture.watch_files(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, _: found.extend(ingest(b, known).collect()))
+    stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [r.location for r in found] == ["Chapter 1"]
