@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.operators.retrieval import cosine, norm
+from tarnlight.session import bounded
 
 
 def drift_band(drift: Column) -> tuple[Column, Column]:
@@ -17,10 +18,10 @@ def drift_band(drift: Column) -> tuple[Column, Column]:
 def partners(pool: DataFrame, anchors: DataFrame, low: float, high: float, each: int = 1) -> DataFrame:
     """For each anchor its ``each`` partners of the pool with a similarity in the band, from another topic first.
 
-    Anchors are a chosen handful and are broadcast; the pool is scanned once.
+    Anchors are a chosen handful (at most 10,000, checked) and are broadcast; the pool is scanned once.
     """
     a = anchors.select(F.col("id").alias("anchor"), F.col("topic").alias("anchor_topic"), F.col("source").alias("anchor_source"), F.col("vector").alias("anchor_vector"))
-    sims = pool.crossJoin(F.broadcast(a)).where("id <> anchor").withColumn("sim", F.round(cosine(F.col("vector"), F.col("anchor_vector")), 6)).where(F.col("sim").between(low, high))
+    sims = pool.crossJoin(bounded(a)).where("id <> anchor").withColumn("sim", F.round(cosine(F.col("vector"), F.col("anchor_vector")), 6)).where(F.col("sim").between(low, high))
     tier = F.when(F.col("topic") != F.col("anchor_topic"), 1).when(F.col("source") != F.col("anchor_source"), 2).otherwise(3)
     by = Window.partitionBy("anchor").orderBy("tier", "id")
     return sims.withColumn("tier", tier).withColumn("r", F.row_number().over(by)).where(F.col("r") <= each).select("anchor", F.col("id").alias("partner"), "tier", "sim")
@@ -59,8 +60,8 @@ def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def gaps(df: DataFrame, cluster: str, vector: str, n: int) -> DataFrame:
-    """The n least similar pairs of clusters; clusters are few (at most twelve)."""
+    """The n least similar pairs of clusters; clusters are few (at most 1000, checked)."""
     c = centroids(df, cluster, vector)
     a, b = c.select(F.col(cluster).alias("a"), F.col("centroid").alias("va")), c.select(F.col(cluster).alias("b"), F.col("centroid").alias("vb"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
+    pairs = a.join(bounded(b, 1000), F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
     return pairs.orderBy("sim", "a", "b").limit(n)

@@ -21,7 +21,7 @@ def class_tfidf(counts: DataFrame, cluster: str, least: int = 3) -> DataFrame:
     kept = counts.join(total, "phrase")
     size = kept.groupBy(cluster).agg(F.sum("tf").alias("size"))
     clusters = kept.agg(F.count_distinct(cluster).alias("clusters"))
-    scored = kept.join(F.broadcast(size), cluster).crossJoin(F.broadcast(clusters))
+    scored = kept.join(size, cluster).crossJoin(F.broadcast(clusters))
     return scored.select(cluster, "phrase", F.round(F.col("tf") / F.col("size") * F.log(1 + F.col("clusters") / F.greatest("f", F.lit(1))), 9).alias("score"))
 
 

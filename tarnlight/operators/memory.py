@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.operators.relational import live
 from tarnlight.operators.retrieval import cosine
+from tarnlight.session import bounded
 
 
 def live_by(memories: DataFrame, column: str, missing: str) -> DataFrame:
@@ -51,17 +52,17 @@ def entity_pairs(entities: DataFrame, memories: DataFrame, least: int) -> DataFr
 def entity_graph(entities: DataFrame, memories: DataFrame, nodes: int = 60, least: int = 1) -> DataFrame:
     """Edges between the most frequent entities."""
     top = entity_counts(entities, memories).orderBy(F.desc("n"), "entity").limit(nodes).select("entity")
-    edges = entity_pairs(entities.join(F.broadcast(top), "entity", "left_semi"), memories, least)
+    edges = entity_pairs(entities.join(top, "entity", "left_semi"), memories, least)
     return edges
 
 
 def write_decision(store: DataFrame, new: DataFrame, duplicate: float = 0.95, supersede: float = 0.8) -> DataFrame:
     """``(id, decision, target, sim)`` of new rows against the store, by the single nearest row.
 
-    The nearest row decides even if it is no longer live: then the new row is inserted. New rows are a small batch.
+    The nearest row decides even if it is no longer live: then the new row is inserted. New rows are a batch of at most 10,000, which is checked.
     """
     fresh = new.select(F.col("id").alias("new_id"), F.col("vector").alias("new_vector"))
-    sims = store.crossJoin(F.broadcast(fresh)).select("new_id", "id", F.col("superseded_by").isNull().alias("is_live"), F.round(cosine(F.col("vector"), F.col("new_vector")), 6).alias("sim")).where("sim is not null")
+    sims = store.crossJoin(bounded(fresh)).select("new_id", "id", F.col("superseded_by").isNull().alias("is_live"), F.round(cosine(F.col("vector"), F.col("new_vector")), 6).alias("sim")).where("sim is not null")
     best = sims.groupBy("new_id").agg(F.max_by(F.struct("id", "is_live", "sim"), F.struct("sim", -F.col("id"))).alias("b"))
     kind = F.when(F.col("b.is_live") & (F.col("b.sim") >= duplicate), "duplicate").when(F.col("b.is_live") & (F.col("b.sim") >= supersede), "supersede").otherwise("insert")
     joined = new.select(F.col("id").alias("new_id")).join(best, "new_id", "left")

@@ -31,7 +31,7 @@ def in_scope(df: DataFrame, project: str) -> DataFrame:
 
 
 def in_order(df: DataFrame, key: str, wanted: list) -> DataFrame:
-    """Rows whose key is wanted, with ``pos``, their place in the caller's list; the list is small by contract."""
+    """Rows whose key is wanted, with ``pos``, their place in the caller's list; the list is the caller's own."""
     places = df.sparkSession.createDataFrame([(v, n) for n, v in enumerate(wanted, 1)], f"{key} {df.schema[key].dataType.simpleString()}, pos int")
     return df.join(F.broadcast(places), key)
 

@@ -12,7 +12,7 @@ from tarnlight.operators import memory as M
 from tarnlight.operators import relational as R
 from tarnlight.plans.base import CHUNKS, MEMORIES, NOW, RECALL, Catalogue
 from tarnlight.plans.catalog import chunks, memories, now, recall
-from tarnlight.session import read
+from tarnlight.session import bounded, read
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -142,10 +142,10 @@ def rules_by_map(spark, folder):
  h AS (SELECT r.id, t.topic, count(*) AS hits FROM hypotheses r JOIN t ON contains(lower(r.text), t.term) GROUP BY 1, 2)
  SELECT r.id, coalesce(b.topic, 'general') AS domain FROM hypotheses r LEFT JOIN (SELECT id, topic FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY hits DESC, topic) = 1) b ON b.id = r.id""")
 def domains(spark, folder):
-    """The domain of which most terms occur in a text; the terms are a small list that is broadcast."""
+    """The domain of which most terms occur in a text; the terms are a small list (checked) that is broadcast."""
     terms = read(spark, folder, "documents").where("topic is not null").select("topic", F.translate("topic", "_", " ").alias("term")).distinct()
     h = read(spark, folder, "hypotheses").select("id", "text")
-    hits = h.join(F.broadcast(terms), F.lower("text").contains(F.col("term"))).groupBy("id", "topic").agg(F.count("*").alias("hits"))
+    hits = h.join(bounded(terms), F.lower("text").contains(F.col("term"))).groupBy("id", "topic").agg(F.count("*").alias("hits"))
     best = R.first_per_group(hits, ["id"], [F.desc("hits"), F.col("topic")]).select("id", "topic")
     return h.select("id").join(best, "id", "left").select("id", F.coalesce("topic", F.lit("general")).alias("domain"))
 
@@ -279,9 +279,11 @@ def union_of_ids(spark, folder):
 @add("X4", "SELECT h.id, (h.topic_a IN (SELECT replace(topic, '_', ' ') FROM documents WHERE topic IS NOT NULL) AND h.topic_b IN (SELECT replace(topic, '_', ' ') FROM documents WHERE topic IS NOT NULL)) AS present FROM hypotheses h WHERE topic_a IS NOT NULL AND topic_b IS NOT NULL")
 def arm_present(spark, folder):
     """Both topics of an arm among the topics there are."""
-    have = read(spark, folder, "documents").where("topic is not null").agg(F.collect_set(F.translate("topic", "_", " ")).alias("have"))
-    h = read(spark, folder, "hypotheses").where("topic_a is not null and topic_b is not null").crossJoin(F.broadcast(have))
-    return h.select("id", (F.size(F.array_except(F.array("topic_a", "topic_b"), "have")) == 0).alias("present"))
+    have = read(spark, folder, "documents").where("topic is not null").select(F.translate("topic", "_", " ").alias("topic")).distinct()
+    h = read(spark, folder, "hypotheses").where("topic_a is not null and topic_b is not null").select("id", "topic_a", "topic_b")
+    for side in ("topic_a", "topic_b"):
+        h = h.join(have.select(F.col("topic").alias(side), F.lit(True).alias(f"has_{side}")), side, "left")
+    return h.select("id", (F.coalesce("has_topic_a", F.lit(False)) & F.coalesce("has_topic_b", F.lit(False))).alias("present"))
 
 
 @add("X5", """SELECT id, min(pos) AS pos FROM (SELECT id, 1 AS pos FROM sources WHERE title ILIKE '%lessons%' UNION ALL SELECT id, 2 FROM sources WHERE title ILIKE '%manual%' UNION ALL SELECT id, 3 FROM sources WHERE title ILIKE '%revisited%') GROUP BY 1""")

@@ -8,7 +8,7 @@ from tarnlight.functions import text as T
 from tarnlight.operators import ledger
 from tarnlight.operators import memory as M
 from tarnlight.operators import relational as R
-from tarnlight.operators.retrieval import bm25, cosine, most_similar, ranked
+from tarnlight.operators.retrieval import bm25, cosine, most_similar
 from tarnlight.plans.base import CHUNKS, MEMORIES, NOW, RECALL, Catalogue
 from tarnlight.session import read
 

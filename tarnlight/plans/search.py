@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnlight.functions import text as T
 from tarnlight.operators import brainstorm as B
 from tarnlight.operators import graph as G
 from tarnlight.operators import ledger as L
@@ -167,7 +168,7 @@ def definitions(spark, folder):
     top = concepts(spark, folder).select("topic", "phrase")
     d = read(spark, folder, "documents").where("topic is not null and text is not null")
     sentences = d.select("topic", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("sentence")).where(F.length("sentence").between(20, 600)).distinct()
-    hits = sentences.join(F.broadcast(top), "topic").where(F.instr(F.lower("sentence"), F.col("phrase")) > 0).groupBy("topic", "sentence").agg(F.count("*").alias("n"), F.min(F.instr(F.lower("sentence"), F.col("phrase"))).alias("at"))
+    hits = sentences.join(top, "topic").where(F.instr(F.lower("sentence"), F.col("phrase")) > 0).groupBy("topic", "sentence").agg(F.count("*").alias("n"), F.min(F.instr(F.lower("sentence"), F.col("phrase"))).alias("at"))
     score = F.col("n") + F.when(F.col("at") < 60, 0.5).otherwise(0.0) - F.when(F.length("sentence").between(40, 220), 0.0).otherwise(1.0)
     return R.first_per_group(hits.withColumn("score", score), ["topic"], [F.desc("score"), F.col("sentence")]).select("topic", F.left("sentence", F.lit(300)).alias("definition"), "score")
 
@@ -176,8 +177,8 @@ def definitions(spark, folder):
 def concept_edges(spark, folder):
     """Concepts that occur in the same documents: the weakest are dropped beyond three edges a concept."""
     top = concepts(spark, folder).select("phrase").distinct()
-    d = read(spark, folder, "documents").where("text is not null").select("doc_id", F.lower("text").alias("t"))
-    seen = d.join(F.broadcast(top), F.instr(F.col("t"), F.col("phrase")) > 0).select("doc_id", "phrase")
+    own = read(spark, folder, "documents").where("text is not null").select("doc_id", T.phrase_words(F.col("text")).alias("own"))
+    seen = own.select("doc_id", F.explode(T.phrases(F.col("own"), 2)).alias("phrase")).join(top, "phrase", "left_semi")
     pairs = seen.join(seen.withColumnRenamed("phrase", "other"), "doc_id").where("phrase < other").groupBy("phrase", "other").agg(F.count("*").alias("n")).where("n >= 3")
     return R.first_per_group(pairs, ["phrase"], [F.desc("n"), F.col("other")], 3)
 

@@ -6,6 +6,7 @@ import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tarnlight", cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -52,5 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The rows marked for broadcast, after a count has shown that there are no more than ``most``."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; this side is meant to be small")
+    return F.broadcast(df)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
