@@ -83,6 +83,11 @@ def _key(line: str) -> str:
     return _coarse(text)
 
 
+def _other_key(line: str) -> str:
+    """The key of the whole line where what looks like a page number may be a misread first letter, else empty."""
+    return _coarse(line) if re.match(r"^\W*[0145lIO] [^\W\d]", line) else ""
+
+
 def _coarse(text: str) -> str:
     """The skeleton of a whole line, in which also c, e, f and t are one."""
     kept = "".join(c for c in text.lower() if c.isalnum() or c in "(!|$@")
@@ -176,7 +181,7 @@ def page_facts(chunks: DataFrame, words: DataFrame, misread: DataFrame) -> DataF
                     tokens = line.split()
                     last = tokens[-1]
                     edge_rows.append({
-                        "tag": tag, "at": i, "key": _key(line), "alone": bool(_ALONE.match(line)) and not table, "number": bool(_NUMBER.search(line)), "heading": heading,
+                        "tag": tag, "at": i, "key": _key(line), "other": _other_key(line), "alone": bool(_ALONE.match(line)) and not table, "number": bool(_NUMBER.search(line)), "heading": heading,
                         "sentence": line.endswith((".", ",", ";", ":")) or line[-1] in MARKS, "short": len(line) < 4,
                         "first": bare(tokens[0]), "half": bare(last[:-1]) if len(last) > 1 and last[-1] in MARKS else "", "mark": last[-1] if last[-1] in MARKS else "",
                     })
@@ -214,12 +219,12 @@ def page_facts(chunks: DataFrame, words: DataFrame, misread: DataFrame) -> DataF
 
     import pyarrow as pa
 
-    edge = "struct<tag:int,at:int,key:string,alone:boolean,number:boolean,heading:boolean,sentence:boolean,short:boolean,first:string,half:string,mark:string>"
+    edge = "struct<tag:int,at:int,key:string,other:string,alone:boolean,number:boolean,heading:boolean,sentence:boolean,short:boolean,first:string,half:string,mark:string>"
     names = ["id", "source_id", "chunk_index", "edges", "breaks", "odd", "lines"]
     flag, text_, whole = pa.bool_(), pa.string(), pa.int32()
     types = [
         pa.int64(), pa.int64(), whole,
-        pa.list_(pa.struct([("tag", whole), ("at", whole), ("key", text_), ("alone", flag), ("number", flag), ("heading", flag), ("sentence", flag), ("short", flag), ("first", text_), ("half", text_), ("mark", text_)])),
+        pa.list_(pa.struct([("tag", whole), ("at", whole), ("key", text_), ("other", text_), ("alone", flag), ("number", flag), ("heading", flag), ("sentence", flag), ("short", flag), ("first", text_), ("half", text_), ("mark", text_)])),
         pa.list_(pa.struct([("a", whole), ("b", whole), ("joined", text_), ("compound", text_), ("soft", flag)])),
         pa.list_(pa.struct([("tag", whole), ("word", text_)])), whole,
     ]
@@ -235,6 +240,7 @@ def edge_noise(facts: DataFrame, sources: DataFrame | None) -> DataFrame:
     counts = keyed.where("not heading and not sentence").groupBy("source_id", "key").agg(F.count_distinct("id").alias("pages"))
     heads = keyed.where("heading").select("source_id", F.regexp_replace("key", "^[0-9lo]{1,2}(?=..)", "").alias("key")).distinct()
     heads = heads.union(keyed.where("heading").select("source_id", "key")).distinct().withColumn("head", F.lit(True))
+    rows = rows.union(rows.where("other <> ''").withColumns({"key": F.col("other"), "number": F.lit(False)}))
     joined = rows.join(counts, ["source_id", "key"], "left").join(heads, ["source_id", "key"], "left")
     if sources is not None:
         key_of = F.udf(lambda t: _coarse(t) if t else None, "string")
@@ -244,7 +250,8 @@ def edge_noise(facts: DataFrame, sources: DataFrame | None) -> DataFrame:
         joined = joined.withColumn("title_key", F.lit(None).cast("string"))
     known_line = (F.col("pages") >= 2) | F.coalesce("head", F.lit(False)) | F.coalesce(F.col("key") == F.col("title_key"), F.lit(False))
     running = F.coalesce(~F.col("heading") & ~F.col("alone") & ~F.col("sentence") & (F.length("key") >= 4) & known_line, F.lit(False))
-    flagged = joined.withColumn("running", running).withColumn("page_number", F.col("alone") | (running & F.col("number"))).withColumn("noise", F.col("running") | F.col("alone"))
+    flagged = joined.withColumn("running", running).withColumn("page_number", F.col("alone") | (running & F.col("number")))
+    flagged = flagged.groupBy("id", "source_id", "chunk_index", "tag", "at").agg(F.max("running").alias("running"), F.max("page_number").alias("page_number"), F.max(F.col("running") | F.col("alone")).alias("noise"))
     # a line counts only if all lines between it and the edge are noise too
     side = Window.partitionBy("id", F.col("tag") > 0).orderBy(F.abs("tag"))
     return flagged.withColumn("outer", F.min("noise").over(side)).where("outer").select("id", "source_id", "chunk_index", "tag", "at", "running", "page_number")
