@@ -14,6 +14,7 @@ counted by ``(source, line)``.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -94,6 +95,11 @@ def _coarse(text: str) -> str:
     return skeleton(kept.translate({102: "e", 116: "e"}))
 
 
+def _mark(key: str) -> int | None:
+    """A hash of a key of four or more characters, else None."""
+    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True) if len(key) >= 4 else None
+
+
 def _wordlike(form: str) -> bool:
     letters = sum(c.isalpha() for c in form)
     return letters >= 2 and letters * 2 >= len(form)
@@ -180,10 +186,12 @@ def page_facts(chunks: DataFrame, words: DataFrame, misread: DataFrame) -> DataF
                     heading = bool(_CHAPTER.match(line) or (_NUMBERED.match(line) and not line.endswith((".", ",", ";"))) or (_CHAPTER.match(before) and not line.endswith((".", ",", ";"))))
                     tokens = line.split()
                     last = tokens[-1]
+                    alone, sentence = bool(_ALONE.match(line)) and not table, line.endswith((".", ",", ";", ":")) or line[-1] in MARKS
+                    key = "" if alone or (sentence and not heading) else _key(line)
                     edge_rows.append({
-                        "tag": tag, "at": i, "key": _key(line), "other": _other_key(line), "alone": bool(_ALONE.match(line)) and not table, "number": bool(_NUMBER.search(line)), "heading": heading,
-                        "sentence": line.endswith((".", ",", ";", ":")) or line[-1] in MARKS, "short": len(line) < 4,
-                        "first": bare(tokens[0]), "half": bare(last[:-1]) if len(last) > 1 and last[-1] in MARKS else "", "mark": last[-1] if last[-1] in MARKS else "",
+                        "tag": tag, "at": i, "key": _mark(key), "other": _mark(_other_key(line)) if key else None, "head": _mark(re.sub(r"^[0-9lo]{1,2}(?=..)", "", key)) if heading else None,
+                        "flags": alone + 2 * bool(_NUMBER.search(line)) + 4 * heading + 8 * sentence + 16 * (last[-1] == "-"),
+                        "first": bare(tokens[0]) if tag > 0 else None, "half": bare(last[:-1]) if tag < 0 and len(last) > 1 and last[-1] in MARKS else None,
                     })
                 breaks, halves = [], set()
                 for a, b in zip(full, full[1:]):
@@ -214,42 +222,43 @@ def page_facts(chunks: DataFrame, words: DataFrame, misread: DataFrame) -> DataF
                             if token in own:
                                 odd_rows.append({"tag": tag, "word": word})
                 odd_rows += [{"tag": r["a"], "word": r["joined"]} for r in breaks if r["joined"] not in safe]
-                out.append((id_, source, place, edge_rows, breaks, odd_rows, len(full)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
+                out.append((id_, source, place, edge_rows, breaks, odd_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=names)
 
     import pyarrow as pa
 
-    edge = "struct<tag:int,at:int,key:string,other:string,alone:boolean,number:boolean,heading:boolean,sentence:boolean,short:boolean,first:string,half:string,mark:string>"
-    names = ["id", "source_id", "chunk_index", "edges", "breaks", "odd", "lines"]
+    edge = "struct<tag:int,at:int,key:long,other:long,head:long,flags:int,first:string,half:string>"
+    names = ["id", "source_id", "chunk_index", "edges", "breaks", "odd"]
     flag, text_, whole = pa.bool_(), pa.string(), pa.int32()
     types = [
         pa.int64(), pa.int64(), whole,
-        pa.list_(pa.struct([("tag", whole), ("at", whole), ("key", text_), ("other", text_), ("alone", flag), ("number", flag), ("heading", flag), ("sentence", flag), ("short", flag), ("first", text_), ("half", text_), ("mark", text_)])),
+        pa.list_(pa.struct([("tag", whole), ("at", whole), ("key", pa.int64()), ("other", pa.int64()), ("head", pa.int64()), ("flags", whole), ("first", text_), ("half", text_)])),
         pa.list_(pa.struct([("a", whole), ("b", whole), ("joined", text_), ("compound", text_), ("soft", flag)])),
-        pa.list_(pa.struct([("tag", whole), ("word", text_)])), whole,
+        pa.list_(pa.struct([("tag", whole), ("word", text_)])),
     ]
-    schema = f"id long, source_id long, chunk_index int, edges array<{edge}>, breaks array<struct<a:int,b:int,joined:string,compound:string,soft:boolean>>, odd array<struct<tag:int,word:string>>, lines int"
+    schema = f"id long, source_id long, chunk_index int, edges array<{edge}>, breaks array<struct<a:int,b:int,joined:string,compound:string,soft:boolean>>, odd array<struct<tag:int,word:string>>"
     pages = chunks.where(F.lower("location").rlike(PAGE) & F.col("text").isNotNull() & F.col("id").isNotNull())
     return pages.select("id", "source_id", F.col("chunk_index").cast("int"), "text").mapInArrow(run, schema).dropDuplicates(["id"])
 
 
 def edge_noise(facts: DataFrame, sources: DataFrame | None) -> DataFrame:
     """``(id, source_id, chunk_index, tag, at, running, page_number)`` of the edge lines that are no body."""
-    rows = facts.select("id", "source_id", "chunk_index", "lines", F.explode("edges").alias("e")).select("id", "source_id", "chunk_index", "lines", "e.*")
-    keyed = rows.where((F.length("key") >= 4) & ~F.col("alone"))
+    rows = facts.select("id", "source_id", "chunk_index", F.explode("edges").alias("e")).select("id", "source_id", "chunk_index", "e.tag", "e.at", "e.key", "e.other", "e.head", "e.flags")
+    is_ = {name: F.col("flags").bitwiseAND(bit) > 0 for name, bit in (("alone", 1), ("number", 2), ("heading", 4), ("sentence", 8))}
+    rows = rows.withColumns(is_).drop("flags")
+    keyed = rows.where("key is not null and not alone")
     counts = keyed.where("not heading and not sentence").groupBy("source_id", "key").agg(F.count_distinct("id").alias("pages"))
-    heads = keyed.where("heading").select("source_id", F.regexp_replace("key", "^[0-9lo]{1,2}(?=..)", "").alias("key")).distinct()
-    heads = heads.union(keyed.where("heading").select("source_id", "key")).distinct().withColumn("head", F.lit(True))
-    rows = rows.union(rows.where("other <> ''").withColumns({"key": F.col("other"), "number": F.lit(False)}))
+    heads = keyed.where("heading").select("source_id", F.explode(F.array_compact(F.array("key", "head"))).alias("key")).distinct().withColumn("is_head", F.lit(True))
+    rows = rows.union(rows.where("other is not null").withColumns({"key": F.col("other"), "number": F.lit(False)}))
     joined = rows.join(counts, ["source_id", "key"], "left").join(heads, ["source_id", "key"], "left")
     if sources is not None:
-        key_of = F.udf(lambda t: _coarse(t) if t else None, "string")
+        key_of = F.udf(lambda t: _mark(_coarse(t)) if t else None, "long")
         titles = sources.where(F.col("title").isNotNull()).select(F.col("id").alias("source_id"), key_of("title").alias("title_key")).dropDuplicates(["source_id"])
         joined = joined.join(titles, "source_id", "left")
     else:
-        joined = joined.withColumn("title_key", F.lit(None).cast("string"))
-    known_line = (F.col("pages") >= 2) | F.coalesce("head", F.lit(False)) | F.coalesce(F.col("key") == F.col("title_key"), F.lit(False))
-    running = F.coalesce(~F.col("heading") & ~F.col("alone") & ~F.col("sentence") & (F.length("key") >= 4) & known_line, F.lit(False))
+        joined = joined.withColumn("title_key", F.lit(None).cast("long"))
+    known_line = (F.col("pages") >= 2) | F.coalesce("is_head", F.lit(False)) | F.coalesce(F.col("key") == F.col("title_key"), F.lit(False))
+    running = F.coalesce(~F.col("heading") & ~F.col("alone") & ~F.col("sentence") & known_line, F.lit(False))
     flagged = joined.withColumn("running", running).withColumn("page_number", F.col("alone") | (running & F.col("number")))
     flagged = flagged.groupBy("id", "source_id", "chunk_index", "tag", "at").agg(F.max("running").alias("running"), F.max("page_number").alias("page_number"), F.max(F.col("running") | F.col("alone")).alias("noise"))
     # a line counts only if all lines between it and the edge are noise too
@@ -275,10 +284,10 @@ def scan_noise(chunks: DataFrame, sources: DataFrame | None = None) -> dict[str,
     tops = F.array_sort(F.filter(inner, lambda e: e["tag"] > 0), lambda x, y: x["tag"] - y["tag"])
     bottoms = F.array_sort(F.filter(inner, lambda e: e["tag"] < 0), lambda x, y: y["tag"] - x["tag"])
     ends = pages.select("id", "source_id", "chunk_index", F.try_element_at(tops, F.lit(1)).alias("top"), F.try_element_at(bottoms, F.lit(1)).alias("bottom"))
-    tails = ends.where("bottom.half <> ''").select("id", "source_id", F.col("chunk_index").alias("i"), "bottom.half", "bottom.mark")
+    tails = ends.where("bottom.half <> ''").select("id", "source_id", F.col("chunk_index").alias("i"), "bottom.half", (F.col("bottom.flags").bitwiseAND(16) == 0).alias("soft"))
     starts = ends.select("source_id", (F.col("chunk_index") - 1).alias("i"), F.col("top.first").alias("rest")).dropDuplicates(["source_id", "i"])
     over = tails.join(starts, ["source_id", "i"], "left")
-    across = over.select("id", F.concat("half", F.coalesce("rest", F.lit(""))).alias("joined"), F.concat("half", F.lit("-"), F.coalesce("rest", F.lit(""))).alias("compound"), (F.col("mark") != "-").alias("soft"))
+    across = over.select("id", F.concat("half", F.coalesce("rest", F.lit(""))).alias("joined"), F.concat("half", F.lit("-"), F.coalesce("rest", F.lit(""))).alias("compound"), "soft")
     broken = inside.union(across)
     counts = words.select("word", "n").distinct()
     rightly = misread.select(F.col("word").alias("joined"), "right")
