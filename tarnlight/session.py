@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,26 @@ def local_session(app: str = "tarnlight", cpus: int | str = 8, memory: str = "8g
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="spark-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(home.rglob("*.py")):
+            archive.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(packed))
+    _shipped.add(context.applicationId)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table of a data folder."""
+    """A table of a data folder; the first call of an application also ships this package."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
