@@ -23,17 +23,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, folder, "memory_recall")).select("session_id", "turn", "message_id")
 
 
+#: The tables with personal data, and the column of each that holds the text.
+PERSONAL = (("memory_recall", "content"), ("atomic_memories", "fact"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     tagger = personal.train()
     found = [
         personal.find_personal_data(read(spark, folder, table), "id", column, tagger).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), F.explode("kinds").alias("kind"))
-        for table, column in (("memory_recall", "content"), ("atomic_memories", "fact"))
+        for table, column in PERSONAL
     ]
     return union_all(found).distinct()
 
 
 def p5_masked(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.find_personal_data(read(spark, folder, "memory_recall").dropDuplicates(["id"]), "id", "content").select("id", "masked")
+    """Every row of both tables with its text masked; a row written twice comes out once."""
+    tagger = personal.train()
+    found = [
+        personal.find_personal_data(read(spark, folder, table).select("id", column).distinct(), "id", column, tagger).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "masked")
+        for table, column in PERSONAL
+    ]
+    return union_all(found)
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
