@@ -2,9 +2,12 @@
 
 A text is cut into lines and sentences. Numbers, addresses, dates and identifiers are masked, so that every copy of a
 message has one normalised form. Rules on phrases and placeholders name the forms that are residue, furniture of a page,
-or a bare label. Forms that no rule names are grouped by exact hash across all documents and sources: one that
-occurs in several sources, and almost only beside residue and never beside content, is part of such a message and is
-taken as residue too. A document is residue if it has at least one residue piece and no content.
+or a bare label. Forms that no rule names are grouped by exact hash across all documents and sources, whatever the length
+of the documents. One that occurs in several sources and almost only beside residue is part of such a message; the
+more unnamed pieces stand in its documents, the more sources must show it. One that occurs in a share of all sources,
+almost only in documents that hold nothing but such forms, is a message of its own even if no rule names any of its
+words. Recurrence in a few sources alone tells nothing, for articles are copied too. A document is residue if all its
+pieces but labels are residue or learned forms.
 """
 
 from __future__ import annotations
@@ -77,7 +80,10 @@ _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _RULES = {name: re.compile(rule) for name, rule in (("furniture", FURNITURE), ("status", STATUS), ("error", ERROR), ("script", SCRIPT), ("filler", FILLER), ("placeholder", PLACEHOLDER), ("undone", UNDONE), ("beside", BESIDE))}
 _NONSENSE = re.compile(r"^(?:(?:x{2,}|foo|bar|baz|test|asdf|qwer|text|blah?)\b\W*){20}")
 _SENTENCE_END = re.compile(r"[.!?…]\W*$")
-SOURCES = 3
+#: A form that recurs is in so many sources; beside residue, a source speaks for so many unnamed pieces of a page.
+SOURCES, PIECES_EACH = 3, 2
+#: A form is everywhere if it is in this share of all sources, and in so many at least.
+WIDE_SHARE, WIDE = 0.002, 10
 
 
 def masked(piece: str) -> str:
@@ -156,18 +162,29 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
         F.count_if(F.col("kind") == "residue").alias("residue"), F.count_if(F.col("kind") == "content").alias("content")
     )
     sure = verdict.where("residue > 0 and content = 0").select("doc")
-    # forms that no rule names, in documents that have residue
-    doubtful = verdict.where("residue > 0 and content between 1 and 6").select("doc")
-    open_forms = slim.where("kind = 'content'")
-    suspects = open_forms.join(doubtful, "doc", "left_semi").select("h").distinct()
-    beside = open_forms.join(suspects, "h", "left_semi").join(verdict.select("doc", "residue", F.col("content").alias("all_content")), "doc")
-    spread = beside.groupBy("h").agg(
-        F.count_distinct("source").alias("sources"), F.count_distinct("doc").alias("docs"), F.count_distinct(F.when((F.col("residue") > 0) & (F.col("all_content") <= 6), F.col("doc"))).alias("with_residue")
-    )
-    learned = spread.where(f"sources >= {SOURCES} and with_residue >= 0.95 * docs").select("h")
-    left = open_forms.join(doubtful, "doc", "left_semi").join(learned.withColumn("known", F.lit(1)), "h", "left")
-    more = left.groupBy("doc").agg(F.count_if(F.col("known").isNull()).alias("unknown")).where("unknown = 0").select("doc")
-    return sure.union(more).withColumnRenamed("doc", key)
+    open_forms = slim.where("kind = 'content'").select("doc", "source", "h")
+    spread = open_forms.groupBy("h", "source").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("sources")).where(f"sources >= {SOURCES}")
+    tagged = open_forms.join(spread, "h", "left")
+    whole = tagged.groupBy("doc").agg((F.count_if(F.col("sources").isNull()) == 0).alias("whole"))
+    forms = cut(tagged.where("sources is not null").select("h", "doc", "sources").distinct().join(verdict, "doc").join(whole, "doc"))
+    # beside residue: the longer the page, the more sources must show it, for an article that quotes an error is copied too
+    beside = forms.groupBy("h").agg(F.count("*").alias("docs"), F.count_if(F.expr(f"residue > 0 and content <= {PIECES_EACH} * sources")).alias("with_residue"))
+    learned = cut(beside.where("with_residue >= 0.95 * docs").select("h"))
+    # everywhere: forms of a share of all sources, in texts that hold nothing but such forms and residue
+    least = max(WIDE, WIDE_SHARE * slim.agg(F.count_distinct("source")).first()[0])
+    wide = cut(forms.where(F.col("sources") >= least).select("h").distinct())
+    number = wide.count()
+    while True:
+        known = learned.union(wide).distinct().withColumn("known", F.lit(True))
+        closed = forms.where("whole").join(known, "h", "left").groupBy("doc").agg(F.count_if(F.col("known").isNull()).alias("unknown")).where("unknown = 0").select("doc")
+        if not number:
+            break
+        inside = forms.join(wide, "h", "left_semi").join(closed.withColumn("closed", F.lit(True)), "doc", "left")
+        wide = cut(inside.groupBy("h").agg(F.count("*").alias("docs"), F.count("closed").alias("closed")).where("closed >= 0.95 * docs").select("h"))
+        before, number = number, wide.count()
+        if number == before:
+            break
+    return sure.union(closed).withColumnRenamed("doc", key)
 
 
 def without_residue(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
