@@ -79,7 +79,15 @@ _BLANKS = re.compile(r"[\s\u200b\u200e\u200f\ufeff\u2060]+")
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _RULES = {name: re.compile(rule) for name, rule in (("furniture", FURNITURE), ("status", STATUS), ("error", ERROR), ("script", SCRIPT), ("filler", FILLER), ("placeholder", PLACEHOLDER), ("undone", UNDONE), ("beside", BESIDE))}
 _NONSENSE = re.compile(r"^(?:(?:x{2,}|foo|bar|baz|test|asdf|qwer|text|blah?)\b\W*){20}")
+# Where a long piece is cut further: scripts and tags, fields of JSON and tables, after placeholders; then at commas and the like.
+_SCRIPTS = re.compile(r"<(script|style)\b[^<>]*>.*?</\1>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-z!?][^<>]*>")
+_FIELDS = re.compile(r"(?<=,)\s*(?=[\"{\[])|(?<=[{\[])\s*(?=\")|\s+[|·•]\s+|\t+")
+_CLAUSES = re.compile(r"(?<=[,;:])\s+|\s+[–—-]\s+")
+_JSON_STATE = re.compile(r"^\W*\"status\": ?\"")
 _SENTENCE_END = re.compile(r"[.!?…]\W*$")
+#: Characters beyond which a piece is cut further.
+LONG = 400
 #: A form that recurs is in so many sources; beside residue, a source speaks for so many unnamed pieces of a page.
 SOURCES, PIECES_EACH = 3, 2
 #: A form is everywhere if it is in this share of all sources, and in so many at least.
@@ -97,8 +105,8 @@ def classify(form: str) -> str:
     words = len(found)
     if words >= 3 and sum(w in LATIN for w in found) >= words * 0.6:
         return "residue"
-    if len(form) > 400:
-        return "residue" if _NONSENSE.match(form) else "content"
+    if len(form) > LONG and _NONSENSE.match(form):
+        return "residue"
     plain = _BARE.sub("", form)
     if words <= 12 and (_RULES["furniture"].search(form) or _RULES["furniture"].search(plain)):
         return "furniture"
@@ -123,6 +131,40 @@ def classify(form: str) -> str:
     return "content"
 
 
+def _after_placeholders(text: str) -> list[str]:
+    ends = [0, *(m.end() for m in _RULES["placeholder"].finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(ends, ends[1:]) if text[a:b].strip()]
+
+
+def classify_long(piece: str) -> list[tuple[str, str]]:
+    """``(form, kind)`` of the parts of a lower-cased piece that is long when masked.
+
+    Tags tell nothing unless a rule names them. Other parts that only their shortness makes labels count as content, for
+    prose and records are cut into short parts as well; between tags, and beside one word of a field, they stay labels. If
+    no part is residue the piece is what it is as a whole.
+    """
+    whole = masked(piece)
+    if (kind := classify(whole)) != "content":
+        return [(whole, kind)]
+    bare = _SCRIPTS.sub(" ", piece)
+    tags, texts = [m[0] for m in _TAG.finditer(bare)], _TAG.split(bare)
+    out = [(form, "residue") for tag in tags if classify(form := masked(tag)) == "residue"]
+    for text in texts:
+        fields = [f for f in _FIELDS.split(text) if f and f.strip()]
+        for field in fields:
+            for part in _after_placeholders(field):
+                form = masked(part)
+                kind = "content" if _JSON_STATE.match(form) else classify(form)
+                clauses = [c for c in _CLAUSES.split(part) if c.strip()] if kind == "content" and len(form) > LONG else []
+                if len(clauses) > 1:
+                    out += [(c, k if k != "label" or _RULES["beside"].search(_BARE.sub("", c)) else "content") for c, k in ((c, classify(c)) for c in map(masked, clauses)) if c]
+                elif kind == "label" and not tags and len(_WORDS.findall(form)) > 2 and not _RULES["beside"].search(_BARE.sub("", form)):
+                    out.append((form, "content"))
+                elif form:
+                    out.append((form, kind))
+    return out if any(k == "residue" for _, k in out) else [(whole, "content")]
+
+
 def pieces(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``(doc, source, h, kind)``, a row per line or sentence that is residue or content; h is the hash of its form."""
 
@@ -137,8 +179,7 @@ def pieces(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
             for i, value in enumerate(texts):
                 for piece in _ENDS.split(value.replace("\r", "\n")):
                     form = masked(piece)
-                    if form:
-                        kind = classify(form)
+                    for form, kind in [] if not form else [(form, classify(form))] if len(form) <= LONG else classify_long(piece.lower()):
                         if kind in ("residue", "content"):
                             at.append(i)
                             hashes.append(int.from_bytes(hashlib.blake2b(form.encode(), digest_size=8).digest(), "little", signed=True))
