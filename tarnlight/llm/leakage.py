@@ -74,26 +74,30 @@ def stretches(item: list[int], thirds: dict[tuple, list[int]], document: list[in
 def holds(item: list[int], thirds: dict[tuple, list[int]], numbers: set[int], document: list[int]) -> bool:
     """True if the document holds at least half of the item in at most two stretches with few changes."""
     runs = stretches(item, thirds, document)
-    scored = []
+    # by item interval and the item's numbers found there: the first and the last place in the document
+    places: dict[tuple, tuple[int, int]] = {}
+    asked_of = numbers.intersection(item)
     for a, b, c, d in runs:
         if b - a < 6:
             continue
         kept = common_order(item[a:b], document[c:d])
         if kept >= KEPT * max(b - a, d - c):
-            scored.append((a, b, c, d, kept))
-    scored.sort(key=lambda r: r[0] - r[1])
-    scored = scored[:12]
+            at = (a, b, frozenset(asked_of.intersection(document[c:d])))
+            first, last = places.get(at, (c, c))
+            places[at] = min(first, c), max(last, c)
+    scored = sorted(places.items(), key=lambda r: r[0][0] - r[0][1])
     need = PART * len(item)
-    for n, one in enumerate(scored):
-        for two in [None, *scored[n + 1 :]]:
-            if two is not None and (max(one[0], two[0]) < min(one[1], two[1]) - 2 or (one[0] < two[0]) != (one[2] < two[2])):
-                continue
+    for n, (one, (first, last)) in enumerate(scored):
+        for two, (first2, last2) in [(None, (0, 0)), *scored[n + 1 :]]:
             parts = [one] if two is None else [one, two]
-            span = sum(p[1] - p[0] for p in parts)
-            if span < need - 1:
+            if sum(p[1] - p[0] for p in parts) < need - 1:
+                if two is None:
+                    continue
+                break  # the rest are no longer
+            if two is not None and (max(one[0], two[0]) < min(one[1], two[1]) - 2 or not (first < last2 if one[0] < two[0] else last >= first2)):
                 continue
             asked = [w for p in parts for w in item[p[0] : p[1]] if w in numbers]
-            there = {w for p in parts for w in document[p[2] : p[3]]}
+            there = frozenset().union(*(p[2] for p in parts))
             if not asked or sum(w in there for w in asked) >= NUMBERS * len(asked):
                 return True
     return False
