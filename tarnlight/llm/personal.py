@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tarnlight.llm import personal_table
-from tarnlight.operators.name_variants import FULL_FORM, LEGAL, PET_FORMS, SHORT_FOR, fold, one_slip
+from tarnlight.llm.name_variants import FULL_FORM, LEGAL, PET_FORMS, SHORT_FOR, fold, one_slip
 
 TRAINING_ROWS, EPOCHS, BATCH, RATE, DECAY = 3600, 4, 48, 0.25, 2e-6
 KINDS = ["name", "email", "phone", "id", "address", "org"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 
-from tarnlight.operators.name_variants import KIND_WORDS, PET_FORMS
+from tarnlight.llm.name_variants import KIND_WORDS, PET_FORMS
 
 # Fixed table: labelled sentences. {name}, {email}, {phone}, {id}, {address} and {org} are labelled parts, <...> unlabelled ones.
 LINES = """

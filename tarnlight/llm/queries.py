@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import conversations, encoding, leakage, personal, residue, scan_noise
+from tarnlight.llm import conversations, encoding, leakage, name_variants, personal, residue, scan_noise, similar_vectors
 from tarnlight.session import read, union_all
 
 
@@ -19,10 +19,21 @@ def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise.repair_pages(read(spark, folder, "chunks"), read(spark, folder, "sources"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    tables = ("atomic_memories", "hypotheses")
+    return union_all([similar_vectors.similar_pairs(read(spark, folder, t)).select(F.lit(t).alias("collection"), "id_a", "id_b") for t in tables])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild_conversations(read(spark, folder, "memory_recall")).select("session_id", "turn", "message_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    authors = read(spark, folder, "sources").select(F.col("author").alias("name"))
+    entities = read(spark, folder, "memory_entities").select(F.col("entity").alias("name"))
+    return name_variants.variant_pairs(authors.union(entities))
+
+
 #: The tables with personal data, and the column of each that holds the text.
 PERSONAL = (("memory_recall", "content"), ("atomic_memories", "fact"))
 
@@ -61,7 +72,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_paragraphs": p1_paragraphs,
+    "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_masked": p5_masked,
     "p6_ids": p6_ids,
