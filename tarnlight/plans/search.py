@@ -49,14 +49,6 @@ def nearest(spark, folder):
     return S.most_similar(read(spark, folder, "embeddings"), one_vector(spark, folder), 50)
 
 
-@add("V3")
-def nearest_by_index(spark, folder):
-    """The approximate index: collision counting over the hypotheses, every vector a query."""
-    from tarnlight.operators.similar_vectors import similar_vectors
-
-    return similar_vectors(read(spark, folder, "hypotheses"), k=3, least=0.6)
-
-
 @add("V4", _bm25_sql(TERMS, CHUNKS, "id", "text", " ORDER BY score DESC, id LIMIT 50")[1:-1])
 @add("T1", _bm25_sql(TERMS, CHUNKS, "id", "text", " ORDER BY score DESC, id LIMIT 50")[1:-1])
 def keyword_search(spark, folder):
