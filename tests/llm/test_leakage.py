@@ -44,3 +44,42 @@ def test_passages(spark):
     got = {(r.doc_id, r.item_id) for r in leaked_items(corpus, items).collect()}
     assert got == {(10, 1), (11, 1), (12, 1), (13, 1), (14, 1), (15, 2), (20, 2)}
     assert leaked_items(corpus.limit(0), items).count() == 0 and leaked_items(corpus, items.limit(0)).count() == 0
+
+
+def test_short_items_string_keys_paraphrases_and_parts(spark):
+    r = random.Random(4)
+    noise = lambda n: " ".join(r.choice(FILL) for _ in range(n))
+    one = ITEMS[1].split()
+    reworded = [w if n % 10 != 4 else "reworded" for n, w in enumerate(one)]
+    items = {"a": "Seven lamps guard the northern stair", "b": ITEMS[1], "c": ITEMS[2], "d": ITEMS[1], "e": "Quietly onwards", None: "The tin owl sang of rain twelve times before noon"}
+    docs = {
+        "x": f"{noise(40)} seven lamps guard the northern stair {noise(40)}", "y": "Seven lamps guard the northern stair.", "z": f"{noise(40)} seven lamps guard the southern stair {noise(9)}",
+        "p": f"{noise(50)} {' '.join(reworded)} {noise(50)}", "q": f"{noise(50)} quietly, onwards {noise(50)}", "n": f"the tin owl sang of rain twelve times before noon {noise(30)}", None: ITEMS[2], "r": "quietly they went onwards",
+    }
+    corpus = spark.createDataFrame(list(docs.items()), "id string, text string")
+    asked = spark.createDataFrame(list(items.items()), "item string, text string")
+    want = {("x", "a"), ("y", "a"), ("p", "b"), ("p", "d"), ("q", "e"), ("n", None), (None, "c")}
+    for most in (20_000, 2):
+        got = leaked_items(corpus, asked, key="id", item_key="item", most=most)
+        assert got.columns == ["id", "item"] and {tuple(x) for x in got.collect()} == want
+
+
+def test_candidates_equal_brute_force(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    items = {i: " ".join(r.choice(words) for _ in range(r.randrange(24, 70))) for i in range(30)}
+    docs, want = {}, set()
+    for d in range(120):
+        parts = [" ".join(r.choice(words) for _ in range(r.randrange(5, 120))) for _ in range(3)]
+        if d % 2:
+            i = r.randrange(30)
+            own = items[i].split()
+            half = len(own) // 2 + 2
+            at = r.randrange(0, len(own) - half + 1)
+            piece = own[at : at + half]
+            parts[1:1] = [" ".join(piece)] if d % 4 == 1 else [" ".join(piece[: half // 2]), " ".join(r.choice(words) for _ in range(20)), " ".join(piece[half // 2 :])]
+            want.add((d, i))
+        docs[d] = " ".join(parts)
+    corpus, asked = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {tuple(x) for x in leaked_items(corpus, asked).collect()}
+    assert len(want & got) >= 0.95 * len(want) and not got - want

@@ -1,9 +1,13 @@
 import random
 
-from tarnlight.llm.leakage import holds
+from tarnlight.llm.leakage import hits_of
+from tarnlight.llm.leakage import holds as holds_hits
 
 ITEM = list(range(60))
-THIRDS = {(i, i + 1, i + 2): [i] for i in range(58)}
+
+
+def holds(item, numbers, document):
+    return holds_hits(item, hits_of(item, document), numbers, document)
 
 
 def noise(n):
@@ -12,12 +16,12 @@ def noise(n):
 
 def test_part_repeated_many_times_does_not_hide_the_other():
     document = [w for _ in range(14) for w in [*ITEM[:20], *noise(30)]] + [*ITEM[40:52], *noise(10)]
-    assert holds(ITEM, THIRDS, set(), document)
+    assert holds(ITEM, set(), document)
     # in the wrong order only
-    assert not holds(ITEM, THIRDS, set(), [*ITEM[40:52], *noise(30), *[w for _ in range(14) for w in [*ITEM[:20], *noise(30)]]])
+    assert not holds(ITEM, set(), [*ITEM[40:52], *noise(30), *[w for _ in range(14) for w in [*ITEM[:20], *noise(30)]]])
     # with the numbers in one of the repetitions only
     changed = [999 if w in (3, 7, 11) else w for w in ITEM[:20]]
-    assert holds(ITEM, THIRDS, {3, 7, 11}, [w for i in range(14) for w in [*(ITEM[:20] if i == 6 else ITEM[:3] + changed[3:]), *noise(30)]] + [*ITEM[40:52], *noise(10)])
+    assert holds(ITEM, {3, 7, 11}, [w for i in range(14) for w in [*(ITEM[:20] if i == 6 else ITEM[:3] + changed[3:]), *noise(30)]] + [*ITEM[40:52], *noise(10)])
 
 
 def test_pairs_equal_brute_force():
@@ -28,4 +32,4 @@ def test_pairs_equal_brute_force():
         want = any(b - a >= 29 for a, b in parts) or any(
             b - a + d - c >= 29 and b <= c + 2 for i, (a, b) in enumerate(parts) for c, d in parts[i + 1 :] if a < c
         )
-        assert holds(ITEM, THIRDS, set(), document) == want
+        assert holds(ITEM, set(), document) == want
