@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnlight.session import cut, union_all
 
-WINDOW, RANK, EXTRA = 20, 64, 16
+WINDOW, RANK, EXTRA = 20, 64, 8
 #: Least cosine of a candidate, for whole windows and for those of short items.
 CLOSE, CLOSE_SHORT = 0.55, 0.35
 #: Share of an item that counts, words that are no short quotation, share of kept words and of kept numbers.
@@ -34,6 +34,7 @@ PART, QUOTED, KEPT, NUMBERS = 0.5, 8, 0.86, 0.6
 MOST_ITEMS = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
+_ASCII_WORDS = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
 
 
@@ -43,7 +44,15 @@ def words_of(text: str) -> list[str]:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if "-\n" in text:
         text = re.sub(r"(\w)-\n\s*(\w)", r"\1\2", text)
-    return _WORD.findall(text.lower())
+    # the same words either way; splitting is several times as fast
+    return text.lower().translate(_ASCII_WORDS).split() if text.isascii() else _WORD.findall(text.lower())
+
+
+class _Numbers(dict):
+    """Numbers of words, -1 for words without one."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
 
 
 def common_order(a: list[int], b: list[int]) -> int:
@@ -76,7 +85,11 @@ def stretches(hits: list[tuple[int, int]], seed: int = 3) -> list[tuple[int, int
     """
     runs: list[list[int]] = []
     open_: dict[int, list[int]] = {}
+    best = None
     for d, i in hits:
+        if best is not None and best[1] - i == best[3] - d == seed - 1:
+            best[1], best[3] = i + seed, d + seed  # the run goes on by one word
+            continue
         best = None
         for shift in range(-4, 5):
             run = open_.get(d - i + shift)
@@ -183,7 +196,8 @@ def close_pairs(windows: np.ndarray, first: np.ndarray, targets: np.ndarray, fir
         cosine = windows[a : a + step] @ turned
         own = owner[a : a + step]
         begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        best = np.maximum.reduceat(np.maximum.reduceat(cosine, begins, axis=0), first_target, axis=1)
+        of_sequence = np.stack([cosine[b:e].max(axis=0) for b, e in zip(begins, np.append(begins[1:], len(own)))])
+        best = np.maximum.reduceat(of_sequence, first_target, axis=1)
         at, item = np.nonzero(best >= least)
         found.append(np.stack([own[begins[at]], item], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -226,7 +240,7 @@ def _latent_space(tokens: DataFrame, weight: np.ndarray, seed: int) -> np.ndarra
             words, sums = blocks_of(batch.column(0), table)
             for a in range(0, len(words), 16_384):
                 flat = words[a : a + 16_384].reshape(-1)
-                order = np.argsort(flat, kind="stable")
+                order = np.argsort(flat.astype(np.int16) if size < 32_768 else flat, kind="stable")
                 order = order[np.searchsorted(flat[order], 0) :]
                 if len(order):
                     terms = flat[order]
@@ -270,11 +284,11 @@ def _leaks(documents: DataFrame, key: str, text: str, listed: list[tuple[list, l
     def tokenised(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        number = given.value
+        number = _Numbers(given.value)
         for batch in batches:
             at, packed = [], []
             for n, value in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([number.get(w, -1) for w in words_of(value)], np.int32) if value else np.empty(0, np.int32)
+                ids = np.array(list(map(number.__getitem__, words_of(value))), np.int32) if value else np.empty(0, np.int32)
                 if (ids >= 0).any():
                     at.append(n)
                     packed.append(zlib.compress(ids.tobytes(), 1))
@@ -326,6 +340,7 @@ def _leaks(documents: DataFrame, key: str, text: str, listed: list[tuple[list, l
         table, targets, known, begin, owners, places, items, digits, keys = goal.value
         least = np.array([least_hits(len(s)) for s in items])
         tiny = np.array([len(s) < 3 for s in items])
+        longest = max(len(s) for s in items) + 1
         for batch in batches:
             docs = _unpacked(batch.column(1))
             pairs = []
@@ -345,14 +360,17 @@ def _leaks(documents: DataFrame, key: str, text: str, listed: list[tuple[list, l
                 hit_pair, hit_doc, hit_item = _hits(docs, doc_group, len(items), candidates, known, begin, owners, places, table.shape[0] - 1)
                 if not len(hit_pair):
                     continue
+                different = np.unique(hit_pair * longest + hit_item) // longest
+                pairs_hit, number_of = np.unique(different, return_counts=True)
+                enough = pairs_hit[number_of >= least[pairs_hit % len(items)]]
+                if not len(enough):
+                    continue
+                kept = enough[np.minimum(np.searchsorted(enough, hit_pair), len(enough) - 1)] == hit_pair
+                hit_pair, hit_doc, hit_item = hit_pair[kept], hit_doc[kept], hit_item[kept]
                 by = np.lexsort((hit_item, hit_doc, hit_pair))
                 hit_pair, hit_doc, hit_item = hit_pair[by], hit_doc[by], hit_item[by]
-                different = np.unique(np.stack([hit_pair, hit_item], axis=1), axis=0)[:, 0]
                 starts = np.flatnonzero(np.r_[True, hit_pair[1:] != hit_pair[:-1]])
-                ends = np.append(starts[1:], len(hit_pair))
-                number_of = np.bincount(np.searchsorted(hit_pair[starts], different))
-                enough = number_of >= least[hit_pair[starts] % len(items)]
-                for a, b in zip(starts[enough], ends[enough]):
+                for a, b in zip(starts, np.append(starts[1:], len(hit_pair))):
                     doc, n = divmod(int(hit_pair[a]), len(items))
                     if holds(items[n], list(zip(hit_doc[a:b].tolist(), hit_item[a:b].tolist())), digits, docs[doc].tolist()):
                         out_doc.append(doc)
