@@ -39,8 +39,11 @@ class Rule:
     and is only suspected: what it is, its recurrence and its company decide.
     """
 
-    def __init__(self, kind: str, words: int, cues: str, pattern: str):
-        self.kind, self.words, self.cues, self.find = kind, words, cues.split(";"), re.compile(pattern).search
+    def __init__(self, kind: str, words: int, cues: str, pattern: str, guard: str = ""):
+        self.kind, self.words, self.cues = kind, words, cues.split(";")
+        find, first = re.compile(pattern).search, re.compile(guard).search
+        # a guard is what the pattern needs as well and is found faster
+        self.find = (lambda form: first(form) and find(form)) if guard else find
 
 
 # Fixed rules: what is found, words up to which it is sure, cues, pattern.
@@ -68,10 +71,11 @@ RULES = [
          r"|\b(java ?script|js|scripts?|scripting|cookies)\b.{0,60}\b(enabled?|required?|needed|turned on|switched on|disabled|blocked|allowed|necessary|turn (it|them) on|to continue|to prove)\b"
          r"|^noscript\b|^turn (them|it) on\b|you cannot (read|see|load|continue|open|view)|(bitte |sie müssen )?(aktivieren|erlauben|schalten|zulassen|einschalten).{0,40}(java ?script|skripte?|scripts?)|(java ?script|skripte?|scripts?).{0,60}(aktivier|erlaub|einschalt|zulass|benötigt|erforderlich|aktiviert)"
          r"|(activer|activez|autoriser|autorisez|veuillez).{0,40}(java ?script|scripts?)|(java ?script|scripts?).{0,40}(activé|désactivé|requis|nécessaire|bloqués?)"
-         r"|(habilite|active|activar|permita|habilitar|necesita|requiere).{0,40}(java ?script|scripts?)|(java ?script|scripts?).{0,40}(activado|habilitad|desactivado|necesari|bloquead)"),
-    Rule("residue", 60, "here;this is ;with your own;placeholder;text;blindtext;hier ;exemple;factice;de remplacement;à venir;ejemplo;relleno;muestra;provisional;aquí;ici",
+         r"|(habilite|active|activar|permita|habilitar|necesita|requiere).{0,40}(java ?script|scripts?)|(java ?script|scripts?).{0,40}(activado|habilitad|desactivado|necesari|bloquead)",
+         r"\b(java ?script|js|scripts?|scripting|cookies|skripte?|noscript)|^turn (them|it) on|you cannot "),
+    Rule("residue", 60, " here;this is ;with your own;placeholder;text;hier ;exemple;factice;de remplacement;à venir;ejemplo;relleno;muestra;o provisional;aquí; ici",
          r"your (content|text|title) (goes )?here|this is (a )?(sample|placeholder|dummy|example|filler) (text|content|paragraph|page)|replace (it|this|the text|this text) with your own|placeholder (paragraph|text|content|image)"
-         r"|^(text\W*)+$|add (a|your|some) .{0,60} here\W*$|(enter|insert|type|write|put|paste) (a|your|some|the) .{0,50} here\W*$|blindtext|hier steht später|hier (folgt|kommt) (später )?(der )?(text|inhalt)|platzhalter(text)?|(texte|contenu) (d'exemple|factice|de remplacement|à venir)|votre (texte|contenu) ici"
+         r"|^text(\W+text)+\W*$|add (a|your|some) .{0,60} here\W*$|(enter|insert|type|write|put|paste) (a|your|some|the) .{0,50} here\W*$|blindtext|hier steht später|hier (folgt|kommt) (später )?(der )?(text|inhalt)|platzhalter(text)?|(texte|contenu) (d'exemple|factice|de remplacement|à venir)|votre (texte|contenu) ici"
          r"|(texto|contenido) (de ejemplo|de relleno|de muestra|provisional)|(su|tu) (texto|contenido) (aquí|va aquí)|aquí va (su|tu|el) (texto|contenido)"),
     Rule("residue", 60, "xx;foo;bar;baz;qux;test;asdf;qwer;hjkl;bla;abc;xyz;platzhalter;coming soon;under construction;lorem ipsum",
          r"^x{2,}(\W+x{2,})*\W*$|^((foo|bar|baz|qux|test|asdf|qwer|qwerty|hjkl|blah|bla|abc|xyz)\W*){3,}$|platzhalter(text)?|coming soon\W*$|under construction\W*$|lorem ipsum( dolor sit amet)?\W*$"),
@@ -88,7 +92,8 @@ LATIN = set((
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris "
     "nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split())
-_BARE = re.compile(r"^[\s#>*\-|+=~`.:•]+|[\s|`]+$")
+#: Bullets, quotation and table marks around a piece.
+_BARE_MARKS = "#>*-|+=~`.:• \t"
 _ENDS = re.compile(r"\n|(?<=[.!?…])\s+|(?<=[.!?…][\"')\]])\s+")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,60}@[\w.-]{1,60}|(?<!\S)/[\w./-]+")
 _DIGITS = re.compile(r"\b(?=[0-9a-f]{0,40}[0-9])[0-9a-f]{5,}\b|\b\d+(?:[.,:/-]\d+)*\b")
@@ -110,6 +115,8 @@ _SENTENCE_END = re.compile(r"[.!?…]\W*$")
 LONG = 400
 #: A form that recurs is in so many sources; beside residue, a source speaks for so many unnamed pieces of a page.
 SOURCES, PIECES_EACH = 3, 2
+#: Kinds that count, the stronger first.
+KINDS = ["residue", "suspect", "content"]
 #: Rows beyond which a form is hot.
 HOT = 100_000
 #: A form is everywhere if it is in this share of all sources, and in so many at least.
@@ -161,7 +168,13 @@ def classify(form: str) -> str:
     """What a masked piece is by rule: ``residue``, ``suspect``, ``furniture``, ``label`` or ``content``."""
     tokens, cues = form.split(), _cues_in(form)
     core = not _CORE.isdisjoint(tokens) or "lorem" in form
-    if not cues and not core and len(tokens) > 12 and sum(map(str.isalpha, tokens)) > 6:
+    plain = form.strip(_BARE_MARKS)
+    blanks = _PLACEHOLDER.search(form) if -1 in cues else None
+    hits = [rule for n, rule in enumerate(RULES) if n in cues and (rule.find(plain) or rule.find(form))] if cues else []
+    named = core or blanks or hits
+    if not named and (_FURNITURE.match(form) or _FURNITURE.match(plain)):
+        return "furniture"
+    if not named and sum(map(str.isalpha, tokens)) > 6:
         return "content"
     found = _WORDS.findall(form)
     words = len(found)
@@ -169,21 +182,16 @@ def classify(form: str) -> str:
         return "residue"
     if len(form) > LONG and _NONSENSE.match(form):
         return "residue"
-    plain = _BARE.sub("", form)
-    if words <= 12 and (_FURNITURE.match(form) or _FURNITURE.match(plain)):
+    if named and words <= 12 and (_FURNITURE.match(form) or _FURNITURE.match(plain)):
         return "furniture"
     if words <= 1 and ALONE.match(plain):
         return "residue"
-    suspect = False
-    if -1 in cues and _PLACEHOLDER.search(form):
-        if len(_WORDS.findall(_PLACEHOLDER.sub(" ", form))) <= BESIDE_PLACEHOLDERS:
-            return "residue"
-        suspect = True
-    for n in sorted(cues):
-        if n >= 0 and (RULES[n].find(plain) or RULES[n].find(form)):
-            if words <= RULES[n].words:
-                return RULES[n].kind
-            suspect = True
+    if blanks and len(_WORDS.findall(_PLACEHOLDER.sub(" ", form))) <= BESIDE_PLACEHOLDERS:
+        return "residue"
+    for rule in hits:
+        if words <= rule.words:
+            return rule.kind
+    suspect = bool(blanks or hits)
     if suspect:
         return "suspect"
     if words <= 1 or (words <= 6 and not _SENTENCE_END.search(form)):
@@ -217,8 +225,8 @@ def classify_long(piece: str) -> list[tuple[str, str]]:
                 kind = "content" if _JSON_STATE.match(form) else classify(form)
                 clauses = [c for c in _CLAUSES.split(part) if c.strip()] if kind in ("content", "suspect") and len(form) > LONG else []
                 if len(clauses) > 1:
-                    out += [(c, k if k != "label" or _BESIDE.search(_BARE.sub("", c)) else "content") for c, k in ((c, classify(c)) for c in map(masked, clauses)) if c]
-                elif kind == "label" and not tags and len(_WORDS.findall(form)) > 2 and not _BESIDE.search(_BARE.sub("", form)):
+                    out += [(c, k if k != "label" or _BESIDE.search(c.strip(_BARE_MARKS)) else "content") for c, k in ((c, classify(c)) for c in map(masked, clauses)) if c]
+                elif kind == "label" and not tags and len(_WORDS.findall(form)) > 2 and not _BESIDE.search(form.strip(_BARE_MARKS)):
                     out.append((form, "content"))
                 elif form:
                     out.append((form, kind))
@@ -227,7 +235,7 @@ def classify_long(piece: str) -> list[tuple[str, str]]:
 
 
 def pieces(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """``(doc, source, h, kind)``, a row per line or sentence that is residue, suspect or content; h is the hash of its form.
+    """``(doc, source, h, kind)``, a row per line or sentence; h is the hash of its form, kind its place in ``KINDS``.
 
     The kind depends on the form alone, so that equal forms have equal kinds wherever they are met.
     """
@@ -237,11 +245,11 @@ def pieces(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
         import pyarrow as pa
 
-        known: dict[str, list[tuple[int, str]]] = {}
+        known: dict[str, list[tuple[int, int]]] = {}
 
-        def read(piece: str, form: str) -> list[tuple[int, str]]:
+        def read(piece: str, form: str) -> list[tuple[int, int]]:
             forms = [(form, classify(form))] if len(form) <= LONG else classify_long(piece.lower())
-            return [(int.from_bytes(hashlib.blake2b(shared_form(f).encode(), digest_size=8).digest(), "little", signed=True), k) for f, k in forms if k in ("residue", "suspect", "content")]
+            return [(int.from_bytes(hashlib.blake2b((shared_form(f) if k == "residue" else f).encode(), digest_size=8).digest(), "little", signed=True), KINDS.index(k)) for f, k in forms if k in KINDS]
 
         for batch in batches:
             docs, sources, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
@@ -262,15 +270,18 @@ def pieces(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
                         hashes.append(h)
                         kinds.append(kind)
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.take(rows), sources.take(rows), pa.array(hashes, pa.int64()), pa.array(kinds, pa.string())], names=["doc", "source", "h", "kind"])
+            yield pa.RecordBatch.from_arrays([docs.take(rows), sources.take(rows), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32())], names=["doc", "source", "h", "kind"])
 
     rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(source).alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc {documents.schema[key].dataType.simpleString()}, source long, h long, kind string")
+    return rows.mapInArrow(run, f"doc {documents.schema[key].dataType.simpleString()}, source long, h long, kind int")
 
 
 def _with_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
     """Rows beside what is known of their form. Forms of more than ``HOT`` rows are fewer than a row in ``HOT``; these are broadcast."""
-    few = F.broadcast(forms.where(F.col("n") > HOT))
+    few = forms.where(F.col("n") > HOT)
+    if few.isEmpty():
+        return rows.join(forms, "h")
+    few = F.broadcast(few)
     rest = rows.join(few.select("h"), "h", "left_anti").join(forms.where(F.col("n") <= HOT), "h")
     return rest.unionByName(rows.join(few, "h"))
 
@@ -284,10 +295,9 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """
     slim = cut(pieces(documents.where(F.col(key).isNotNull()), key, text, source))
     # exact hashes across sources: what each form is by rule, and how widely it recurs
-    by_source = slim.groupBy("h", "source").agg(F.count("*").alias("n"), F.min_by("kind", F.when(F.col("kind") == "residue", 0).when(F.col("kind") == "suspect", 1).otherwise(2)).alias("kind"))
-    order = F.when(F.col("kind") == "residue", 0).when(F.col("kind") == "suspect", 1).otherwise(2)
-    forms = cut(by_source.groupBy("h").agg(F.min_by("kind", order).alias("kind"), F.count("*").alias("sources"), F.sum("n").alias("n")))
-    state = F.when(F.col("kind") == "residue", "residue").when(F.col("sources") < SOURCES, "single").otherwise(F.col("kind"))
+    by_source = slim.groupBy("h", "source").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
+    forms = cut(by_source.groupBy("h").agg(F.min("kind").alias("kind"), F.count("*").alias("sources"), F.sum("n").alias("n")))
+    state = F.when(F.col("kind") == 0, "residue").when(F.col("sources") < SOURCES, "single").when(F.col("kind") == 1, "suspect").otherwise("content")
     met = _with_forms(slim.select("doc", "h"), forms.select("h", "n", "sources", state.alias("state")))
     # a form that is no residue by rule and does not recur is content, and so is its document
     verdict = met.groupBy("doc").agg(*[F.count_if(F.col("state") == k).alias(k) for k in ("residue", "single", "suspect", "content")])
