@@ -1,11 +1,11 @@
 """Variant spellings of names, linked by merging matched profiles and matching the richer profiles again.
 
 A name is parsed once into a person (surname, given name or initial, middle initials) or an organisation (core word,
-initials of its kind). Equal parses are one profile. In each round profiles meet in blocks (the surname or core and
-its forms with one letter left out, so that one-letter slips share a block), matched profiles are merged through
-connected components, and the merged profile carries all spellings, given names and initials of its members into the
-next round. The rounds end when nothing merges any more. Work is done on distinct names, so a name that holds a third
-of the rows is one record.
+initials of its kind). Equal parses are one profile. In each round every profile enters blocks by all its surnames or cores (and
+their forms with one letter left out, so that one-letter slips share a block); matched profiles are merged through connected components, and the merged profile enters the blocks of the next round with the
+spellings, given names and initials of all its members: what one member shows of the surname and another of the
+given name counts together. The rounds end when nothing merges any more. Work is done on distinct names, so a name that holds
+a third of the rows is one record.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.operators.components import connected_components
@@ -23,19 +23,19 @@ from tarnlight.session import cut
 PET_FORMS = {
     "alexander": "alex alec sandy sasha xander al", "aleksandra": "ola sasha alex sandra", "alexandra": "alex sandra sasha lexi",
     "anais": "nana", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny benji",
-    "bjorn": "", "casimir": "caz kazik caspar", "catherine": "cathy kate katie kit", "charles": "charlie chuck chas", "charlotte": "charlie lottie lotte char",
+    "casimir": "caz kazik caspar", "catherine": "cathy kate katie kit", "charles": "charlie chuck chas", "charlotte": "charlie lottie lotte char",
     "christopher": "chris kit topher", "daniel": "dan danny", "daniela": "dani danni ella", "david": "dave davy", "dorothea": "dora thea dot dorrie dolly",
     "edmund": "ned ed eddie ted", "edward": "ed eddie ned ted", "elizabeth": "liz beth eliza betty lizzie lisa bess libby elsie", "francisco": "paco pancho paquito fran",
     "frederick": "fred freddie freddy rick", "giulia": "giuli julia", "gregory": "greg gregg", "haruto": "haru", "hendrik": "henk rik hen",
     "henrietta": "etta hettie hattie henny retta", "henry": "harry hank hal", "ingrid": "inga inge", "isabella": "bella izzy isa ella belle", "james": "jim jimmy jamie",
     "jennifer": "jen jenny", "john": "jack johnny", "jose": "pepe chepe joselito", "joseph": "joe joey", "josephine": "jo josie fifi posy", "jurgen": "jurg",
-    "katherine": "kathy kate katie kat kitty kit kay", "kwame": "", "leonard": "leo len lenny", "lukasz": "lukas luka", "malgorzata": "gosia malgosia", "margaret": "maggie peggy meg greta madge daisy",
-    "marisol": "mari sol", "matthew": "matt", "michael": "mike mick mikey", "mirela": "mira", "nathaniel": "nat nate nathan", "nicholas": "nick nicky", "noor": "",
-    "olena": "lena olenka", "ondrej": "ondra", "patricia": "pat patty trish", "philippa": "pippa pip", "priya": "", "quentin": "quinn", "renee": "ren",
-    "richard": "rick dick rich", "robert": "bob rob bobby robbie bert", "rosalind": "roz rosie ros rosa lindy", "samuel": "sam sammy", "soren": "", "stephen": "steve",
+    "katherine": "kathy kate katie kat kitty kit kay", "leonard": "leo len lenny", "lukasz": "lukas luka", "malgorzata": "gosia malgosia", "margaret": "maggie peggy meg greta madge daisy",
+    "marisol": "mari sol", "matthew": "matt", "michael": "mike mick mikey", "mirela": "mira", "nathaniel": "nat nate nathan", "nicholas": "nick nicky",
+    "olena": "lena olenka", "ondrej": "ondra", "patricia": "pat patty trish", "philippa": "pippa pip", "quentin": "quinn", "renee": "ren",
+    "richard": "rick dick rich", "robert": "bob rob bobby robbie bert", "rosalind": "roz rosie ros rosa lindy", "samuel": "sam sammy", "stephen": "steve",
     "susannah": "sue susie suzy sanna", "thandiwe": "thandi", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "tomasz": "tomek tomas",
     "ursula": "ulla uschi ursa", "victoria": "vicky tori vic vicki", "viktor": "vitya vik", "wilhelmina": "willa mina minnie billie wilma", "william": "will bill billy willy liam",
-    "xavier": "xavi xav", "yusuf": "yus", "zoe": "",
+    "xavier": "xavi xav", "yusuf": "yus",
 }
 # Words that tell an organisation, with their usual abbreviations.
 KIND_WORDS = {
@@ -55,6 +55,10 @@ for _name, _forms in PET_FORMS.items():
         SHORT_FOR.setdefault(_form, []).append(_name)
 #: The letters that an initial may stand for: a person may sign with the initial of a pet form.
 INITIALS = {name: "".join(sorted({f[0] for f in [name, *forms.split()]})) for name, forms in PET_FORMS.items()}
+#: Letters that a surname or core word has at least if a slip in it is to be linked.
+SLIP = 4
+#: Profiles of a block beyond which it is dealt out, and into how many parts.
+HOT_BLOCK, HOT_PARTS = 2_000, 32
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
 
 
@@ -114,7 +118,7 @@ def parse_name(name: str | None) -> tuple | None:
     pieces = [[w for w in p if w not in TITLES] for p in folded]
     pieces = [p for p in pieces if p]
     words = [w for p in pieces for w in p]
-    if len(words) < 2 or len(words) > 5:
+    if len(words) < 2:
         return None
     if len(pieces) > 1:
         head, rest = pieces[0][-1], [w for p in pieces[1:] for w in p] + pieces[0][:-1]
@@ -140,87 +144,106 @@ def parse_names(names: DataFrame) -> DataFrame:
             rows = [(name, *parsed) for name in batch["name"] if (parsed := parse_name(name))]
             yield pd.DataFrame(rows, columns=["name", "kind", "head", "given", "sure", "middle"])
 
-    distinct = names.select("name").where("name is not null").distinct()
+    # the number of partitions is stated, or a few names would be parsed in one task
+    distinct = names.select("name").where("name is not null").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism)
     return distinct.mapInPandas(run, "name string, kind string, head string, given array<string>, sure boolean, middle array<string>")
 
 
-def link_variants(names: DataFrame) -> DataFrame:
-    """``(name, entity)``: every parsed name with the smallest name of its entity; input column ``name``.
+def slipped(a: Column, b: Column) -> Column:
+    """``one_slip`` as a column."""
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.length(a))) == b)
+    return (F.levenshtein(a, b, 1) == 1) | ((F.length(a) == F.length(b)) & (F.length(a) > 1) & (a != b) & swapped)
 
-    Null, empty and unparsable names (a single word without a legal form, digits, junk) get no row. Names
-    that differ only in case, spacing, accents, titles, order, pet form or legal form parse alike. Repeated names
-    count once. No names give no rows. A short form or an initial that fits several persons stays unlinked.
+
+def _any_slip(a: Column, b: Column, least: int) -> Column:
+    return F.exists(a, lambda x: (F.length(x) >= least) & F.exists(b, lambda y: (F.length(y) >= least) & slipped(x, y)))
+
+
+def _respelled(names: Column) -> Column:
+    return F.transform(names, lambda g: F.replace(F.replace(F.replace(F.replace(g, F.lit("ph"), F.lit("f")), F.lit("ck"), F.lit("k")), F.lit("c"), F.lit("k")), F.lit("y"), F.lit("i")))
+
+
+def _all_of(column: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
+
+
+def _keys() -> Column:
+    """Blocks of a profile: each head, and each with one letter left out.
+
+    Persons with two full words bring both in order as well, for either may be the surname.
     """
-    parsed = cut(parse_names(names))
-    entry = ["kind", "head", "given", "sure"]
-    spelling = parsed.groupBy(*entry).agg(
-        F.min("name").alias("root"),
-        F.count("*").alias("support"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("middle")))).alias("middle"),
-    )
-    heads = parsed.groupBy("kind", "head").agg(F.count("*").alias("head_support"))
-    rows = cut(spelling.join(heads, ["kind", "head"]))
-    labels = rows.select(*entry, "root")
-    same_slip = F.udf(lambda a, b: one_slip(a, b), "boolean")
-
-    def block(df: DataFrame) -> DataFrame:
-        less = F.transform(F.sequence(F.lit(1), F.length("head")), lambda i: F.concat(F.col("head").substr(F.lit(1), i - 1), F.col("head").substr(i + 1, F.length("head"))))
-        return df.withColumn("key", F.explode(F.array_distinct(F.concat(F.array("head"), F.when(F.length("head") > 4, less).otherwise(F.array().cast("array<string>"))))))
-
-    blocked = block(rows.select(*entry, "support", "head_support"))
-    met = (
-        blocked.alias("a")
-        .join(blocked.alias("b"), ["key", "kind"])
-        .where("(a.head < b.head) or (a.head = b.head and a.given < b.given)")
-        .select("kind", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("head", "given", "sure", "support", "head_support")])
-        .distinct()
-    )
-    met = met.withColumn("equal_head", F.col("a_head") == F.col("b_head"))
-    met = met.withColumn("overlap", F.arrays_overlap("a_given", "b_given"))
+    heads = F.flatten(F.transform("heads", lambda h: F.concat(F.array(h), F.when(F.length(h) >= SLIP, F.transform(F.sequence(F.lit(1), F.length(h)), lambda i: F.concat(h.substr(F.lit(1), i - 1), h.substr(i + 1, F.length(h))))).otherwise(F.array().cast("array<string>")))))
+    words = F.flatten(F.transform("heads", lambda h: F.transform(_respelled(F.col("fulls")), lambda g: F.concat(F.least(h, g), F.lit(" "), F.greatest(h, g)))))
+    return F.array_distinct(F.concat(heads, F.when(F.col("kind") == "person", words).otherwise(F.array().cast("array<string>"))))
+
+
+def match_profiles(profiles: DataFrame) -> DataFrame:
+    """``(a, b, certain, rank, a_rooted, b_rooted)``: pairs of profiles that share a block and may be one entity."""
+    own = ["root", "kind", "heads", "fulls", "opens", "middles"]
+    blocked = profiles.select(*own, F.explode(_keys()).alias("key")).withColumn("key", F.xxhash64("kind", "key"))
+    # a hot block is dealt out: its rows meet in HOT_PARTS tasks, the other side being repeated
+    size = blocked.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT_BLOCK).withColumn("parts", F.lit(HOT_PARTS)).drop("size")
+    blocked = blocked.join(size, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = blocked.withColumn("part", F.pmod(F.xxhash64("root"), F.col("parts"))).drop("parts").withColumnsRenamed({c: f"a_{c}" for c in own})
+    right = blocked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts").withColumnsRenamed({c: f"b_{c}" for c in own})
+    met = left.join(right, ["key", "part"]).where("a_kind = b_kind and a_root < b_root").drop("key", "part")
+    person = F.col("a_kind") == "person"
+    given = {x: F.when(F.size(f"{x}_fulls") > 0, F.col(f"{x}_fulls")).otherwise(F.col(f"{x}_opens")) for x in "ab"}
     letters = F.create_map(*[F.lit(x) for pair in INITIALS.items() for x in pair])
 
-    def stands_for(short: str, full: str, direct: bool):
+    def stands_for(short: str, full: Column, direct: bool) -> Column:
         return F.exists(short, lambda g: (F.length(g) == 1) & F.exists(full, lambda h: h.startswith(g) if direct else F.coalesce(letters[h], h.substr(1, 1)).contains(g)))
 
-    met = met.withColumn("direct", F.col("overlap") | stands_for("a_given", "b_given", True) | stands_for("b_given", "a_given", True))
-    met = met.withColumn("initial", stands_for("a_given", "b_given", False) | stands_for("b_given", "a_given", False))
-    met = met.withColumn("given_slip", F.col("a_sure") & F.col("b_sure") & (F.length(F.col("a_given")[0]) > 1) & (F.length(F.col("b_given")[0]) > 1) & same_slip(F.col("a_given")[0], F.col("b_given")[0]))
-    person = F.col("kind") == "person"
-    met = met.where((F.col("equal_head") & ((person & (F.col("overlap") | F.col("initial") | F.col("given_slip"))) | (~person & F.col("given_slip")))) | (~F.col("equal_head") & (F.col("overlap") | (person & F.col("initial")))))
-    met = met.where(F.col("equal_head") | same_slip("a_head", "b_head"))
-    fewer, more = F.least("a_head_support", "b_head_support"), F.greatest("a_head_support", "b_head_support")
-    met = met.where(F.col("equal_head") | (fewer <= 2) | ((fewer == 3) & (more >= 10)))
-    met = cut(met.withColumn("certain", F.col("a_sure") & F.col("b_sure") & (F.col("overlap") | F.col("given_slip"))))
+    equal_head = F.arrays_overlap("a_heads", "b_heads")
+    overlap = F.arrays_overlap(given["a"], given["b"])
+    direct = overlap | stands_for("a_opens", given["b"], True) | stands_for("b_opens", given["a"], True)
+    initial = stands_for("a_opens", given["b"], False) | stands_for("b_opens", given["a"], False)
+    turned = person & F.arrays_overlap("a_heads", _respelled(F.col("b_fulls"))) & F.arrays_overlap("b_heads", _respelled(F.col("a_fulls")))
+    free = (F.size("a_middles") == 0) | (F.size("b_middles") == 0) | F.arrays_overlap("a_middles", "b_middles")
+    rooted = {x: F.size(f"{x}_fulls") > 0 for x in "ab"}
+    slip = _any_slip(F.col("a_heads"), F.col("b_heads"), SLIP)
+    met = met.where(free & (equal_head | slip | turned)).distinct()
+    met = met.withColumns({"equal_head": equal_head, "overlap": overlap, "direct": direct, "initial": initial, "turned": turned, "a_rooted": rooted["a"], "b_rooted": rooted["b"]})
+    met = met.withColumn("given_slip", F.col("equal_head") & F.col("a_rooted") & F.col("b_rooted") & ~F.col("overlap") & _any_slip(F.col("a_fulls"), F.col("b_fulls"), 2))
+    fits = F.when(F.col("equal_head"), F.col("overlap") | F.col("given_slip") | (person & F.col("initial"))).otherwise((F.col("overlap") | (person & F.col("initial"))) & slip)
+    met = met.where(F.col("turned") | fits)
+    certain = F.col("a_rooted") & F.col("b_rooted") & (F.col("overlap") | F.col("given_slip") | F.col("turned"))
+    rank = F.when(F.col("equal_head") & F.col("direct"), 0).when(F.col("equal_head"), 1).when(F.col("direct"), 2).otherwise(3)
+    return met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"), certain.alias("certain"), rank.alias("rank"), "a_rooted", "b_rooted")
 
-    def side(letter: str, name: str) -> DataFrame:
-        cols = [F.col(c).alias(c if c == "kind" else f"{letter}_{c}") for c in entry]
-        return state.select(*cols, F.col("root").alias(f"{letter}_{name}"), F.col("middles").alias(f"{letter}_middle"), F.col("rooted").alias(f"{letter}_rooted"))
 
+def link_variants(names: DataFrame) -> DataFrame:
+    """``(name, entity)``: every parsed name with the smallest name of its entity; input column ``name``.
+
+    Null, empty and unparsable names (a single word without a legal form, digits, junk) get no row. Names
+    that differ only in case, spacing, accents, titles, order, pet form or legal form parse alike. Repeated names
+    count once. No names give no rows. A short form or an initial that fits several persons stays unlinked; surnames that
+    differ by one slip are one if the given names agree and no middle initial contradicts, unless they have fewer than ``SLIP`` letters.
+    """
+    parsed = cut(parse_names(names))
+    entry = ["kind", "head", "given", "sure"]
+    spelling = parsed.groupBy(*entry).agg(F.min("name").alias("root"), _all_of("middle").alias("middles"))
+    none = F.array().cast("array<string>")
+    profiles = cut(spelling.select(
+        "root", "kind", F.array("head").alias("heads"), F.when(F.col("sure"), F.col("given")).otherwise(none).alias("fulls"), F.when(F.col("sure"), none).otherwise(F.col("given")).alias("opens"), "middles",
+    ))
+    labels = spelling.select(*entry, F.col("root").alias("first"), "root")
     while True:
-        profile = labels.join(rows.select(*entry, "middle"), entry).groupBy("root").agg(
-            F.array_distinct(F.flatten(F.collect_list("middle"))).alias("middles"), F.max("sure").alias("rooted")
-        )
-        state = labels.join(profile, "root")
-        pairs = met.join(side("a", "root"), ["kind", "a_head", "a_given", "a_sure"]).join(side("b", "root"), ["kind", "b_head", "b_given", "b_sure"])
-        free = (F.size("a_middle") == 0) | (F.size("b_middle") == 0) | F.arrays_overlap("a_middle", "b_middle")
-        pairs = cut(pairs.where((F.col("a_root") != F.col("b_root")) & free))
-        certain = pairs.where("certain").select("a_root", "b_root")
-        # a profile with only initials or open short forms joins the one full profile that it fits
-        loose = pairs.where("not certain")
-        rank = F.when(F.col("equal_head") & F.col("direct"), 0).when(F.col("equal_head"), 1).when(F.col("direct"), 2).otherwise(3)
-        sides = [loose.where(f"not {x}_rooted").select(F.col(f"{x}_root").alias("u"), F.col(f"{y}_root").alias("v"), (rank + F.when(F.col(f"{y}_rooted"), 0).otherwise(4)).alias("rank")) for x, y in ("ab", "ba")]
-        towards = sides[0].union(sides[1]).groupBy("u", "v").agg(F.min("rank").alias("rank"))
-        first = towards.groupBy("u").agg(F.min("rank").alias("rank"))
-        choice = towards.join(first, ["u", "rank"]).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("b_root"))
-        unique = choice.where("n = 1").select(F.col("u").alias("a_root"), "b_root")
-        if not certain.isEmpty():
-            merges = certain
-        elif not unique.isEmpty():
-            merges = unique
-        else:
-            break
-        found = connected_components(merges, "a_root", "b_root").withColumnsRenamed({"node": "root"})
-        labels = cut(labels.join(found, "root", "left").select(*entry, F.coalesce("component", "root").alias("root")))
+        pairs = cut(match_profiles(profiles))
+        merges = pairs.where("certain").select("a", "b")
+        if merges.isEmpty():
+            # a profile with only initials or open short forms joins the one full profile that it fits
+            sides = [pairs.where(f"not {x}_rooted").select(F.col(x).alias("u"), F.col(y).alias("v"), (F.col("rank") + F.when(F.col(f"{y}_rooted"), 0).otherwise(4)).alias("rank")) for x, y in ("ab", "ba")]
+            towards = sides[0].union(sides[1])
+            fit = towards.groupBy("u", "rank").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+            best = fit.groupBy("u").agg(F.min_by(F.struct("n", "v"), "rank").alias("best"))
+            merges = best.where("best.n = 1").select(F.col("u").alias("a"), F.col("best.v").alias("b"))
+            if merges.isEmpty():
+                break
+        moved = connected_components(merges, "a", "b").withColumnsRenamed({"node": "root", "component": "to"})
+        profiles = profiles.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).groupBy("root").agg(F.first("kind").alias("kind"), *[_all_of(c).alias(c) for c in ("heads", "fulls", "opens", "middles")])
+        profiles = cut(profiles)
+        labels = cut(labels.join(moved, "root", "left").select(*entry, "first", F.coalesce("to", "root").alias("root")))
     return parsed.join(labels, entry).select("name", F.col("root").alias("entity"))
 
 

@@ -52,3 +52,38 @@ def test_parse():
     assert parse_name("Velmorberg, Bob")[:4] == ("person", "velmorberg", ["robert"], True)
     assert parse_name("Dunaworth Inst. of Applied Hydrology GmbH")[:3] == ("organisation", "dunaworth", ["iah"])
     assert parse_name("x" * 100_000) is None
+
+
+def test_slips_of_a_surname_with_many_spellings_of_its_own(spark):
+    right = ["Katherine Velmorberg", "Velmorberg, Katherine", "Kathy Velmorberg", "K. Velmorberg", "Dr. Katherine Velmorberg"]
+    slips = ["Katherine Velmorbreg", "Velmorbreg, Katherine", "Kathy Velmorbreg", "K. Velmorbreg"]
+    assert linked(spark, right + slips) == [set(right + slips)] or set(map(frozenset, linked(spark, right + slips))) == {frozenset(right + slips)}
+
+
+def test_merged_profile_matches_by_what_different_members_show(spark):
+    # the third is two slips from the first in the surname and reaches it through the second
+    names = ["Katherine Velmorberg", "K. Velmorbreg", "Kit Velmorbreeg"]
+    assert set(map(frozenset, linked(spark, names))) == {frozenset(names)}
+
+
+def test_order_of_given_names_that_no_table_lists(spark):
+    groups = linked(spark, ["Oluchi Velmorberg", "Velmorberg Oluchi", "O. Velmorberg", "Velmorberg, Oluchi", "Ifeoma Velmorberg"])
+    assert {"Oluchi Velmorberg", "Velmorberg Oluchi", "O. Velmorberg", "Velmorberg, Oluchi"} in groups and {"Ifeoma Velmorberg"} in groups
+
+
+def test_names_of_any_number_of_words_and_hot_blocks(spark, monkeypatch):
+    from tarnlight.llm import name_variants
+
+    monkeypatch.setattr(name_variants, "HOT_BLOCK", 5)
+    given = ["Oluchi", "Ifeoma", "Robert", "Katherine", "Yusuf", "Marisol", "Tomasz", "Ingrid"]
+    names = [f"{g} Velmorberg" for g in given] + [f"VELMORBERG, {g}" for g in given] + ["Ana Maria del Pilar Ruiz Osterholt", "ANA MARIA DEL PILAR RUIZ OSTERHOLT"]
+    assert sorted(map(len, linked(spark, names))) == [2] * 9
+
+
+@pytest.mark.parametrize(("a", "b"), [("abc", "abd"), ("abc", "acb"), ("abc", "abcc"), ("abc", "ab"), ("abc", "abc"), ("abc", "cba"), ("ab", "abcd"), ("a", "b"), ("abcd", "badc")])
+def test_slip_column_equals_function(spark, a, b):
+    from pyspark.sql import functions as F
+
+    from tarnlight.llm.name_variants import slipped
+
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(slipped(F.col("a"), F.col("b"))).first()[0] == one_slip(a, b)
