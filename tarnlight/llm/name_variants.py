@@ -168,25 +168,29 @@ def _all_of(column: str) -> Column:
 
 
 def _keys() -> Column:
-    """Blocks of a profile: each head, and each with one letter left out.
+    """``(key, head)`` of the blocks of a profile: each head itself, and each with one letter left out, which also names its head.
 
     Persons with two full words bring both in order as well, for either may be the surname.
     """
-    heads = F.flatten(F.transform("heads", lambda h: F.concat(F.array(h), F.when(F.length(h) >= SLIP, F.transform(F.sequence(F.lit(1), F.length(h)), lambda i: F.concat(h.substr(F.lit(1), i - 1), h.substr(i + 1, F.length(h))))).otherwise(F.array().cast("array<string>")))))
-    words = F.flatten(F.transform("heads", lambda h: F.transform(_respelled(F.col("fulls")), lambda g: F.concat(F.least(h, g), F.lit(" "), F.greatest(h, g)))))
-    return F.array_distinct(F.concat(heads, F.when(F.col("kind") == "person", words).otherwise(F.array().cast("array<string>"))))
+    entry = lambda key, head: F.struct(F.xxhash64("kind", key).alias("key"), head.alias("head"))
+    whole = F.transform("heads", lambda h: entry(h, F.lit(0).cast("long")))
+    less = F.flatten(F.transform(F.filter("heads", lambda h: F.length(h) >= SLIP), lambda h: F.transform(F.sequence(F.lit(0), F.length(h)), lambda i: entry(F.concat(F.when(i > 0, F.concat(h.substr(F.lit(1), i - 1), h.substr(i + 1, F.length(h)))).otherwise(h), F.lit("-")), F.xxhash64(h)))))
+    words = F.flatten(F.transform("heads", lambda h: F.transform(_respelled(F.when(F.col("kind") == "person", F.col("fulls")).otherwise(F.array().cast("array<string>"))), lambda g: entry(F.concat(F.least(h, g), F.lit(" "), F.greatest(h, g)), F.lit(0).cast("long")))))
+    return F.array_distinct(F.concat(whole, less, words))
 
 
 def match_profiles(profiles: DataFrame) -> DataFrame:
-    """``(a, b, certain, rank, a_rooted, b_rooted)``: pairs of profiles that share a block and may be one entity."""
-    own = ["root", "kind", "heads", "fulls", "opens", "middles"]
-    blocked = profiles.select(*own, F.explode(_keys()).alias("key")).withColumn("key", F.xxhash64("kind", "key"))
+    """``(a, b, certain, rank, a_rooted, b_rooted)``: pairs of profiles of which one is fresh, that share a block and may be one entity."""
+    blocked = profiles.select("root", "fresh", F.explode(_keys()).alias("k")).select("root", "fresh", "k.key", "k.head")
     # a hot block is dealt out: its rows meet in HOT_PARTS tasks, the other side being repeated
-    size = blocked.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT_BLOCK).withColumn("parts", F.lit(HOT_PARTS)).drop("size")
+    size = blocked.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > HOT_BLOCK).select("key", F.lit(HOT_PARTS).alias("parts"))
     blocked = blocked.join(size, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    left = blocked.withColumn("part", F.pmod(F.xxhash64("root"), F.col("parts"))).drop("parts").withColumnsRenamed({c: f"a_{c}" for c in own})
-    right = blocked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts").withColumnsRenamed({c: f"b_{c}" for c in own})
-    met = left.join(right, ["key", "part"]).where("a_kind = b_kind and a_root < b_root").drop("key", "part")
+    left = blocked.select("key", F.pmod(F.xxhash64("root"), F.col("parts")).alias("part"), F.col("root").alias("a"), F.col("fresh").alias("a_fresh"), F.col("head").alias("a_head"))
+    right = blocked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("root").alias("b"), F.col("fresh").alias("b_fresh"), F.col("head").alias("b_head"))
+    # equal heads meet in their own block alone, not in those of their slips
+    pairs = left.join(right, ["key", "part"]).where("a < b and (a_fresh or b_fresh) and (a_head <> b_head or a_head = 0)").select("a", "b").distinct()
+    side = lambda x: profiles.select(F.col("root").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("kind", "heads", "fulls", "opens", "middles")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_kind = b_kind")
     person = F.col("a_kind") == "person"
     given = {x: F.when(F.size(f"{x}_fulls") > 0, F.col(f"{x}_fulls")).otherwise(F.col(f"{x}_opens")) for x in "ab"}
     letters = F.create_map(*[F.lit(x) for pair in INITIALS.items() for x in pair])
@@ -202,14 +206,14 @@ def match_profiles(profiles: DataFrame) -> DataFrame:
     free = (F.size("a_middles") == 0) | (F.size("b_middles") == 0) | F.arrays_overlap("a_middles", "b_middles")
     rooted = {x: F.size(f"{x}_fulls") > 0 for x in "ab"}
     slip = _any_slip(F.col("a_heads"), F.col("b_heads"), SLIP)
-    met = met.where(free & (equal_head | slip | turned)).distinct()
+    met = met.where(free & (equal_head | slip | turned))
     met = met.withColumns({"equal_head": equal_head, "overlap": overlap, "direct": direct, "initial": initial, "turned": turned, "a_rooted": rooted["a"], "b_rooted": rooted["b"]})
     met = met.withColumn("given_slip", F.col("equal_head") & F.col("a_rooted") & F.col("b_rooted") & ~F.col("overlap") & _any_slip(F.col("a_fulls"), F.col("b_fulls"), 2))
     fits = F.when(F.col("equal_head"), F.col("overlap") | F.col("given_slip") | (person & F.col("initial"))).otherwise((F.col("overlap") | (person & F.col("initial"))) & slip)
     met = met.where(F.col("turned") | fits)
     certain = F.col("a_rooted") & F.col("b_rooted") & (F.col("overlap") | F.col("given_slip") | F.col("turned"))
     rank = F.when(F.col("equal_head") & F.col("direct"), 0).when(F.col("equal_head"), 1).when(F.col("direct"), 2).otherwise(3)
-    return met.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"), certain.alias("certain"), rank.alias("rank"), "a_rooted", "b_rooted")
+    return met.select("a", "b", certain.alias("certain"), rank.alias("rank"), "a_rooted", "b_rooted")
 
 
 def link_variants(names: DataFrame) -> DataFrame:
@@ -225,11 +229,14 @@ def link_variants(names: DataFrame) -> DataFrame:
     spelling = parsed.groupBy(*entry).agg(F.min("name").alias("root"), _all_of("middle").alias("middles"))
     none = F.array().cast("array<string>")
     profiles = cut(spelling.select(
-        "root", "kind", F.array("head").alias("heads"), F.when(F.col("sure"), F.col("given")).otherwise(none).alias("fulls"), F.when(F.col("sure"), none).otherwise(F.col("given")).alias("opens"), "middles",
+        "root", "kind", F.array("head").alias("heads"), F.when(F.col("sure"), F.col("given")).otherwise(none).alias("fulls"), F.when(F.col("sure"), none).otherwise(F.col("given")).alias("opens"), "middles", F.lit(True).alias("fresh"),
     ))
     labels = spelling.select(*entry, F.col("root").alias("first"), "root")
+    before = None
     while True:
-        pairs = cut(match_profiles(profiles))
+        # what is known of pairs that did not change stays
+        pairs = match_profiles(profiles)
+        pairs = cut(pairs.union(before) if before is not None else pairs)
         merges = pairs.where("certain").select("a", "b")
         if merges.isEmpty():
             # a profile with only initials or open short forms joins the one full profile that it fits
@@ -241,7 +248,10 @@ def link_variants(names: DataFrame) -> DataFrame:
             if merges.isEmpty():
                 break
         moved = connected_components(merges, "a", "b").withColumnsRenamed({"node": "root", "component": "to"})
-        profiles = profiles.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).groupBy("root").agg(F.first("kind").alias("kind"), *[_all_of(c).alias(c) for c in ("heads", "fulls", "opens", "middles")])
+        changed = moved.select("root")
+        before = pairs.join(changed.withColumnRenamed("root", "a"), "a", "left_anti").join(changed.withColumnRenamed("root", "b"), "b", "left_anti").select(pairs.columns)
+        profiles = profiles.join(moved, "root", "left").withColumn("fresh", F.col("to").isNotNull()).withColumn("root", F.coalesce("to", "root"))
+        profiles = profiles.groupBy("root").agg(F.first("kind").alias("kind"), F.max("fresh").alias("fresh"), *[_all_of(c).alias(c) for c in ("heads", "fulls", "opens", "middles")])
         profiles = cut(profiles)
         labels = cut(labels.join(moved, "root", "left").select(*entry, "first", F.coalesce("to", "root").alias("root")))
     return parsed.join(labels, entry).select("name", F.col("root").alias("entity"))
