@@ -89,7 +89,10 @@ def _is_given(word: str) -> bool:
 
 
 def parse_name(name: str | None) -> tuple | None:
-    """``(kind, head, given, sure, middle)`` of a name, or None if it is neither a person's nor an organisation's.
+    """``(kind, head, given, sure, middle, order, other_head, other_given)`` of a name, or None if it is neither a person's nor an organisation's.
+
+    The last three tell whether the order of a person's name is stated by a comma (``comma``), follows from a listed given name or an
+    initial (``listed``) or is open, and if so the head and given name of the other order.
 
     ``kind`` is person or organisation, ``head`` the surname or core word, ``given`` the full forms the given
     name may stand for (or its initial) or the initials of the organisation's kind, ``sure`` whether ``given`` is one
@@ -111,10 +114,10 @@ def parse_name(name: str | None) -> tuple | None:
         pieces = [p for p in pieces if p]
         words = [w for p in (reversed(pieces) if len(pieces) > 1 else pieces) for w in p if w != "the"]
         if len(words) < 2 or words[0] in SMALL_WORDS:
-            return None if len(words) != 1 or not legal else ("organisation", respell(words[0]), [""], True, [])
+            return None if len(words) != 1 or not legal else ("organisation", respell(words[0]), [""], True, [], "listed", None, None)
         if short:
-            return "organisation", respell(words[0]), [words[-1]], True, []
-        return "organisation", respell(words[0]), ["".join(w[0] for w in words[1:] if w not in SMALL_WORDS)], True, []
+            return "organisation", respell(words[0]), [words[-1]], True, [], "listed", None, None
+        return "organisation", respell(words[0]), ["".join(w[0] for w in words[1:] if w not in SMALL_WORDS)], True, [], "listed", None, None
     pieces = [[w for w in p if w not in TITLES] for p in folded]
     pieces = [p for p in pieces if p]
     words = [w for p in pieces for w in p]
@@ -127,26 +130,48 @@ def parse_name(name: str | None) -> tuple | None:
     else:
         head, rest = words[-1], words[:-1]
     given = rest[0]
+    order, other = "comma" if len(pieces) > 1 else "listed", (None, None)
+    if len(pieces) == 1 and len(given) > 1 and len(head) > 1 and not _is_given(given) and not _is_given(head):
+        order, other = "open", (respell(given), head)
     middle = sorted({w[0] for w in rest[1:]})
     if len(given) == 1:
-        return "person", respell(head), [given], False, middle
+        return "person", respell(head), [given], False, middle, order, *other
     full = SHORT_FOR.get(given) or [g for g in PET_FORMS if len(given) > 2 and one_slip(given, g)] or [given]
-    return "person", respell(head), sorted(full), len(full) == 1, middle
+    return "person", respell(head), sorted(full), len(full) == 1, middle, order, *other
 
 
 def parse_names(names: DataFrame) -> DataFrame:
-    """``(name, kind, head, given, sure, middle)`` of the distinct non-null names that can be parsed."""
+    """``(name, kind, head, given, sure, middle)`` of the distinct non-null names that can be parsed.
+
+    Where no comma, initial or listed given name tells which word is the surname, the corpus does: the order is turned if the
+    word taken for the surname stands more often for given names in names with a comma than the other one.
+    """
+    columns = ["name", "kind", "head", "given", "sure", "middle", "order", "other_head", "other_given"]
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
             rows = [(name, *parsed) for name in batch["name"] if (parsed := parse_name(name))]
-            yield pd.DataFrame(rows, columns=["name", "kind", "head", "given", "sure", "middle"])
+            yield pd.DataFrame(rows, columns=columns)
 
     # the number of partitions is stated, or a few names would be parsed in one task
     distinct = names.select("name").where("name is not null").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism)
-    return distinct.mapInPandas(run, "name string, kind string, head string, given array<string>, sure boolean, middle array<string>")
+    parsed = cut(distinct.mapInPandas(run, "name string, kind string, head string, given array<string>, sure boolean, middle array<string>, order string, other_head string, other_given string"))
+    stated = parsed.where("kind = 'person' and order = 'comma' and sure")
+    words = stated.select(_respelled(F.col("given")[0]).alias("word"), F.lit(1).alias("as_given")).union(stated.select("head", F.lit(-1))).groupBy("word").agg(F.sum("as_given").alias("as_given"))
+    open_ = parsed.where("order = 'open'")
+    turned = open_.join(words.withColumnsRenamed({"word": "head", "as_given": "of_head"}), "head", "left").join(words.withColumnsRenamed({"word": "other_head", "as_given": "of_given"}), "other_head", "left")
+    turn = F.coalesce("of_head", F.lit(0)) > F.coalesce("of_given", F.lit(0))
+    turned = turned.select("name", "kind", F.when(turn, F.col("other_head")).otherwise(F.col("head")).alias("head"), F.when(turn, F.array("other_given")).otherwise(F.col("given")).alias("given"), "sure", "middle")
+    return parsed.where("order <> 'open'").select(turned.columns).unionByName(turned)
+
+
+def _respelled(word: Column) -> Column:
+    """``respell`` as a column."""
+    for sound, letter in (("ph", "f"), ("ck", "k"), ("c", "k"), ("y", "i")):
+        word = F.replace(word, F.lit(sound), F.lit(letter))
+    return word
 
 
 def slipped(a: Column, b: Column) -> Column:
@@ -159,24 +184,16 @@ def _any_slip(a: Column, b: Column, least: int) -> Column:
     return F.exists(a, lambda x: (F.length(x) >= least) & F.exists(b, lambda y: (F.length(y) >= least) & slipped(x, y)))
 
 
-def _respelled(names: Column) -> Column:
-    return F.transform(names, lambda g: F.replace(F.replace(F.replace(F.replace(g, F.lit("ph"), F.lit("f")), F.lit("ck"), F.lit("k")), F.lit("c"), F.lit("k")), F.lit("y"), F.lit("i")))
-
-
 def _all_of(column: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
 
 
 def _keys() -> Column:
-    """``(key, head)`` of the blocks of a profile: each head itself, and each with one letter left out, which also names its head.
-
-    Persons with two full words bring both in order as well, for either may be the surname.
-    """
+    """``(key, head)`` of the blocks of a profile: each head itself, and each with one letter left out, which also names its head."""
     entry = lambda key, head: F.struct(F.xxhash64("kind", key).alias("key"), head.alias("head"))
     whole = F.transform("heads", lambda h: entry(h, F.lit(0).cast("long")))
     less = F.flatten(F.transform(F.filter("heads", lambda h: F.length(h) >= SLIP), lambda h: F.transform(F.sequence(F.lit(0), F.length(h)), lambda i: entry(F.concat(F.when(i > 0, F.concat(h.substr(F.lit(1), i - 1), h.substr(i + 1, F.length(h)))).otherwise(h), F.lit("-")), F.xxhash64(h)))))
-    words = F.flatten(F.transform("heads", lambda h: F.transform(_respelled(F.when(F.col("kind") == "person", F.col("fulls")).otherwise(F.array().cast("array<string>"))), lambda g: entry(F.concat(F.least(h, g), F.lit(" "), F.greatest(h, g)), F.lit(0).cast("long")))))
-    return F.array_distinct(F.concat(whole, less, words))
+    return F.array_distinct(F.concat(whole, less))
 
 
 def match_profiles(profiles: DataFrame) -> DataFrame:
@@ -202,16 +219,15 @@ def match_profiles(profiles: DataFrame) -> DataFrame:
     overlap = F.arrays_overlap(given["a"], given["b"])
     direct = overlap | stands_for("a_opens", given["b"], True) | stands_for("b_opens", given["a"], True)
     initial = stands_for("a_opens", given["b"], False) | stands_for("b_opens", given["a"], False)
-    turned = person & F.arrays_overlap("a_heads", _respelled(F.col("b_fulls"))) & F.arrays_overlap("b_heads", _respelled(F.col("a_fulls")))
     free = (F.size("a_middles") == 0) | (F.size("b_middles") == 0) | F.arrays_overlap("a_middles", "b_middles")
     rooted = {x: F.size(f"{x}_fulls") > 0 for x in "ab"}
     slip = _any_slip(F.col("a_heads"), F.col("b_heads"), SLIP)
-    met = met.where(free & (equal_head | slip | turned))
-    met = met.withColumns({"equal_head": equal_head, "overlap": overlap, "direct": direct, "initial": initial, "turned": turned, "a_rooted": rooted["a"], "b_rooted": rooted["b"]})
+    met = met.where(free & (equal_head | slip))
+    met = met.withColumns({"equal_head": equal_head, "overlap": overlap, "direct": direct, "initial": initial, "a_rooted": rooted["a"], "b_rooted": rooted["b"]})
     met = met.withColumn("given_slip", F.col("equal_head") & F.col("a_rooted") & F.col("b_rooted") & ~F.col("overlap") & _any_slip(F.col("a_fulls"), F.col("b_fulls"), 2))
     fits = F.when(F.col("equal_head"), F.col("overlap") | F.col("given_slip") | (person & F.col("initial"))).otherwise((F.col("overlap") | (person & F.col("initial"))) & slip)
-    met = met.where(F.col("turned") | fits)
-    certain = F.col("a_rooted") & F.col("b_rooted") & (F.col("overlap") | F.col("given_slip") | F.col("turned"))
+    met = met.where(fits)
+    certain = F.col("a_rooted") & F.col("b_rooted") & (F.col("overlap") | F.col("given_slip"))
     rank = F.when(F.col("equal_head") & F.col("direct"), 0).when(F.col("equal_head"), 1).when(F.col("direct"), 2).otherwise(3)
     return met.select("a", "b", certain.alias("certain"), rank.alias("rank"), "a_rooted", "b_rooted")
 

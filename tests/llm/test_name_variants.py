@@ -67,8 +67,9 @@ def test_merged_profile_matches_by_what_different_members_show(spark):
 
 
 def test_order_of_given_names_that_no_table_lists(spark):
-    groups = linked(spark, ["Oluchi Velmorberg", "Velmorberg Oluchi", "O. Velmorberg", "Velmorberg, Oluchi", "Ifeoma Velmorberg"])
+    groups = linked(spark, ["Oluchi Velmorberg", "Velmorberg Oluchi", "O. Velmorberg", "Velmorberg, Oluchi", "Ifeoma Velmorberg", "Osterholt Oluchi", "Oluchi Osterholt"])
     assert {"Oluchi Velmorberg", "Velmorberg Oluchi", "O. Velmorberg", "Velmorberg, Oluchi"} in groups and {"Ifeoma Velmorberg"} in groups
+    assert {"Osterholt Oluchi", "Oluchi Osterholt"} in groups
 
 
 def test_names_of_any_number_of_words_and_hot_blocks(spark, monkeypatch):
