@@ -1,8 +1,8 @@
 """The most similar vectors of every vector, by counting collisions on single-projection arrays.
 
 1. Vectors of exactly one direction are one class, so that copies cost nothing however many there are.
-2. Every class enters the cells of its nearest anchors. Anchors are a bounded sample of the vectors; every vector is
-   indexed. A cell holds the vectors among which windows on random lines are selective at all: over a whole
+2. Every class enters the cells of its nearest anchors. Anchors are a sample of the directions, one in 64, so that dense regions have
+   many; every vector is indexed. Many anchors are found through groups of anchors. A cell holds the vectors among which windows on random lines are selective at all: over a whole
    collection a window that catches a cosine of 0.8 covers a third of any line.
 3. In a cell each vector is projected on random lines; every line is a sorted array. Around each query a window of
    radius R is opened on all lines; R grows by a constant factor (virtual rehashing: the arrays stay as they are).
@@ -21,33 +21,65 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES, COLLISIONS, GROWTH, ROUNDS = 32, 18, 2.0, 2
-ANCHOR_EVERY, MOST_ANCHORS, CELLS_EACH, BLOCK = 64, 16_384, 3, 2048
+from tarnlight.session import cut
+
+LINES, COLLISIONS, GROWTH, ROUNDS = 32, 18, 1.6, 3
+ANCHOR_EVERY, CELLS_EACH, BLOCK = 64, 3, 2048
+#: The anchors are broadcast: at most so many (two bytes a number, 50 MB at 96 numbers), enough for 2**24 vectors at one in 64. Beyond that
+#: cells grow in proportion, and stay within a block up to ten times as many.
+MOST_ANCHORS = 1 << 18
+#: Copies of one direction beyond which they are dealt out, and over how many tasks.
+HOT, HOT_PARTS = 100_000, 64
+#: Anchors up to which every vector is compared with all of them; beyond, it is compared with those of its nearest groups.
+FLAT, GROUPS_EACH = 8_192, 12
+
+
+def _walk(count: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Adds one to ``count[query, point]`` for every point in the stretch ``low..high`` of each query on each line.
+
+    ``order`` holds the points of each line in the order of their projections; only the stretches are walked.
+    """
+    queries, points = count.shape
+    lines = order.shape[0]
+    length = (high - low).ravel()
+    begin = (low + np.arange(lines)[None, :] * points).ravel()
+    ends = np.cumsum(length)
+    if not len(ends) or not ends[-1]:
+        return
+    at = np.repeat(begin - (ends - length), length) + np.arange(ends[-1])
+    row = np.repeat(np.repeat(np.arange(queries) * points, lines), length)
+    count += np.bincount(row + order.ravel()[at], minlength=queries * points).astype(count.dtype).reshape(count.shape)
 
 
 def _search(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, points: np.ndarray, lines: np.ndarray, k: int, least: float) -> list[tuple]:
-    """``(id, other, cosine)`` of up to k vectors per query with a cosine of at least ``least``."""
-    on_lines = points @ lines
-    order = np.argsort(on_lines, axis=0, kind="stable")
-    arrays = np.take_along_axis(on_lines, order, axis=0)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(points))[:, None], axis=0)
-    place = np.ascontiguousarray(place.T.astype(np.uint16))
+    """``(id, other, cosine)`` of up to k vectors per query with a cosine of at least ``least``.
+
+    Each line is an array of the points sorted by projection. A query opens a window around its own projection on all lines;
+    the window grows from round to round (virtual rehashing), and only what is new on its two sides is walked. Points
+    met on enough lines are verified. A query ends when it has k within its radius, or at the radius of ``least``.
+    """
+    on_lines = np.ascontiguousarray((points @ lines).T)
+    order = np.argsort(on_lines, axis=1, kind="stable")
+    arrays = np.take_along_axis(on_lines, order, axis=1)
     centres = queries @ lines
     widest = math.sqrt(max(0.0, 2 - 2 * least))
-    open_ = np.arange(len(queries))
+    step = max(16, min(512, 4_000_000 // max(1, len(points))))
     found = []
-    for step in range(ROUNDS):
-        radius = widest / GROWTH ** (ROUNDS - 1 - step)
-        last = step == ROUNDS - 1
-        again = []
-        for start in range(0, len(open_), 256):
-            rows = open_[start : start + 256]
-            count = np.zeros((len(rows), len(points)), np.uint8)
-            for line in range(lines.shape[1]):
-                low = np.searchsorted(arrays[:, line], centres[rows, line] - radius).astype(np.uint16)
-                high = np.searchsorted(arrays[:, line], centres[rows, line] + radius, "right").astype(np.uint16)
-                count += (place[line][None, :] - low[:, None]) < (high - low)[:, None]
+    for start in range(0, len(queries), step):
+        rows = np.arange(start, min(start + step, len(queries)))
+        count = np.zeros((len(rows), len(points)), np.uint8)
+        low = high = None
+        for turn in range(ROUNDS):
+            radius = widest / GROWTH ** (ROUNDS - 1 - turn)
+            own = centres[rows]
+            new_low = np.stack([np.searchsorted(a, own[:, n] - radius) for n, a in enumerate(arrays)], axis=1)
+            new_high = np.stack([np.searchsorted(a, own[:, n] + radius, "right") for n, a in enumerate(arrays)], axis=1)
+            if low is None:
+                _walk(count, order, new_low, new_high)
+            else:
+                _walk(count, order, new_low, low)
+                _walk(count, order, high, new_high)
+            low, high = new_low, new_high
             q, p = np.nonzero(count >= COLLISIONS)
             differ = ids[rows[q]] != others[p]
             q, p = q[differ], p[differ]
@@ -61,18 +93,47 @@ def _search(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, points: np
             nth = np.arange(len(q)) - np.searchsorted(q, q)
             top = nth < k
             q, p, cosine, nth = q[top], p[top], cosine[top], nth[top]
-            if last:
-                ended = np.ones(len(rows), bool)
-            else:
-                ended = np.zeros(len(rows), bool)
-                ended[q[(nth == k - 1) & (cosine >= 1 - radius * radius / 2)]] = True
+            ended = np.full(len(rows), turn == ROUNDS - 1)
+            ended[q[(nth == k - 1) & (cosine >= 1 - radius * radius / 2)]] = True
             out = ended[q]
             found.append((ids[rows[q[out]]], others[p[out]], cosine[out]))
-            again.append(rows[~ended])
-        open_ = np.concatenate(again) if again else open_[:0]
+            rows, count, low, high = rows[~ended], count[~ended], low[~ended], high[~ended]
+            if not len(rows):
+                break
     return found
 
 
+class Anchors:
+    """Finds the nearest anchors of vectors; many anchors are grouped, and only the nearest groups are looked at."""
+
+    def __init__(self, centre: np.ndarray):
+        self.centre = centre
+        self.groups = None
+        if len(centre) > FLAT:
+            self.groups = centre[: int(math.sqrt(len(centre)))]
+            group = np.concatenate([(centre[a : a + 4096] @ self.groups.T).argmax(axis=1) for a in range(0, len(centre), 4096)])
+            order = np.argsort(group, kind="stable")
+            self.members = np.split(order, np.searchsorted(group[order], np.arange(1, len(self.groups))))
+
+    def nearest(self, x: np.ndarray, each: int) -> np.ndarray:
+        """``(rows, each)`` numbers of the nearest anchors."""
+        each = min(each, len(self.centre))
+        if self.groups is None:
+            return np.argpartition(-(x @ self.centre.T), each - 1, axis=1)[:, :each]
+        near = np.argpartition(-(x @ self.groups.T), GROUPS_EACH - 1, axis=1)[:, :GROUPS_EACH]
+        best = np.full((len(x), each), -np.inf, np.float32)
+        out = np.zeros((len(x), each), np.int64)
+        for group in np.unique(near):
+            own = self.members[group]
+            rows = np.flatnonzero((near == group).any(axis=1))
+            if len(own):
+                both = np.concatenate([best[rows], x[rows] @ self.centre[own].T], axis=1)
+                names = np.concatenate([out[rows], np.broadcast_to(own, (len(rows), len(own)))], axis=1)
+                top = np.argpartition(-both, each - 1, axis=1)[:, :each]
+                best[rows], out[rows] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
+        return out
+
+
 def unit_vectors(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """``(id, direction, unit)`` of the usable vectors: ``width`` finite numbers, not all zero.
 
@@ -106,7 +167,7 @@ def _matrix(units: list[bytes], width: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blob", k: int = 5, least: float = 0.8, width: int = 96, seed: int = 7, block: int = BLOCK) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blob", k: int = 5, least: float = 0.8, width: int = 96, seed: int = 7, block: int = BLOCK, most_anchors: int = MOST_ANCHORS) -> DataFrame:
     """``(id, other, cosine, place)``: for every usable vector its up to k most similar others with cosine >= least.
 
     Every row is a query and every row is indexed. Rows without a usable vector (null, other width, a null, infinite or
@@ -114,59 +175,75 @@ def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blo
     ignored. Ties go to the smaller id, also among copies. No usable vector gives no rows.
     """
     spark = df.sparkSession
-    rows = df.count()
-    anchors = int(min(MOST_ANCHORS, max(16, rows // ANCHOR_EVERY)))
-    sample = 4 * anchors
     units = unit_vectors(df, key, vector, width)
-    share = min(1.0, sample / max(rows, 1))
-    picked = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    drawn = unit_vectors(picked, key, vector, width).select("unit").distinct().limit(2 * sample).collect()
-    kept = sorted(bytes(r.unit) for r in drawn)
-    if not kept:
+    classes = cut(units.groupBy("direction").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n"), F.first("unit").alias("unit")))
+    rows = classes.count()
+    wanted = int(min(most_anchors, max(16, rows // ANCHOR_EVERY)))
+    # a sample by hash, a little larger than wanted
+    share = F.lit(int(min(1.0, 1.2 * wanted / max(rows, 1) + 0.001) * 1_000_000))
+    draw = F.pmod(F.xxhash64("direction", F.lit(seed)), F.lit(1_000_000))
+    drawn = sorted((bytes(r.direction), bytes(r.unit)) for r in classes.where(draw < share).select("direction", "unit").collect())[:wanted] if rows else []
+    if not drawn and rows:
+        drawn = [(b"", bytes(classes.select("unit").first().unit))]
+    if not drawn:
         return spark.createDataFrame([], "id long, other long, cosine float, place int")
+    packed = np.frombuffer(b"".join(u for _, u in drawn), "<i2").reshape(-1, width)
     rng = np.random.default_rng(seed)
-    pool = _matrix(kept, width)
-    centre = pool[rng.permutation(len(pool))[:anchors]]
-    near = np.argsort(-(pool @ centre.T), axis=1)[:, :CELLS_EACH]
-    expected = np.bincount(near.ravel(), minlength=len(centre)) * (rows / len(pool))
-    blocks = np.maximum(1, np.ceil(expected / block)).astype(int)
-    shared = spark.sparkContext.broadcast((centre, blocks, rng.standard_normal((width, LINES)).astype(np.float32)))
-
-    classes = units.groupBy("direction").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n"), F.first("unit").alias("unit"))
+    shared = spark.sparkContext.broadcast((packed, rng.standard_normal((width, LINES)).astype(np.float32)))
 
-    def assign(batches):
-        import pyarrow as pa
-
-        centre, blocks, _ = shared.value
-        each = min(CELLS_EACH, len(centre))
+    def cells_of(batches, each_row):
+        """Calls ``each_row`` with the ids, the vectors and the cells of slices of the batches."""
+        anchors = Anchors(_matrix([shared.value[0].tobytes()], width))
         for batch in batches:
             ids, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for start in range(0, len(ids), 2048):
                 some = units[start : start + 2048]
-                if not some:
-                    continue
-                closeness = _matrix(some, width) @ centre.T
-                cells = np.argpartition(-closeness, each - 1, axis=1)[:, :each]
-                out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-                for i, own in enumerate(cells):
-                    for cell in own:
-                        n = int(blocks[cell])
-                        mine = int(ids[start + i]) * 2654435761 % 4294967296 * n >> 32
-                        for other in range(n):
-                            for column, value in zip(out, (int(cell), min(mine, other), max(mine, other), mine, start + i)):
-                                column.append(value)
-                at = np.array(out[4])
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x, pa.int32()) for x in out[:4]), pa.array(ids[at], pa.int64()), pa.array([units[i] for i in at], pa.binary())],
-                    names=["cell", "a", "b", "own", "id", "unit"],
-                )
+                yield each_row(ids[start : start + 2048], some, anchors.nearest(_matrix(some, width), CELLS_EACH))
+
+    def counted(batches):
+        import pyarrow as pa
+
+        def rows_of(ids, units, cells):
+            cell, n = np.unique(cells, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+        yield from cells_of(batches, rows_of)
+
+    # members of each cell, estimated from one vector in four; how many blocks it is cut into changes no result but the time
+    quarter = classes.where(F.pmod(F.xxhash64("direction"), F.lit(4)) == 0).select("id", "unit")
+    sizes = quarter.mapInArrow(counted, "cell int, n long").groupBy("cell").agg((4 * F.sum("n")).alias("n")).where(F.col("n") > block).collect()
+    cut_into = spark.sparkContext.broadcast({r.cell: -(-r.n // block) for r in sizes})
+
+    def assign(batches):
+        import pyarrow as pa
+
+        blocks = cut_into.value
+
+        def rows_of(ids, units, cells):
+            parts = np.ones(cells.shape, np.int64)
+            for cell in np.unique(cells):
+                if int(cell) in blocks:
+                    parts[cells == cell] = blocks[int(cell)]
+            mixed = (ids.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+            own = (mixed[:, None] * parts.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            flat = parts.ravel()
+            at = np.repeat(np.arange(len(flat)), flat)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(flat) - flat, flat)
+            mine, row = own.ravel()[at], at // cells.shape[1]
+            columns = [cells.ravel()[at], np.minimum(mine, other), np.maximum(mine, other), mine]
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int32()) for x in columns), pa.array(ids[row], pa.int64()), pa.array(units, pa.binary()).take(pa.array(row))],
+                names=["cell", "a", "b", "own", "id", "unit"],
+            )
+
+        yield from cells_of(batches, rows_of)
 
     placed = classes.select("id", "unit").mapInArrow(assign, "cell int, a int, b int, own int, id long, unit binary")
 
     def search(table):
         import pyarrow as pa
 
-        lines = shared.value[2]
+        lines = shared.value[1]
         ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
         x = _matrix(table.column("unit").to_pylist(), width)
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
@@ -185,12 +262,16 @@ def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blo
 
     # copies: the first k + 1 ids of each class that has more than one, found in salted steps
     copied = classes.where("n > 1").select("direction", F.col("id").alias("head"), "n")
-    members = units.select("id", "direction").join(copied, "direction").select("head", "n", "id").distinct()
+    # a hot class is dealt out over HOT_PARTS tasks, its few first ids being repeated
+    parts = 1 if copied.where(F.col("n") > HOT).isEmpty() else HOT_PARTS
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
+    each_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    members = units.select("id", "direction", part).join(copied.select("*", each_part), ["direction", "part"]).select("head", "n", "id").distinct()
     salted = Window.partitionBy("head", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     whole = Window.partitionBy("head").orderBy("id")
     first = members.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
     first = first.groupBy("head").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
-    inside = members.join(first.select("head", "ids"), "head").select("id", F.explode("ids").alias("other"), F.lit(1.0).cast("float").alias("cosine")).where("id <> other")
+    inside = members.select("head", "id", part).join(first.select("head", "ids", each_part), ["head", "part"]).select("id", F.explode("ids").alias("other"), F.lit(1.0).cast("float").alias("cosine")).where("id <> other")
     between = (
         links.join(first.select(F.col("head").alias("id"), F.col("n").alias("n"), F.col("ids").alias("own")), "id", "left")
         .join(first.select(F.col("head").alias("other"), F.col("ids").alias("theirs")), "other", "left")

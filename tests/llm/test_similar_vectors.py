@@ -55,3 +55,43 @@ def test_unusable(spark):
     assert {(r.id, r.other) for r in similar_vectors(table(spark, good + bad)).collect()} == {(0, 1), (1, 0)}
     assert similar_vectors(table(spark, bad)).count() == 0
     assert similar_vectors(table(spark, [])).count() == 0
+
+
+def test_walked_windows_equal_dense_counts():
+    from tarnlight.llm.similar_vectors import _walk
+
+    rng = np.random.default_rng(6)
+    on_lines = rng.standard_normal((8, 300))
+    order = np.argsort(on_lines, axis=1)
+    arrays = np.take_along_axis(on_lines, order, axis=1)
+    centres = rng.standard_normal((20, 8))
+    bounds = lambda r: tuple(np.stack([np.searchsorted(a, centres[:, n] + s * r, side) for n, a in enumerate(arrays)], axis=1) for s, side in ((-1, "left"), (1, "right")))
+    count = np.zeros((20, 300), np.uint8)
+    (low, high), (low2, high2) = bounds(0.3), bounds(0.8)
+    _walk(count, order, low, high)
+    assert (count == (np.abs(centres[:, :, None] - on_lines[None]) <= 0.3).sum(axis=1)).all()
+    _walk(count, order, low2, low)
+    _walk(count, order, high, high2)
+    assert (count == (np.abs(centres[:, :, None] - on_lines[None]) <= 0.8).sum(axis=1)).all()
+
+
+def test_anchors_in_groups_find_most_of_the_nearest(monkeypatch):
+    from tarnlight.llm import similar_vectors as module
+
+    x = np.array([v for _, v in groups(7, 50, 40, 0.4)], np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre = x[np.random.default_rng(8).permutation(len(x))[:600]]
+    flat = module.Anchors(centre).nearest(x, 3)
+    monkeypatch.setattr(module, "FLAT", 100)
+    grouped = module.Anchors(centre).nearest(x, 3)
+    assert np.mean([len(set(a) & set(b)) / 3 for a, b in zip(flat, grouped)]) > 0.9
+
+
+def test_hot_class_of_copies(spark, monkeypatch):
+    from tarnlight.llm import similar_vectors as module
+
+    v, w = groups(9, 2, 1, 0)
+    rows = [(i, v[1]) for i in range(40)] + [(100, w[1]), (101, w[1])]
+    plain = {tuple(r) for r in module.similar_vectors(table(spark, rows)).collect()}
+    monkeypatch.setattr(module, "HOT", 10)
+    assert {tuple(r) for r in module.similar_vectors(table(spark, rows)).collect()} == plain and len(plain) == 40 * 5 + 2
