@@ -12,7 +12,8 @@ import base64
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tarnlight.llm.rows import each_once
 
 #: Where the vocabulary lies on the driver; it is broadcast, and has a fixed size of about 50,000 entries.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -104,8 +105,9 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 def encode_corpus(documents: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, ids)``, a row per key: the token ids of the whole text, without special tokens.
 
-    Null and empty texts give the empty list. A row written twice counts once; rows with a null key stay. The name
-    of a special token inside a text is ordinary text. The text never leaves the task that reads it: only the ids do.
+    Null and empty texts give the empty list. A row written twice counts once; rows with a null key all stay. The name
+    of a special token inside a text is ordinary text. Texts and ids stay in the task that reads them; only keys are
+    grouped, and rows written twice are moved.
     """
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
 
@@ -134,5 +136,4 @@ def encode_corpus(documents: DataFrame, path: str = VOCABULARY, key: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    encoded = documents.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
-    return encoded.groupBy(key).agg(F.first("ids").alias("ids"))
+    return each_once(documents.select(key, text), key, lambda rows: rows.mapInArrow(run, f"{key} {kind}, ids array<int>"))

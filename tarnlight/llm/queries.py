@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm import conversations, encoding, leakage, name_variants, personal, residue, scan_noise, similar_vectors
+from tarnlight.llm.rows import each_once
 from tarnlight.session import read, union_all
 
 
@@ -51,7 +52,7 @@ def p5_masked(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of both tables with its text masked; a row written twice comes out once."""
     tagger = personal.train()
     found = [
-        personal.find_personal_data(read(spark, folder, table).select("id", column).distinct(), "id", column, tagger).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "masked")
+        each_once(read(spark, folder, table).select("id", column), "id", lambda rows, column=column: personal.find_personal_data(rows, "id", column, tagger)).select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"), "masked")
         for table, column in PERSONAL
     ]
     return union_all(found)

@@ -53,3 +53,14 @@ def test_long_piece_is_not_quadratic(ranks):
 
     seconds(100)
     assert seconds(20_000) < 30 * max(seconds(2000), 0.005)
+
+
+def test_null_keys_and_repeated_rows(spark, monkeypatch):
+    from tarnlight.llm import rows
+    from tarnlight.llm.encoding import encode_corpus
+
+    df = spark.createDataFrame([(None, "one"), (None, "one"), (1, "two"), (1, "two"), (2, None)], "doc_id long, text string")
+    for most in (500_000, 0):
+        monkeypatch.setattr(rows, "MOST_REPEATED", most)
+        got = sorted((r.doc_id or 0, len(r.ids)) for r in encode_corpus(df).collect())
+        assert got == [(0, 1), (0, 1), (1, 1), (2, 0)]
