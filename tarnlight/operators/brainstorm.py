@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.operators.retrieval import cosine, norm
+from tarnlight.operators.pairwise import matched_in_blocks
+from tarnlight.operators.retrieval import cosine, most_similar, norm
 from tarnlight.session import bounded
 
 
@@ -15,16 +17,34 @@ def drift_band(drift: Column) -> tuple[Column, Column]:
     return F.round(high - 0.10, 6), high
 
 
-def partners(pool: DataFrame, anchors: DataFrame, low: float, high: float, each: int = 1) -> DataFrame:
-    """For each anchor its ``each`` partners of the pool with a similarity in the band, from another topic first.
+def partners(pool: DataFrame, anchors: DataFrame, low: float, high: float, each: int = 1, widen: float = 0.05) -> DataFrame:
+    """``(anchor, partner, level, tier, sim)``: up to ``each`` partners of each anchor with a similarity in the band.
 
-    Anchors are a chosen handful (at most 10,000, checked) and are broadcast; the pool is scanned once.
+    An anchor without any in the band looks in a band wider by ``widen`` on both sides (level 1), and stays without if there is none
+    either. Partners of another topic come first (tier 1), then of another source, then the rest; within a tier by id. Any
+    number of anchors is worked off in blocks.
     """
-    a = anchors.select(F.col("id").alias("anchor"), F.col("topic").alias("anchor_topic"), F.col("source").alias("anchor_source"), F.col("vector").alias("anchor_vector"))
-    sims = pool.crossJoin(bounded(a)).where("id <> anchor").withColumn("sim", F.round(cosine(F.col("vector"), F.col("anchor_vector")), 6)).where(F.col("sim").between(low, high))
-    tier = F.when(F.col("topic") != F.col("anchor_topic"), 1).when(F.col("source") != F.col("anchor_source"), 2).otherwise(3)
-    by = Window.partitionBy("anchor").orderBy("tier", "id")
-    return sims.withColumn("tier", tier).withColumn("r", F.row_number().over(by)).where(F.col("r") <= each).select("anchor", F.col("id").alias("partner"), "tier", "sim")
+
+    def choose(asked, rows, sims):
+        level = np.where((sims >= low) & (sims <= high), 0, np.where((sims >= round(low - widen, 6)) & (sims <= round(high + widen, 6)), 1, 2))
+        tier = np.where(asked["topic"][:, None] != rows["topic"][None, :], 1, np.where(asked["source"][:, None] != rows["source"][None, :], 2, 3))
+        order = np.argsort(rows["id"].astype(np.int64), kind="stable")
+        rank = (level * 4 + tier)[:, order]
+        first = np.argsort(rank, axis=1, kind="stable")[:, :each]
+        a, b = np.repeat(np.arange(len(rank)), first.shape[1]), order[first.ravel()]
+        kept = level[a, b] < 2
+        return a[kept], b[kept], (level * 4 + tier)[a[kept], b[kept]].astype(np.int32)
+
+    found = matched_in_blocks(anchors, pool, choose, ("topic", "source"))
+    found = found.select(F.col("query").alias("anchor"), F.col("id").alias("partner"), F.floor(F.col("level") / 4).cast("int").alias("level"), (F.col("level") % 4).alias("tier"), "sim")
+    by = Window.partitionBy("anchor")
+    found = found.withColumns({"best": F.min("level").over(by), "r": F.row_number().over(by.orderBy("level", "tier", "partner"))})
+    return found.where((F.col("level") == F.col("best")) & (F.col("r") <= each)).drop("best", "r")
+
+
+def seed_front(pool: DataFrame, query: DataFrame, count: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Seeds by relevance to a question: the front of the order, 15 for each wanted idea and 50 at least."""
+    return most_similar(pool, query, max(15 * count, 50), key, vector)
 
 
 def arm_counts(hypotheses: DataFrame, now: Column, young_days: int = 14) -> DataFrame:
@@ -54,7 +74,9 @@ def bridge_scores(pairs: DataFrame) -> DataFrame:
 
 def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """``(cluster, centroid, n)`` of unit vectors, summed by position so that no cluster is gathered in one place."""
-    unit = df.where(norm(F.col(vector)) > 0).select(cluster, F.posexplode(F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector)))).alias("i", "x"))
+    # the length once a row, in a projection of its own, or it would be computed for each number
+    sized = df.select(cluster, vector, norm(F.col(vector)).alias("length")).where("length > 0")
+    unit = sized.select(cluster, "length", F.posexplode(vector).alias("i", "x")).select(cluster, "i", (F.col("x").cast("double") / F.col("length")).alias("x"))
     means = unit.groupBy(cluster, "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
     return means.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"), F.max("n").alias("n"))
 

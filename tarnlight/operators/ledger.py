@@ -41,8 +41,44 @@ def decision_errors(row: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def plan_rows(plans: DataFrame, today: Column) -> DataFrame:
-    """A plan's valid actions, at most five, as experiments with a day of review (7 days if none is given)."""
-    good = F.slice(F.filter("actions", lambda a: F.coalesce(F.trim(a["action"]) != "", F.lit(False)) & F.coalesce(a["horizon"], F.lit("this_week")).isin("today", "this_week", "this_month", "this_quarter")), 1, 5)
-    rows = plans.select("plan_id", "domain", F.posexplode(good).alias("n", "a"))
-    offset = F.coalesce(F.col("a.due_offset_days"), F.lit(7))
-    return rows.select("plan_id", "domain", "n", F.trim("a.action").alias("title"), F.coalesce("a.horizon", F.lit("this_week")).alias("horizon"), F.date_add(today, offset).alias("review_date"))
+    """The valid actions of each plan as experiments that share its id, with a day of review."""
+    rows = plans.select("plan_id", "domain", F.posexplode(checked_actions("actions")).alias("n", "a"))
+    return rows.select("plan_id", "domain", "n", F.col("a.action").alias("title"), "a.horizon", F.date_add(today, F.col("a.days")).alias("review_date"))
+
+
+HORIZONS = ["today", "this_week", "this_month", "this_quarter"]
+
+
+def checked_actions(actions: str | Column, most: int = 5, latest: int = 90) -> Column:
+    """The valid actions of a plan, in order and at most ``most``: with a text and a known horizon (``this_week`` if none is given).
+
+    Days until the review are kept between 1 and ``latest``; none given means 7. A plan without actions is valid and has none.
+    """
+    good = F.filter(actions, lambda a: F.coalesce(F.trim(a["action"]) != "", F.lit(False)) & F.coalesce(a["horizon"], F.lit("this_week")).isin(HORIZONS))
+    clean = F.transform(good, lambda a: F.struct(F.trim(a["action"]).alias("action"), F.coalesce(a["horizon"], F.lit("this_week")).alias("horizon"), F.greatest(F.lit(1), F.least(F.lit(latest), F.coalesce(a["due_offset_days"], F.lit(7)))).alias("days")))
+    return F.slice(clean, 1, most)
+
+
+def score_once(decisions: DataFrame, scores: DataFrame) -> DataFrame:
+    """``(id, outcome, refused)``: the first score of an open decision stands, every other one is refused.
+
+    ``decisions`` has ``id, outcome`` (null while open), ``scores`` has ``id, at, outcome``; scores of unknown decisions are ignored.
+    """
+    tried = scores.where("outcome is not null").groupBy("id").agg(F.min_by("outcome", F.struct("at", "outcome")).alias("first"), F.count("*").alias("n"))
+    joined = decisions.select("id", "outcome").join(tried, "id", "left")
+    accepted = F.col("outcome").isNull() & F.col("first").isNotNull()
+    return joined.select("id", F.coalesce("outcome", "first").alias("outcome"), (F.coalesce("n", F.lit(0)) - accepted.cast("int")).cast("long").alias("refused"))
+
+
+def atom_errors(rules: DataFrame, kinds: list[str], maps: DataFrame) -> DataFrame:
+    """Rules with ``errors``: required fields that are missing, a kind that is not listed, a map that is not known.
+
+    ``rules`` has ``id, statement, decision_rule, kind, map``, ``maps`` a column ``map``.
+    """
+    known = maps.select("map").where("map is not null").distinct().withColumn("known", F.lit(True))
+    joined = rules.join(known, "map", "left")
+    checks = {
+        "statement": F.coalesce(F.trim("statement") == "", F.lit(True)), "decision_rule": F.coalesce(F.trim("decision_rule") == "", F.lit(True)),
+        "kind": ~F.coalesce(F.col("kind").isin(kinds), F.lit(False)), "map": F.col("known").isNull(),
+    }
+    return joined.withColumn("errors", F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))).drop("known")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.operators.pairwise import nearest
 from tarnlight.operators.relational import live
-from tarnlight.operators.retrieval import cosine
-from tarnlight.session import bounded
 
 
 def live_by(memories: DataFrame, column: str, missing: str) -> DataFrame:
@@ -59,11 +58,10 @@ def entity_graph(entities: DataFrame, memories: DataFrame, nodes: int = 60, leas
 def write_decision(store: DataFrame, new: DataFrame, duplicate: float = 0.95, supersede: float = 0.8) -> DataFrame:
     """``(id, decision, target, sim)`` of new rows against the store, by the single nearest row.
 
-    The nearest row decides even if it is no longer live: then the new row is inserted. New rows are a batch of at most 10,000, which is checked.
+    The nearest row decides even if it is no longer live: then the new row is inserted. Any number of new rows is worked off in blocks.
     """
-    fresh = new.select(F.col("id").alias("new_id"), F.col("vector").alias("new_vector"))
-    sims = store.crossJoin(bounded(fresh)).select("new_id", "id", F.col("superseded_by").isNull().alias("is_live"), F.round(cosine(F.col("vector"), F.col("new_vector")), 6).alias("sim")).where("sim is not null")
-    best = sims.groupBy("new_id").agg(F.max_by(F.struct("id", "is_live", "sim"), F.struct("sim", -F.col("id"))).alias("b"))
+    best = nearest(new.select("id", "vector"), store.select("id", "vector")).select(F.col("query").alias("new_id"), "id", "sim")
+    best = best.join(store.select("id", F.col("superseded_by").isNull().alias("is_live")), "id").select("new_id", F.struct("id", "is_live", "sim").alias("b"))
     kind = F.when(F.col("b.is_live") & (F.col("b.sim") >= duplicate), "duplicate").when(F.col("b.is_live") & (F.col("b.sim") >= supersede), "supersede").otherwise("insert")
     joined = new.select(F.col("id").alias("new_id")).join(best, "new_id", "left")
     target = F.when(kind != "insert", F.col("b.id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions import text as T
@@ -10,6 +11,8 @@ from tarnlight.operators import graph as G
 from tarnlight.operators import ledger as L
 from tarnlight.operators import memory as M
 from tarnlight.operators import relational as R
+from tarnlight.operators.pairwise import nearest
+from tarnlight.operators.plugs import embedded as embed
 from tarnlight.plans.base import CHUNKS, MEMORIES, NOW, RECALL, Catalogue
 from tarnlight.plans.catalog import chunks, memories, now, recall
 from tarnlight.session import bounded, read
@@ -120,15 +123,11 @@ def cluster_labels(spark, folder):
 V64 = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
-@add("A18", f"SELECT b.vec_id, round(greatest(0.0, max({V64})), 6) AS nearest FROM embeddings b, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10) a WHERE a.vec_id <> b.vec_id GROUP BY 1")
+@add("A18", f"SELECT b.vec_id, greatest(0.0, max(round({V64}, 6))) AS nearest FROM embeddings b, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a WHERE a.vec_id <> b.vec_id GROUP BY 1")
 def nearest_to_ledger(spark, folder):
-    """Greatest similarity to a small ledger, never below 0."""
-    from tarnlight.operators.retrieval import cosine
-
-    e = read(spark, folder, "embeddings")
-    known = F.broadcast(e.orderBy("vec_id").limit(10).select(F.col("vec_id").alias("known"), F.col("embedding").alias("q")))
-    sims = e.crossJoin(known).where("vec_id <> known").groupBy("vec_id").agg(F.max(cosine(F.col("embedding"), F.col("q"))).alias("m"))
-    return sims.select("vec_id", F.round(F.greatest("m", F.lit(0.0)), 6).alias("nearest"))
+    """Greatest similarity to what the ledger holds (every twentieth vector), never below 0."""
+    e = read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(e, e.where("id % 20 = 0")).select(F.col("query").alias("vec_id"), F.greatest("sim", F.lit(0.0)).alias("nearest"))
 
 
 @add("A19", "SELECT coalesce(topic_a, '_unmapped') AS map, row_number() OVER (PARTITION BY coalesce(topic_a, '_unmapped') ORDER BY id) AS place, id FROM hypotheses")
@@ -299,14 +298,14 @@ def entity_sets(spark, folder):
     return e.groupBy("memory_id").agg(F.count_distinct("e").alias("n"))
 
 
-@add("M1", """SELECT coalesce(o.topic_a, n.topic_a) AS topic_a, coalesce(n.v, o.v) AS v FROM (SELECT topic_a, min(snippet_a) AS v FROM hypotheses WHERE topic_a IS NOT NULL AND id <= 150 GROUP BY 1) o
- FULL OUTER JOIN (SELECT topic_a, max(CASE WHEN lower(status) = 'kept' THEN snippet_b END) AS v FROM hypotheses WHERE topic_a IS NOT NULL AND id > 50 GROUP BY 1) n ON o.topic_a = n.topic_a""")
+@add("M1", """SELECT coalesce(o.topic, n.topic) AS topic, coalesce(n.v, o.v) AS v FROM (SELECT topic_a AS topic, min(snippet_a) AS v FROM hypotheses WHERE topic_a IS NOT NULL GROUP BY 1) o
+ FULL OUTER JOIN (SELECT topic_b AS topic, max(CASE WHEN lower(status) = 'kept' THEN snippet_b END) AS v FROM hypotheses WHERE topic_b IS NOT NULL GROUP BY 1) n ON o.topic = n.topic""")
 def upsert(spark, folder):
-    """New values win where they are not null."""
-    h = read(spark, folder, "hypotheses").where("topic_a is not null")
-    old = h.where("id <= 150").groupBy("topic_a").agg(F.min("snippet_a").alias("v"))
-    new = h.where("id > 50").groupBy("topic_a").agg(F.max(F.when(F.lower("status") == "kept", F.col("snippet_b"))).alias("v"))
-    return R.upsert_keep(old, new, "topic_a")
+    """New values win where they are not null: what first topics say is stored, what kept second topics say is new."""
+    h = read(spark, folder, "hypotheses")
+    old = h.where("topic_a is not null").groupBy(F.col("topic_a").alias("topic")).agg(F.min("snippet_a").alias("v"))
+    new = h.where("topic_b is not null").groupBy(F.col("topic_b").alias("topic")).agg(F.max(F.when(F.lower("status") == "kept", F.col("snippet_b"))).alias("v"))
+    return R.upsert_keep(old, new, "topic")
 
 
 @add("M3", f"SELECT session, id, content FROM (SELECT lower(trim(session_id)) AS session, id, content FROM {RECALL}) QUALIFY row_number() OVER (PARTITION BY session ORDER BY id DESC) = 1")
@@ -336,16 +335,15 @@ def prune(spark, folder):
     return m.join(M.stale(m, now(), 8).select("id"), "id", "left_anti").select("id")
 
 
-@add("M9", f"SELECT m.id, m.retrieval_count + coalesce(r.n, 0) AS retrieval_count FROM {MEMORIES} m LEFT JOIN (SELECT memory_id, count(*) AS n FROM memory_entities GROUP BY 1) r ON r.memory_id = m.id")
+@add("M9", f"SELECT m.id, m.retrieval_count + coalesce(r.n, 0) AS retrieval_count, CAST(CASE WHEN r.n > 0 THEN TIMESTAMP '{NOW}' ELSE m.last_retrieved_at END AS VARCHAR) AS last_retrieved_at FROM {MEMORIES} m LEFT JOIN (SELECT memory_id, count(*) AS n FROM memory_entities GROUP BY 1) r ON r.memory_id = m.id")
 def counted_reads(spark, folder):
-    """Counters from an append-only log of reads; here each mention stands for a read."""
+    """Counters and times from an append-only log of reads; here each mention stands for a read of now."""
     log = read(spark, folder, "memory_entities").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("n"))
-    return memories(spark, folder).select("id", "retrieval_count").join(log, "id", "left").select("id", (F.col("retrieval_count") + F.coalesce("n", F.lit(0))).alias("retrieval_count"))
+    at = F.when(F.col("n") > 0, F.lit(NOW).cast("timestamp_ntz")).otherwise(F.col("last_retrieved_at").cast("timestamp_ntz"))
+    return memories(spark, folder).join(log, "id", "left").select("id", (F.col("retrieval_count") + F.coalesce("n", F.lit(0))).alias("retrieval_count"), at.cast("string").alias("last_retrieved_at"))
 
 
 @add("M5", f"SELECT id, category, project FROM (SELECT id, 1 AS version, category, project FROM {MEMORIES} UNION ALL SELECT id, 2, 'goal', project FROM {MEMORIES} WHERE project = 'kiln') QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1")
-@add("M7", f"SELECT id, category, project FROM (SELECT id, 1 AS version, category, project FROM {MEMORIES} UNION ALL SELECT id, 2, 'goal', project FROM {MEMORIES} WHERE project = 'kiln') QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1")
-@add("M10", f"SELECT id, category, project FROM (SELECT id, 1 AS version, category, project FROM {MEMORIES} UNION ALL SELECT id, 2, 'goal', project FROM {MEMORIES} WHERE project = 'kiln') QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1")
 def update_as_version(spark, folder):
     """A partial update is a new version; the latest version of each key is current."""
     base = memories(spark, folder).select("id", F.lit(1).alias("version"), "category", "project")
@@ -353,13 +351,35 @@ def update_as_version(spark, folder):
     return R.latest_version(base.union(new), "id", [F.desc("version")]).select("id", "category", "project")
 
 
-@add("M15", "SELECT b.id FROM hypotheses b WHERE EXISTS (SELECT 1 FROM hypotheses a WHERE a.text = b.text AND a.id < b.id AND a.created_at BETWEEN b.created_at - INTERVAL 400 DAYS AND b.created_at) OR b.id IN (SELECT id FROM hypotheses WHERE drift < 0.05)")
+@add("M7", f"SELECT id, CASE WHEN project = 'kiln' THEN concat('Now: ', fact) ELSE fact END AS fact, CASE WHEN project = 'kiln' THEN 64 ELSE len(embedding_blob) END AS width FROM {MEMORIES} WHERE fact IS NOT NULL")
+def updated_memories(spark, folder):
+    """Facts of a project are reworded; only these are embedded again, and no duplicate is looked for."""
+    m = memories(spark, folder).where("fact is not null").select("id", "fact", "embedding_blob", F.coalesce(F.col("project") == "kiln", F.lit(False)).alias("changed"))
+    new = m.where("changed").select("id", F.concat(F.lit("Now: "), F.col("fact")).alias("fact"))
+    embedded = embed(new, "id", "fact").select("id", F.size("embedding").alias("width")).join(new, "id").select("id", "fact", "width")
+    width = F.when(F.col("embedding_blob").isNotNull(), F.size("embedding_blob"))
+    return m.where("not changed").select("id", "fact", width.alias("width")).union(embedded)
+
+
+@add("M10", f"""WITH s AS (SELECT id, updated_at AS moment, lower(status) AS outcome FROM hypotheses WHERE status IS NOT NULL UNION ALL SELECT id, TIMESTAMP '{NOW}', 'late' FROM hypotheses WHERE notes IS NOT NULL),
+ t AS (SELECT id, arg_min(outcome, (moment, outcome)) AS earliest, count(*) AS n FROM s GROUP BY 1), d AS (SELECT id, CASE WHEN realized_sim IS NOT NULL AND NOT isnan(realized_sim) THEN 'scored' END AS outcome FROM hypotheses)
+ SELECT d.id, coalesce(d.outcome, t.earliest) AS outcome, coalesce(t.n, 0) - CASE WHEN d.outcome IS NULL AND t.earliest IS NOT NULL THEN 1 ELSE 0 END AS refused FROM d LEFT JOIN t ON t.id = d.id""")
+def scored_once(spark, folder):
+    """The first score of an open decision stands; scores of decided ones and second scores are refused."""
+    h = read(spark, folder, "hypotheses")
+    scores = h.where("status is not null").select("id", F.col("updated_at").cast("timestamp_ntz").alias("at"), F.lower("status").alias("outcome"))
+    scores = scores.union(h.where("notes is not null").select("id", F.lit(NOW).cast("timestamp_ntz"), F.lit("late")))
+    done = F.when(F.col("realized_sim").isNotNull() & ~F.isnan("realized_sim"), F.lit("scored"))
+    return L.score_once(h.select("id", done.alias("outcome")), scores)
+
+
+@add("M15", f"""SELECT b.id FROM (SELECT id, lower(trim(session_id)) AS s, content, created_at FROM {RECALL}) b
+ WHERE EXISTS (SELECT 1 FROM (SELECT id, lower(trim(session_id)) AS s, content, created_at FROM {RECALL}) a WHERE a.s = b.s AND a.content = b.content AND (a.created_at, a.id) < (b.created_at, b.id) AND a.created_at > b.created_at - INTERVAL 600 SECONDS)""")
 def repeated_submissions(spark, folder):
-    """Rows whose text was submitted before within the window; equal texts meet by hash join."""
-    h = read(spark, folder, "hypotheses").select("id", "text", "created_at", "drift")
-    a = h.select(F.col("id").alias("aid"), "text", F.col("created_at").alias("at"))
-    repeated = h.join(a, "text").where("aid < id and at <= created_at and at >= created_at - interval 400 days").select("id")
-    return repeated.union(h.where("drift < 0.05").select("id")).distinct()
+    """Submissions of which the session sent the same text less than 600 seconds before; the nearest one before decides."""
+    r = recall(spark, folder).where("content is not null and session_id is not null and created_at is not null")
+    by = F.lag("created_at").over(Window.partitionBy(F.lower(F.trim("session_id")), "content").orderBy("created_at", "id"))
+    return r.withColumn("before", by).where("before > created_at - interval 600 seconds").select("id")
 
 
 @add("C4", """WITH s AS (SELECT id, regexp_replace(regexp_extract(file_path, '([^/]+)$', 1), '\\.[A-Za-z0-9]+$', '') AS stem FROM sources WHERE file_path IS NOT NULL)
@@ -422,11 +442,21 @@ def metadata_order(spark, folder):
 
 
 @add("C17", "SELECT id, split_part(file_path, '/', 1) AS project FROM sources WHERE file_path IS NOT NULL")
-@add("C18", "SELECT id, split_part(file_path, '/', 1) AS project FROM sources WHERE file_path IS NOT NULL")
 def project_of_path(spark, folder):
     return read(spark, folder, "sources").where("file_path is not null").select("id", F.split_part("file_path", F.lit("/"), F.lit(1)).alias("project"))
 
 
+@add("C18", """WITH t AS (SELECT DISTINCT topic FROM documents WHERE topic IS NOT NULL), p AS (SELECT id, unnest(string_split(lower(replace(file_path, ' ', '_')), '/')) AS part FROM sources WHERE file_path IS NOT NULL)
+ SELECT p.id, min(t.topic) AS topic FROM p JOIN t ON lower(t.topic) = p.part OR starts_with(p.part, lower(t.topic) || '.') OR starts_with(p.part, lower(t.topic) || '-') GROUP BY 1""")
+def topic_of_path(spark, folder):
+    """The first topic by name that a component of the path is, whatever the case; a file name counts without what follows a dot or dash."""
+    part = F.explode(F.split(F.lower(F.replace("file_path", F.lit(" "), F.lit("_"))), "/"))
+    parts = read(spark, folder, "sources").where("file_path is not null").select("id", part.alias("part"))
+    starts = F.array_distinct(F.concat(F.array("part"), F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length("part"), F.lit(1))), lambda i: F.substr("part", i, F.lit(1)).isin(".", "-")), lambda i: F.substr("part", F.lit(1), i - 1))))
+    topics = read(spark, folder, "documents").where("topic is not null").select("topic", F.lower("topic").alias("part")).distinct()
+    return parts.select("id", F.explode(starts).alias("part")).distinct().join(topics, "part").groupBy("id").agg(F.min("topic").alias("topic"))
+
+
 @add("C19", "SELECT doc_id, regexp_matches(topic, '^[A-Za-z0-9_-]+$') AS valid FROM documents WHERE topic IS NOT NULL")
 def valid_topics(spark, folder):
     return read(spark, folder, "documents").where("topic is not null").select("doc_id", F.col("topic").rlike("^[A-Za-z0-9_-]+$").alias("valid"))
@@ -472,21 +502,27 @@ def expanded_queries(spark, folder):
 
 @add("C28", """SELECT id, CASE WHEN coalesce(trim(text), '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(lower(status) IN ('new', 'kept', 'killed'), false) THEN 0 ELSE 1 END + CASE WHEN coalesce(trim(snippet_a), '') = '' THEN 1 ELSE 0 END
  + CASE WHEN coalesce(trim(kill_test), '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(drift BETWEEN 0 AND 100, false) THEN 0 ELSE 1 END AS errors FROM hypotheses""")
-@add("C29", """SELECT id, CASE WHEN coalesce(trim(text), '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(lower(status) IN ('new', 'kept', 'killed'), false) THEN 0 ELSE 1 END + CASE WHEN coalesce(trim(snippet_a), '') = '' THEN 1 ELSE 0 END
- + CASE WHEN coalesce(trim(kill_test), '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(drift BETWEEN 0 AND 100, false) THEN 0 ELSE 1 END AS errors FROM hypotheses""")
 def validated(spark, folder):
     h = read(spark, folder, "hypotheses")
     rows = h.select("id", F.col("text").alias("situation"), F.lower("status").alias("game"), F.col("snippet_a").alias("prediction"), F.col("kill_test").alias("falsifier"), F.col("drift").alias("confidence"), F.lit("2026-03-01").alias("review_by"))
     return L.decision_errors(rows, ["new", "kept", "killed"]).select("id", F.size("errors").alias("errors"))
 
 
-@add("R6", f"SELECT id FROM {MEMORIES} WHERE created_at > (SELECT quantile_disc(created_at, 0.5) FROM {MEMORIES})")
+@add("C29", """SELECT h.id, CASE WHEN coalesce(trim(text), '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(trim(kill_test), '') = '' THEN 1 ELSE 0 END + CASE WHEN coalesce(lower(status) IN ('new', 'kept', 'testing'), false) THEN 0 ELSE 1 END
+ + CASE WHEN h.topic_a IS NOT NULL AND h.topic_a IN (SELECT replace(topic, '_', ' ') FROM documents WHERE topic IS NOT NULL) THEN 0 ELSE 1 END AS errors FROM hypotheses h""")
+def checked_rules(spark, folder):
+    """Hypotheses as rules: a statement, a test, a listed status and a topic that the documents know."""
+    h = read(spark, folder, "hypotheses").select("id", F.col("text").alias("statement"), F.col("kill_test").alias("decision_rule"), F.lower("status").alias("kind"), F.col("topic_a").alias("map"))
+    maps = read(spark, folder, "documents").select(F.translate("topic", "_", " ").alias("map"))
+    return L.atom_errors(h, ["new", "kept", "testing"], maps).select("id", F.size("errors").alias("errors"))
+
+
+@add("R6", f"SELECT m.id FROM {MEMORIES} m LEFT JOIN (SELECT coalesce(project, '') AS p, max(created_at) AS mark FROM {MEMORIES} WHERE superseded_by IS NOT NULL GROUP BY 1) w ON w.p = coalesce(m.project, '') WHERE m.created_at > coalesce(w.mark, TIMESTAMP '1970-01-01')")
 def since_watermark(spark, folder):
-    """Rows newer than a stored high watermark; here the median time stands for it."""
-    m = memories(spark, folder).select("id", "created_at")
-    n = m.where("created_at is not null").count()
-    mark = m.where("created_at is not null").select("created_at").orderBy("created_at").limit((n + 1) // 2).agg(F.max("created_at").alias("mark"))
-    return m.crossJoin(F.broadcast(mark)).where("created_at > mark").select("id")
+    """Rows newer than the high watermark of their project: the newest of those that were compacted before."""
+    m = memories(spark, folder).select("id", "created_at", "superseded_by", F.coalesce("project", F.lit("")).alias("p"))
+    mark = m.where("superseded_by is not null").groupBy("p").agg(F.max("created_at").alias("mark"))
+    return m.join(mark, "p", "left").where("mark is null and created_at is not null or created_at > mark").select("id")
 
 
 @add("R7", "SELECT DISTINCT memory_id, lower(entity) AS entity FROM memory_entities")

@@ -229,13 +229,13 @@ def nearest_to_one(spark, folder):
     return most_similar(e, e.orderBy("vec_id").limit(1), 20).select("vec_id", F.round("sim", 6).alias("sim"))
 
 
-@add("J11", """SELECT h.id, left(a.text, 90) AS text_a, left(b.text, 90) AS text_b FROM hypotheses h
- JOIN documents a ON a.doc_id = h.chunk_a JOIN documents b ON b.doc_id = h.chunk_b WHERE lower(h.status) = 'killed'""")
+@add("J11", f"""SELECT h.id, left(a.text, 90) AS text_a, left(b.text, 90) AS text_b FROM hypotheses h
+ JOIN {CHUNKS} a ON a.id = h.chunk_a JOIN {CHUNKS} b ON b.id = h.chunk_b WHERE lower(h.status) = 'killed'""")
 def tensions(spark, folder):
     """Links with both texts; links with a missing side are dropped."""
-    d = read(spark, folder, "documents")
+    c = chunks(spark, folder)
     h = read(spark, folder, "hypotheses").where(F.lower("status") == "killed").select("id", "chunk_a", "chunk_b")
-    side = lambda x: d.select(F.col("doc_id").alias(f"chunk_{x}"), F.left("text", F.lit(90)).alias(f"text_{x}"))
+    side = lambda x: c.select(F.col("id").alias(f"chunk_{x}"), F.left("text", F.lit(90)).alias(f"text_{x}"))
     return h.join(side("a"), "chunk_a").join(side("b"), "chunk_b").select("id", "text_a", "text_b")
 
 
@@ -259,13 +259,11 @@ def pairs_not_kept(spark, folder):
     return h.select(*pair).distinct().join(kept, ["first", "second"], "left_anti")
 
 
-@add("J15", f"SELECT s.id, coalesce(c.n, 0) AS n, coalesce(c.ids, '') AS ids FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY chunk_index, id) AS ids FROM {CHUNKS} WHERE chunk_index < 5 GROUP BY 1) c ON c.source_id = s.id")
+@add("J15", f"SELECT s.id, c.place, c.chunk FROM sources s LEFT JOIN (SELECT source_id, id AS chunk, row_number() OVER (PARTITION BY source_id ORDER BY chunk_index, id) AS place FROM {CHUNKS}) c ON c.source_id = s.id")
 def nested_chunks(spark, folder):
-    """Each source with its opening chunks nested in order."""
-    own = chunks(spark, folder).where("chunk_index < 5").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id"))).alias("c"))
-    joined = read(spark, folder, "sources").select("id").join(own.withColumnRenamed("source_id", "id"), "id", "left")
-    ids = F.array_join(F.transform("c", lambda x: x["id"].cast("string")), ",")
-    return joined.select("id", F.coalesce(F.size("c").cast("long"), F.lit(0)).alias("n"), F.coalesce(ids, F.lit("")).alias("ids")).withColumn("n", F.greatest("n", F.lit(0)))
+    """Each source with all its chunks, numbered in order instead of gathered in one list; a source without chunks stays."""
+    own = R.numbered(chunks(spark, folder).select("source_id", "chunk_index", F.col("id").alias("chunk")), "source_id", ["chunk_index", "chunk"], "place")
+    return read(spark, folder, "sources").select("id").join(own.select(F.col("source_id").alias("id"), "place", "chunk"), "id", "left")
 
 
 @add("J16", f"SELECT s.session, s.first_id, coalesce(t.calls, 0) AS calls FROM (SELECT lower(trim(session_id)) AS session, min(id) AS first_id FROM {RECALL} GROUP BY 1) s LEFT JOIN (SELECT lower(trim(session_id)) AS session, count(*) AS calls FROM {RECALL} WHERE tool_calls IS NOT NULL GROUP BY 1) t ON t.session = s.session")

@@ -94,7 +94,6 @@ def reranked_hits(spark, folder):
 
 @add("U1")
 @add("U5")
-@add("M12")
 def embedded_again(spark, folder):
     """Every fact embedded anew in batches and written over the old vectors."""
     place = _place(spark)
@@ -102,14 +101,32 @@ def embedded_again(spark, folder):
     return spark.read.parquet(f"{place}/vectors").select("id", F.size("embedding").alias("width"))
 
 
-@add("M2", "SELECT DISTINCT topic_a AS source, topic_b AS target, lower(status) AS relationship FROM hypotheses WHERE topic_a IS NOT NULL AND topic_b IS NOT NULL AND status IS NOT NULL")
+@add("M12", f"SELECT id, CASE WHEN embedding_blob IS NOT NULL AND len(embedding_blob) = 96 THEN 96 ELSE 64 END AS width FROM {MEMORIES} WHERE fact IS NOT NULL")
+def embedded_on_mismatch(spark, folder):
+    """Vectors of another width than the model's are of another model: these facts, and those without a vector, are embedded again."""
+    m = memories(spark, folder).where("fact is not null")
+    fits = F.coalesce(F.size("embedding_blob") == 96, F.lit(False)) & F.col("embedding_blob").isNotNull()
+    again = P.embedded(m.where(~fits), "id", "fact").select("id", F.size("embedding").alias("width"))
+    return m.where(fits).select("id", F.size("embedding_blob").alias("width")).union(again)
+
+
+@add("M2", """WITH h AS (SELECT topic_a AS source, topic_b AS target, lower(status) AS relationship, snippet_a, notes FROM hypotheses WHERE topic_a IS NOT NULL AND topic_b IS NOT NULL AND status IS NOT NULL),
+ o AS (SELECT source, target, relationship, min(snippet_a) AS description FROM h WHERE notes IS NULL GROUP BY 1, 2, 3), n AS (SELECT source, target, relationship, max(nullif(trim(notes), '')) AS description FROM h WHERE notes IS NOT NULL GROUP BY 1, 2, 3),
+ l AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.target, n.target) AS target, coalesce(o.relationship, n.relationship) AS relationship, coalesce(n.description, o.description) AS description FROM o FULL OUTER JOIN n ON o.source = n.source AND o.target = n.target AND o.relationship = n.relationship),
+ c AS (SELECT DISTINCT replace(topic, '_', ' ') AS name FROM documents WHERE topic IS NOT NULL)
+ SELECT l.*, NOT EXISTS (SELECT 1 FROM c WHERE c.name = l.source) AS new_source, NOT EXISTS (SELECT 1 FROM c WHERE c.name = l.target) AS new_target FROM l""")
 def upserted_links(spark, folder):
-    """Links by (source, target, relationship); endpoints that are no concepts yet become some."""
+    """Links by (source, target, relationship): new descriptions win where they are not null; endpoints that are no concepts yet become some."""
     h = read(spark, folder, "hypotheses").where("topic_a is not null and topic_b is not null and status is not null")
-    links = h.select(F.col("topic_a").alias("source"), F.col("topic_b").alias("target"), F.lower("status").alias("relationship")).distinct()
-    names = links.select(F.col("source").alias("name")).union(links.select("target")).distinct()
-    concepts = R.upsert_keep(names.limit(5).withColumn("definition", F.lit("known")), names.withColumn("definition", F.lit(None).cast("string")), "name")
-    return links.join(concepts.select(F.col("name").alias("source")), "source").join(concepts.select(F.col("name").alias("target")), "target")
+    h = h.select(F.col("topic_a").alias("source"), F.col("topic_b").alias("target"), F.lower("status").alias("relationship"), "snippet_a", "notes")
+    key = ["source", "target", "relationship"]
+    old = h.where("notes is null").groupBy(*key).agg(F.min("snippet_a").alias("old"))
+    new = h.where("notes is not null").groupBy(*key).agg(F.max(F.nullif(F.trim("notes"), F.lit(""))).alias("new"))
+    links = old.join(new, key, "full").select(*key, F.coalesce("new", "old").alias("description"))
+    concepts = read(spark, folder, "documents").where("topic is not null").select(F.translate("topic", "_", " ").alias("name")).distinct()
+    for end in ("source", "target"):
+        links = links.join(concepts.select(F.col("name").alias(end), F.lit(False).alias(f"new_{end}")), end, "left")
+    return links.select(*key, "description", *[F.coalesce(f"new_{end}", F.lit(True)).alias(f"new_{end}") for end in ("source", "target")])
 
 
 @add("M11", "SELECT node, count(*) AS degree FROM (SELECT chunk_a AS node FROM hypotheses UNION ALL SELECT chunk_b FROM hypotheses) GROUP BY 1")
@@ -125,18 +142,18 @@ def loaded_or_nothing(spark, folder):
     """Rows are checked as a whole before any is written."""
     place = _place(spark)
     h = read(spark, folder, "hypotheses").select("id", F.lower("status").alias("status"))
-    try:
-        P.load_checked(h, F.col("status").isNull(), f"{place}/rows")
-        P.load_checked(h.withColumn("status", F.lit(None).cast("string")), F.col("status").isNull(), f"{place}/rows")
-    except ValueError:
-        pass
-    else:
+    bad = F.col("status").isNull()
+    for batch in (h, h.withColumn("status", F.lit(None).cast("string")), h.where("status is not null")):
+        # a batch with a bad row is refused as a whole, and nothing of it is written
+        if batch.where(bad).isEmpty():
+            P.load_checked(batch, bad, f"{place}/rows")
+            break
+        try:
+            P.load_checked(batch, bad, f"{place}/rows")
+        except ValueError:
+            continue
         raise AssertionError("a bad batch was written")
-    try:
-        rows = spark.read.parquet(f"{place}/rows")
-    except Exception:  # noqa: BLE001
-        P.load_checked(h.where("status is not null"), F.col("status").isNull(), f"{place}/rows")
-        rows = spark.read.parquet(f"{place}/rows")
+    rows = spark.read.parquet(f"{place}/rows")
     return rows.groupBy("status").agg(F.count("*").alias("n")).where("status is not null")
 
 

@@ -11,6 +11,7 @@ from tarnlight.operators import ledger as L
 from tarnlight.operators import memory as M
 from tarnlight.operators import relational as R
 from tarnlight.operators import retrieval as S
+from tarnlight.operators.pairwise import nearest as nearest_row
 from tarnlight.plans.base import CHUNKS, MEMORIES, NOW, Catalogue
 from tarnlight.plans.catalog import _bm25_sql, chunks, memories
 from tarnlight.session import read
@@ -106,17 +107,33 @@ def memory_search(spark, folder):
     return kept.select("id", F.round(F.col("score") + F.when(F.col("project") == "fern", 0.01).otherwise(0.0), 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-WRITE = f"""WITH n AS (SELECT id, embedding_blob AS v FROM {USABLE} ORDER BY id LIMIT 12), s AS (SELECT n.id AS new_id, m.id, m.superseded_by IS NULL AS live, round({COSINE.format(a='n.v', b='m.embedding_blob')}, 6) AS sim
- FROM n, {USABLE} m WHERE m.id NOT IN (SELECT id FROM n)), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, id) = 1)
+WRITE = f"""WITH n AS (SELECT id, embedding_blob AS v FROM {USABLE} WHERE id % 20 = 0), s AS (SELECT n.id AS new_id, m.id, m.superseded_by IS NULL AS live, round({COSINE.format(a='n.v', b='m.embedding_blob')}, 6) AS sim
+ FROM n, {USABLE} m WHERE m.id % 20 <> 0), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, id) = 1)
  SELECT new_id AS id, CASE WHEN live AND sim >= 0.95 THEN 'duplicate' WHEN live AND sim >= 0.8 THEN 'supersede' ELSE 'insert' END AS decision, CASE WHEN live AND sim >= 0.8 THEN id END AS target FROM b"""
 
 
 @add("V10", WRITE)
-@add("J10", WRITE)
 def write_decisions(spark, folder):
+    """Every twentieth memory is new, the others are the store."""
     u = usable(spark, folder).select("id", F.col("embedding_blob").alias("vector"), "superseded_by")
-    new = u.orderBy("id").limit(12)
-    return M.write_decision(u.join(F.broadcast(new.select("id")), "id", "left_anti"), new)
+    return M.write_decision(u.where("id % 20 <> 0"), u.where("id % 20 = 0"))
+
+
+HYPOTHESES = "(SELECT * FROM hypotheses WHERE len(embedding_blob) = 96 AND list_count(list_filter(embedding_blob, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_count(list_filter(embedding_blob, lambda x: x <> 0)) > 0)"
+
+
+def usable_hypotheses(spark, folder):
+    v = F.col("embedding_blob")
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return read(spark, folder, "hypotheses").where((F.size(v) == 96) & F.coalesce(good, F.lit(False))).select("id", v.alias("vector")).dropDuplicates(["id"])
+
+
+@add("J10", f"""WITH h AS (SELECT * FROM {HYPOTHESES} QUALIFY row_number() OVER (PARTITION BY id) = 1)
+ SELECT a.id, b.id AS near, round({COSINE.format(a='a.embedding_blob', b='b.embedding_blob')}, 6) AS sim FROM h a, h b WHERE a.id % 20 = 0 AND b.id % 20 <> 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY sim DESC, b.id) = 1""")
+def nearest_in_store(spark, folder):
+    """The nearest stored hypothesis of every twentieth one."""
+    h = usable_hypotheses(spark, folder)
+    return nearest_row(h.where("id % 20 = 0"), h.where("id % 20 <> 0")).select(F.col("query").alias("id"), F.col("id").alias("near"), "sim")
 
 
 @add("V11", """SELECT s.topic_a AS concept, count(*) AS links FROM (SELECT topic_a FROM hypotheses WHERE topic_a ILIKE '%note%' OR topic_b ILIKE '%note%' OR topic_a ILIKE '%map%' OR topic_b ILIKE '%map%') s GROUP BY 1""")
@@ -184,9 +201,11 @@ def drift_bands(spark, folder):
     return read(spark, folder, "hypotheses").where("drift is not null").select("id", "drift", low.alias("low"), high.alias("high"))
 
 
-PARTNERS = f"""WITH p AS (SELECT e.vec_id AS id, e.embedding, coalesce(d.topic, '') AS topic, coalesce(d.source, '') AS source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), a AS (SELECT * FROM p ORDER BY id LIMIT 10),
- s AS (SELECT a.id AS anchor, b.id AS partner, CASE WHEN a.topic <> b.topic THEN 1 WHEN a.source <> b.source THEN 2 ELSE 3 END AS tier, round({E_COS}, 6) AS sim FROM a, p b WHERE a.id <> b.id)
- SELECT anchor, partner, tier, sim FROM (SELECT * FROM s WHERE sim BETWEEN 0.2 AND 0.42) QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY tier, partner) <= 3"""
+PARTNERS = f"""WITH p AS (SELECT e.vec_id AS id, e.embedding, coalesce(d.topic, '') AS topic, coalesce(d.source, '') AS source FROM embeddings e JOIN (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id) = 1) d ON d.doc_id = e.vec_id), a AS (SELECT * FROM p WHERE id % 20 = 0),
+ s AS (SELECT a.id AS anchor, b.id AS partner, CASE WHEN a.topic <> b.topic THEN 1 WHEN a.source <> b.source THEN 2 ELSE 3 END AS tier, round({E_COS}, 6) AS sim FROM a, p b WHERE a.id <> b.id),
+ l AS (SELECT *, CASE WHEN sim BETWEEN 0.2 AND 0.42 THEN 0 ELSE 1 END AS level FROM s WHERE sim BETWEEN 0.15 AND 0.47)
+ SELECT anchor, partner, level, tier, sim FROM l QUALIFY level = min(level) OVER (PARTITION BY anchor) AND row_number() OVER (PARTITION BY anchor ORDER BY level, tier, partner) <= 3"""
+NARROW = PARTNERS.replace("0.2 AND 0.42", "0.36 AND 0.42").replace("0.15 AND 0.47", "0.31 AND 0.47")
 
 
 def idea_pool(spark, folder):
@@ -195,28 +214,48 @@ def idea_pool(spark, folder):
 
 
 @add("V20", PARTNERS)
-@add("J9", PARTNERS)
-@add("T10", PARTNERS)
 def partners(spark, folder):
+    """Partners of every twentieth vector."""
     pool = idea_pool(spark, folder)
-    return B.partners(pool, pool.orderBy("id").limit(10), 0.2, 0.42, 3)
+    return B.partners(pool, pool.where("id % 20 = 0"), 0.2, 0.42, 3)
+
+
+@add("J9", NARROW)
+def narrow_partners(spark, folder):
+    """A band so narrow that anchors have to look beyond it."""
+    pool = idea_pool(spark, folder)
+    return B.partners(pool, pool.where("id % 20 = 0"), 0.36, 0.42, 3)
+
+
+@add("T10", f"{NEAREST} 90")
+def seed_order(spark, folder):
+    """Seeds for six ideas: 90 of them."""
+    return B.seed_front(read(spark, folder, "embeddings"), one_vector(spark, folder), 6)
 
 
 @add("V21")
 def collisions(spark, folder):
-    """Pairs of ideas in the band, scored as bridges and ranked."""
-    pairs = partners(spark, folder).select(F.least("anchor", "partner").alias("a"), F.greatest("anchor", "partner").alias("b"), "sim").distinct()
-    rows = pairs.select("a", "b", F.col("sim").alias("cos_a"), F.col("sim").alias("cos_b"), F.lit(0.0).alias("nearest"))
+    """Pairs of ideas in the band; their sum is compared with both and with the ledger (vectors whose id ends the other half of a twenty)."""
+    vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    pairs = partners(spark, folder).select(F.least("anchor", "partner").alias("a"), F.greatest("anchor", "partner").alias("b")).distinct()
+    both = pairs.join(vectors.withColumnsRenamed({"v": "a", "vector": "va"}), "a").join(vectors.withColumnsRenamed({"v": "b", "vector": "vb"}), "b")
+    both = both.withColumn("id", F.xxhash64("a", "b")).withColumn("idea", F.zip_with("va", "vb", lambda x, y: x + y))
+    known = nearest_row(both.select("id", F.col("idea").alias("vector")), vectors.where("v % 20 = 10").select(F.col("v").alias("id"), "vector")).select(F.col("query").alias("id"), F.col("sim").alias("nearest"))
+    rows = both.join(known, "id", "left").select("a", "b", S.cosine(F.col("idea"), F.col("va")).alias("cos_a"), S.cosine(F.col("idea"), F.col("vb")).alias("cos_b"), "nearest")
     return B.bridge_scores(rows).orderBy(F.desc("score"), "a", "b").limit(20).select("a", "b", "score")
 
 
-@add("V22", """SELECT id, round(1 - abs(drift - coalesce(nullif(realized_sim, 'nan'), 0)), 3) AS balance, round(1 - greatest(0.0, 0.0), 3) AS novelty, greatest(drift, coalesce(nullif(realized_sim, 'nan'), 0)) >= 0.92 AS paraphrase,
- round((1 - abs(drift - coalesce(nullif(realized_sim, 'nan'), 0)) + 1) / 2, 5) AS score FROM hypotheses WHERE drift IS NOT NULL""")
+@add("V22", f"""WITH h AS (SELECT * FROM {HYPOTHESES} QUALIFY row_number() OVER (PARTITION BY id) = 1), n AS (SELECT b.id, greatest(0.0, max(round({COSINE.format(a='a.embedding_blob', b='b.embedding_blob')}, 6))) AS near FROM h b, h a WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY 1),
+ s AS (SELECT d.id, d.drift AS x, coalesce(nullif(d.realized_sim, 'nan'), 0) AS y, coalesce(n.near, 0.0) AS near FROM hypotheses d LEFT JOIN n ON n.id = d.id WHERE d.drift IS NOT NULL)
+ SELECT id, round(1 - abs(x - y), 3) AS balance, round(1 - near, 3) AS novelty, greatest(x, y) >= 0.92 AS paraphrase, round((1 - abs(x - y) + 1 - near) / 2 + 1e-9, 5) AS score FROM s""")
 def bridge_scores(spark, folder):
-    h = read(spark, folder, "hypotheses").where("drift is not null")
-    b = F.coalesce(F.nanvl("realized_sim", F.lit(0.0)), F.lit(0.0))
-    scored = B.bridge_scores(h.select("id", F.col("drift").alias("cos_a"), b.alias("cos_b"), F.lit(0.0).alias("nearest")))
-    return scored.select("id", "balance", "novelty", "paraphrase", F.round((1 - F.abs(F.col("cos_a") - F.col("cos_b")) + 1) / 2, 5).alias("score"))
+    """Novelty is what is left of the greatest similarity to the ledger, every twentieth hypothesis."""
+    h = usable_hypotheses(spark, folder)
+    known = nearest_row(h, h.where("id % 20 = 0")).select(F.col("query").alias("id"), F.col("sim").alias("nearest"))
+    rows = read(spark, folder, "hypotheses").where("drift is not null").join(known, "id", "left")
+    scored = B.bridge_scores(rows.select("id", F.col("drift").alias("cos_a"), F.coalesce(F.nanvl("realized_sim", F.lit(0.0)), F.lit(0.0)).alias("cos_b"), "nearest"))
+    exact = (1 - F.abs(F.col("cos_a") - F.col("cos_b")) + 1 - F.greatest(F.coalesce("nearest", F.lit(0.0)), F.lit(0.0))) / 2 + 1e-9
+    return scored.select("id", "balance", "novelty", "paraphrase", F.round(exact, 5).alias("score"))
 
 
 @add("V23", f"""WITH a AS (SELECT least(topic_a, topic_b) AS topic_a, greatest(topic_a, topic_b) AS topic_b, count(*) FILTER (WHERE lower(status) <> 'new') AS wins,
@@ -251,13 +290,31 @@ def communities(spark, folder):
     return G.communities(entity_graph(spark, folder), "entity_a", "entity_b")
 
 
-@add("M14", """SELECT id, 0 AS n, lower(status) AS horizon, CAST(DATE '2026-03-01' + coalesce(CASE WHEN drift > 0.2 THEN 3 END, 7) AS VARCHAR) AS review FROM hypotheses WHERE trim(coalesce(kill_test, '')) <> ''""")
-@add("C24", """SELECT id, 0 AS n, lower(status) AS horizon, CAST(DATE '2026-03-01' + coalesce(CASE WHEN drift > 0.2 THEN 3 END, 7) AS VARCHAR) AS review FROM hypotheses WHERE trim(coalesce(kill_test, '')) <> ''""")
+ACTIONS = """WITH a AS (SELECT id, 1 AS pos, trim(kill_test) AS action, 'today' AS horizon, CASE WHEN drift > 0.2 THEN 3 END AS days FROM hypotheses UNION ALL SELECT id, 2, trim(snippet_a), lower(status), 400 FROM hypotheses
+ UNION ALL SELECT id, 3, trim(notes), NULL, NULL FROM hypotheses UNION ALL SELECT id, 4, trim(snippet_b), 'this_month', 0 FROM hypotheses),
+ g AS (SELECT id, pos, action, coalesce(horizon, 'this_week') AS horizon, greatest(1, least(90, coalesce(days, 7))) AS days FROM a WHERE action <> '' AND coalesce(horizon, 'this_week') IN ('today', 'this_week', 'this_month', 'this_quarter'))"""
+
+
+def plans(spark, folder):
+    """Hypotheses as plans of four actions, some without a text, with no or an unknown horizon, and with days out of range."""
+    act = lambda action, horizon, days: F.struct(F.col(action).alias("action"), horizon.cast("string").alias("horizon"), days.cast("int").alias("due_offset_days"))
+    none = F.lit(None)
+    actions = F.array(act("kill_test", F.lit("today"), F.when(F.col("drift") > 0.2, 3)), act("snippet_a", F.lower("status"), F.lit(400)), act("notes", none, none), act("snippet_b", F.lit("this_month"), F.lit(0)))
+    return read(spark, folder, "hypotheses").select(F.col("id").alias("plan_id"), F.col("topic_a").alias("domain"), actions.alias("actions"))
+
+
+@add("M14", f"{ACTIONS} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INTEGER) AS n, action AS title, horizon, CAST(DATE '2026-03-01' + CAST(days AS INTEGER) AS VARCHAR) AS review FROM g")
 def plan_rows(spark, folder):
-    """Actions of a plan as experiments; each hypothesis stands for a plan with its test as only action."""
-    h = read(spark, folder, "hypotheses").select("id", F.col("id").alias("plan_id"), F.col("topic_a").alias("domain"), F.lower("status").alias("status"), F.array(F.struct(F.col("kill_test").alias("action"), F.lit(None).cast("string").alias("horizon"), F.when(F.col("drift") > 0.2, 3).alias("due_offset_days"))).alias("actions"))
-    rows = L.plan_rows(h, F.lit("2026-03-01").cast("date"))
-    return rows.join(h.select("plan_id", "status"), "plan_id").select(F.col("plan_id").alias("id"), "n", F.col("status").alias("horizon"), F.col("review_date").cast("string").alias("review"))
+    """The valid actions of each plan as experiments."""
+    rows = L.plan_rows(plans(spark, folder), F.lit("2026-03-01").cast("date"))
+    return rows.select(F.col("plan_id").alias("id"), "n", "title", "horizon", F.col("review_date").cast("string").alias("review"))
+
+
+@add("C24", f"{ACTIONS} SELECT h.id, count(g.pos) AS kept, coalesce(max(days), 0) AS latest, coalesce(string_agg(horizon, ',' ORDER BY pos), '') AS horizons FROM hypotheses h LEFT JOIN g ON g.id = h.id GROUP BY h.id")
+def checked_plans(spark, folder):
+    """What is left of each plan after validation; a plan without a valid action stays, and is empty."""
+    rows = plans(spark, folder).select(F.col("plan_id").alias("id"), L.checked_actions("actions").alias("a"))
+    return rows.select("id", F.size("a").cast("long").alias("kept"), F.coalesce(F.array_max(F.transform("a", lambda a: a["days"])), F.lit(0)).alias("latest"), F.array_join(F.transform("a", lambda a: a["horizon"]), ",").alias("horizons"))
 
 
 @add("C1")
