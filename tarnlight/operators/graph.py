@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions import text as T
+from tarnlight.operators.retrieval import cosine
 from tarnlight.session import cut
 
 
@@ -25,6 +26,74 @@ def class_tfidf(counts: DataFrame, cluster: str, least: int = 3) -> DataFrame:
     return scored.select(cluster, "phrase", F.round(F.col("tf") / F.col("size") * F.log(1 + F.col("clusters") / F.greatest("f", F.lit(1))), 9).alias("score"))
 
 
+# Weights of phrases of one, two and three words, the ceiling of their share of rows, and the share of capitals of a proper noun.
+LENGTH_WEIGHTS, MOST_COMMON, CAPITALS = (1.0, 2.4, 1.8), 0.6, 0.6
+
+
+def proper_words(df: DataFrame, text: str, share: float = CAPITALS) -> DataFrame:
+    """``(word)`` in lower case, of those that mostly begin with a capital where they do not open a sentence."""
+    sentences = df.where(F.col(text).isNotNull()).select(F.explode(F.split(text, r"(?<=[.!?])\s+|\n+")).alias("s"))
+    inner = sentences.select(T.words(T.plain_quotes(F.col("s"))).alias("w")).where(F.size("w") > 1).select(F.explode(F.slice("w", 2, F.size("w"))).alias("w"))
+    counted = inner.groupBy(F.lower("w").alias("word")).agg(F.avg(F.col("w").rlike(r"^\p{Lu}").cast("int")).alias("share"))
+    return counted.where(F.col("share") >= share).select("word")
+
+
+def concepts(df: DataFrame, cluster: str, key: str, text: str, each: int = 5, most: int = 36, front: int = 200) -> DataFrame:
+    """``(cluster, phrase, score, place)``: the phrases that tell each cluster from the others, the best first.
+
+    Phrases of one to three words, in as many rows as the floor (3, or one row in 2000) and in no more than ``MOST_COMMON`` of all rows if
+    there are several clusters, that do not begin with a proper noun. Of phrases within one another a cluster keeps the better
+    one (looked for among its ``front`` best); a phrase that several clusters have stays where it scores best; at most ``most``
+    in all and ``each`` a cluster remain. Null texts and clusters are ignored; no rows give none.
+    """
+    rows = df.where(F.col(text).isNotNull() & F.col(cluster).isNotNull())
+    n = rows.count()
+    counts = cut(phrase_counts(rows, cluster, key, text, 3))
+    size = counts.groupBy(cluster).agg(F.sum("tf").alias("size"))
+    clusters = size.count()
+    total = counts.groupBy("phrase").agg(F.sum("tf").alias("df"), F.count("*").alias("held"))
+    total = total.where(F.col("df") >= max(3, n // 2000))
+    if clusters > 1:
+        total = total.where(F.col("df") <= max(3, MOST_COMMON * n))
+    total = total.withColumn("word", F.split_part("phrase", F.lit(" "), F.lit(1))).join(proper_words(rows, text), "word", "left_anti").drop("word")
+    kept = counts.join(total, "phrase")
+    size = kept.groupBy(cluster).agg(F.sum("tf").alias("size"))
+    words = F.size(F.split("phrase", " "))
+    weight = F.element_at(F.array(*[F.lit(w) for w in LENGTH_WEIGHTS]), words)
+    scored = kept.join(size, cluster).select(cluster, "phrase", F.round(F.col("tf") / F.col("size") * F.log(1 + F.lit(clusters) / F.col("held")) * weight, 9).alias("score"))
+    by = Window.partitionBy(cluster).orderBy(F.desc("score"), "phrase")
+    best = scored.withColumn("r", F.row_number().over(by)).where(F.col("r") <= front)
+    ordered = F.array_sort(F.collect_list(F.struct("r", "phrase", "score")))
+    alone = lambda acc, x: ~F.exists(acc, lambda y: F.contains(y["phrase"], x["phrase"]) | F.contains(x["phrase"], y["phrase"]))
+    start = F.array().cast("array<struct<r:int,phrase:string,score:double>>")
+    picked = best.groupBy(cluster).agg(ordered.alias("o")).select(cluster, F.explode(F.aggregate("o", start, lambda acc, x: F.when((F.size(acc) < 2 * each) & alone(acc, x), F.array_append(acc, x)).otherwise(acc))).alias("x"))
+    once = best_cluster(picked.select(cluster, "x.phrase", "x.score"), cluster)
+    top = once.orderBy(F.desc("score"), "phrase").limit(most)
+    return top.withColumn("place", F.row_number().over(by)).where(F.col("place") <= each)
+
+
+def concept_links(found: DataFrame, df: DataFrame, themes: DataFrame, cluster: str, key: str, text: str, near: float = 0.64) -> DataFrame:
+    """``(source, target, relationship, strength)`` between the concepts of ``concepts``; ``themes`` has a row ``(cluster, centroid)`` per cluster.
+
+    Each concept belongs to its cluster's first one (strength: share of its score); concepts of the same rows co-occur (their
+    number, from three on, the 1.5 strongest per concept and 40 at most); first concepts of clusters with a cosine of ``near`` are related. There are at most three
+    links per concept, the weakest co-occurrences being dropped.
+    """
+    found = cut(found)
+    n = found.count()
+    anchor = found.where("place = 1").select(cluster, F.col("phrase").alias("anchor"), F.col("score").alias("top"))
+    part = found.where("place > 1").join(anchor, cluster).select(F.col("phrase").alias("source"), F.col("anchor").alias("target"), F.lit("part of theme").alias("relationship"), F.round(F.least(F.lit(1.0), F.col("score") / F.col("top")), 2).alias("strength"))
+    own = df.where(F.col(text).isNotNull()).select(key, T.phrase_words(F.col(text)).alias("own"))
+    seen = own.select(key, F.explode(T.phrases(F.col("own"), 3)).alias("source")).join(F.broadcast(found.select(F.col("phrase").alias("source"))), "source", "left_semi")
+    pairs = seen.join(seen.withColumnRenamed("source", "target"), key).where("source < target").groupBy("source", "target").agg(F.count("*").cast("double").alias("strength")).where("strength >= 3")
+    pairs = pairs.orderBy(F.desc("strength"), "source", "target").limit(int(min(1.5 * max(1, n), 40)))
+    sides = [anchor.join(themes, cluster).select(F.col("anchor").alias(name), F.col("centroid").alias(f"v_{name}")) for name in ("source", "target")]
+    related = sides[0].join(sides[1], F.col("source") < F.col("target")).withColumn("strength", F.round(cosine(F.col("v_source"), F.col("v_target")), 2)).where(F.col("strength") >= near)
+    firm = cut(part.union(related.select("source", "target", F.lit("related theme"), "strength")))
+    room = max(0, 3 * max(1, n) - firm.count())
+    return firm.union(pairs.orderBy(F.desc("strength"), "source", "target").limit(room).select("source", "target", F.lit("co-occurs with"), "strength"))
+
+
 def best_cluster(scores: DataFrame, cluster: str) -> DataFrame:
     """Each phrase in the cluster where it scores best."""
     by = Window.partitionBy("phrase").orderBy(F.desc("score"), cluster)

@@ -411,7 +411,7 @@ def word_totals(spark, folder):
 
 @add("C10")
 def phrase_totals(spark, folder):
-    return G.phrase_counts(read(spark, folder, "documents"), "topic", "doc_id", "text")
+    return G.phrase_counts(read(spark, folder, "documents"), "topic", "doc_id", "text", 3)
 
 
 @add("C11", f"SELECT id, regexp_matches(fact, '^[A-Z]') AS capital FROM {MEMORIES} WHERE fact IS NOT NULL")

@@ -157,10 +157,8 @@ def clusters(spark, folder):
 
 @add("V14")
 def concepts(spark, folder):
-    """The best phrases of each topic, at most five a topic."""
-    d = read(spark, folder, "documents").where("topic is not null")
-    scores = G.best_cluster(G.class_tfidf(G.phrase_counts(d, "topic", "doc_id", "text"), "topic", 5), "topic")
-    return R.first_per_group(scores, ["topic"], [F.desc("score"), F.col("phrase")], 5)
+    """The phrases that tell each topic from the others."""
+    return G.concepts(read(spark, folder, "documents"), "topic", "doc_id", "text")
 
 
 @add("V15")
@@ -184,12 +182,10 @@ def definitions(spark, folder):
 
 @add("V17")
 def concept_edges(spark, folder):
-    """Concepts that occur in the same documents: the weakest are dropped beyond three edges a concept."""
-    top = concepts(spark, folder).select("phrase").distinct()
-    own = read(spark, folder, "documents").where("text is not null").select("doc_id", T.phrase_words(F.col("text")).alias("own"))
-    seen = own.select("doc_id", F.explode(T.phrases(F.col("own"), 2)).alias("phrase")).join(top, "phrase", "left_semi")
-    pairs = seen.join(seen.withColumnRenamed("phrase", "other"), "doc_id").where("phrase < other").groupBy("phrase", "other").agg(F.count("*").alias("n")).where("n >= 3")
-    return R.first_per_group(pairs, ["phrase"], [F.desc("n"), F.col("other")], 3)
+    """Links of the concepts: within a theme, by common documents, and between themes whose vectors are near."""
+    d = read(spark, folder, "documents").dropDuplicates(["doc_id"])
+    vectors = read(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id").join(d.where("topic is not null").select("doc_id", "topic"), "doc_id")
+    return G.concept_links(concepts(spark, folder), d, B.centroids(vectors, "topic", "embedding"), "topic", "doc_id", "text")
 
 
 BAND = "SELECT id, drift, round(round(0.72 - 0.30 * drift, 6) - 0.10, 6) AS low, round(0.72 - 0.30 * drift, 6) AS high FROM hypotheses WHERE drift IS NOT NULL"

@@ -106,3 +106,58 @@ def test_load_checked_writes_all_or_nothing(spark, tmp_path):
     assert not (tmp_path / "t").exists()
     load_checked(df.where("id is not null"), F.col("id").isNull(), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_concepts_and_links(spark):
+    from tarnlight.operators import graph
+
+    cards = ["Index cards help a reader of Velmorberg remember chapters.", "Good index cards hold one claim.", "We sort index cards by claim.", "Sorted index cards show a gap."]
+    bread = ["Sour dough needs warm water.", "Feed sour dough each evening.", "Cold sour dough rises slowly in Velmorberg.", "Old sour dough tastes of Velmorberg."]
+    rows = [(i, "cards", t) for i, t in enumerate(cards)] + [(10 + i, "bread", t) for i, t in enumerate(bread)] + [(20, "cards", None), (21, None, "index cards")]
+    df = spark.createDataFrame(rows, "id long, topic string, body string")
+    found = graph.concepts(df, "topic", "id", "body")
+    got = {(r.topic, r.phrase): r.place for r in found.collect()}
+    assert got == {("cards", "index cards"): 1, ("bread", "sour dough"): 1}
+    themes = spark.createDataFrame([("cards", [1.0, 0.0]), ("bread", [0.8, 0.6])], "topic string, centroid array<double>")
+    links = [tuple(r) for r in graph.concept_links(found, df, themes, "topic", "id", "body").collect()]
+    assert links == [("index cards", "sour dough", "related theme", 0.8)]
+    assert graph.concepts(df.limit(0), "topic", "id", "body").count() == 0
+
+
+def test_partners_widen_and_prefer_other_topics(spark):
+    rows = [(1, [1.0, 0.0], "a", "s"), (2, [0.3, 0.954], "a", "s"), (3, [0.31, 0.951], "b", "s"), (4, [0.0, 1.0], "b", "t"), (5, None, "b", "t")]
+    pool = spark.createDataFrame(rows, "id long, vector array<double>, topic string, source string")
+    one = brainstorm.partners(pool, pool.where("id = 1"), 0.2, 0.42, 1).collect()
+    assert [(r.anchor, r.partner, r.level, r.tier) for r in one] == [(1, 3, 0, 1)]
+    wide = brainstorm.partners(pool, pool.where("id = 1"), 0.32, 0.42, 2).collect()
+    assert [(r.partner, r.level) for r in wide] == [(3, 1), (2, 1)]
+    assert brainstorm.partners(pool, pool.where("id = 1"), 0.6, 0.7).count() == 0
+
+
+def test_blocks_change_nothing(spark):
+    from tarnlight.operators import pairwise
+
+    rows = [(i, [float((i * 7) % 11) - 5, float((i * 5) % 13) - 6, 1.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    whole = {tuple(r) for r in pairwise.nearest(df, df).collect()}
+    first = lambda a, b, s: ([], [], [])
+    assert pairwise.matched_in_blocks(df, df, first, block=16).count() == 0
+    old, pairwise.BLOCK = pairwise.BLOCK, 16
+    pairwise.matched_in_blocks.__defaults__ = ((), 16)
+    try:
+        assert {tuple(r) for r in pairwise.nearest(df, df).collect()} == whole and len(whole) == 60
+    finally:
+        pairwise.BLOCK, pairwise.matched_in_blocks.__defaults__ = old, ((), old)
+
+
+def test_plans_scores_and_atoms(spark):
+    acts = "array<struct<action:string,horizon:string,due_offset_days:int>>"
+    df = spark.createDataFrame([(1, [("a", None, None), (" ", "today", 1), ("b", "someday", 1), ("c", "today", 400)]), (2, [])], f"id int, actions {acts}")
+    got = {r.id: [tuple(x) for x in r.a] for r in df.select("id", ledger.checked_actions("actions").alias("a")).collect()}
+    assert got == {1: [("a", "this_week", 7), ("c", "today", 90)], 2: []}
+    decisions = spark.createDataFrame([(1, None), (2, "right"), (3, None)], "id int, outcome string")
+    scores = spark.createDataFrame([(1, 2, "wrong"), (1, 1, "right"), (2, 1, "wrong"), (9, 1, "x")], "id int, at int, outcome string")
+    assert {tuple(r) for r in ledger.score_once(decisions, scores).collect()} == {(1, "right", 1), (2, "right", 1), (3, None, 0)}
+    rules = spark.createDataFrame([(1, "s", "d", "k", "m"), (2, " ", None, "x", None)], "id int, statement string, decision_rule string, kind string, map string")
+    maps = spark.createDataFrame([("m",), (None,)], "map string")
+    assert {r.id: r.errors for r in ledger.atom_errors(rules, ["k"], maps).collect()} == {1: [], 2: ["statement", "decision_rule", "kind", "map"]}
