@@ -33,6 +33,8 @@ SINGLE = str.maketrans({
 MARKS = "-‐‑‒–¬­"
 #: Words that every task knows; rarer ones are looked up in a distributed table.
 KNOWN = 50_000
+#: Words with rivals up to which their list is broadcast.
+CONTESTED = 500_000
 RATIO, SUPPORT, EDGE = 5, 3, 3
 PAGE = r"^\s*(page|p\.?|pg\.?|seite|s\.|pagina|página|pág\.?)\s*\d+"
 
@@ -320,7 +322,11 @@ def context_choice(chunks: DataFrame, words: DataFrame, odd: DataFrame) -> DataF
     rivals = plain.join(most.where("forms > 1"), "skeleton").where("n * 20 >= most").select("skeleton", F.col("word").alias("form"))
     open_words = odd.join(words.select("word", "skeleton"), "word").join(rivals.select("skeleton").distinct(), "skeleton", "left_semi")
     tokens = chunks.where(F.col("text").isNotNull()).select("id", F.split(F.lower("text"), r"[^\p{L}\p{N}!(|'’-]+").alias("t"))
-    pairs = tokens.select("id", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, 1_000_000).alias("b"))).alias("p")).select("id", F.col("p.a").alias("before"), F.col("p.b").alias("word"))
+    pairs = tokens.select("id", F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("p")).select("id", F.col("p.a").alias("before"), F.col("p.b").alias("word"))
+    # only pairs whose second word is in such a group are of use; the list is broadcast up to a checked size
+    contested = cut(rivals.select(F.col("form").alias("word")).union(open_words.select("word")).distinct())
+    small = contested.limit(CONTESTED + 1).count() <= CONTESTED
+    pairs = pairs.join(F.broadcast(contested) if small else contested, "word", "left_semi")
     before = pairs.join(open_words.select("id", "word", "skeleton", "right"), ["id", "word"])
     support = pairs.join(rivals.withColumnRenamed("form", "word"), "word").groupBy("before", "word").agg(F.count("*").alias("k")).withColumnRenamed("word", "form")
     scored = before.join(rivals, "skeleton").join(support, ["before", "form"]).groupBy("id", "word").agg(F.max_by("form", F.struct("k", "form")).alias("chosen"))
