@@ -76,15 +76,22 @@ def unordered(a: Column, b: Column, low: str = "first", high: str = "second") ->
     return [F.least(a, b).alias(low), F.greatest(a, b).alias(high)]
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str = "n") -> DataFrame:
-    """Rows numbered from 1 within their group, however many rows one group holds.
+def running(df: DataFrame, group: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Rows with running totals within their group, however many rows one group holds; ``sums`` names them.
 
-    Rows are sorted by range over group and order, numbered within each part, and moved on by the sizes of the group's
+    Rows are sorted by range over group and order, summed within each part, and moved on by the sums of the group's
     earlier parts; what meets in one task per group is one row per part.
     """
-    spread = cut(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = spread.groupBy(group, "_part").agg(F.count("*").alias("_size"))
+    spread = cut(df.withColumns({f"_of_{name}": value for name, value in sums.items()}).repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    parts = spread.groupBy(group, "_part").agg(*[F.sum(f"_of_{name}").alias(f"_sum_{name}") for name in sums])
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(group, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order))
-    return spread.join(offsets, [group, "_part"]).withColumn(name, local + F.col("_offset")).drop("_part", "_offset")
+    offsets = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_own"), *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums])
+    upto = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = spread.join(offsets, F.col("_part").eqNullSafe(F.col("_own")) & F.col(group).eqNullSafe(F.col("_group")))
+    totals = {name: F.sum(f"_of_{name}").over(upto) + F.col(f"_before_{name}") for name in sums}
+    return joined.withColumns(totals).select(*df.columns, *sums)
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "n") -> DataFrame:
+    """Rows numbered from 1 within their group, however many rows one group holds."""
+    return running(df, group, order, {name: F.lit(1)})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions import text as T
+from tarnlight.session import cut
 
 K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
 
@@ -39,11 +40,11 @@ def _times(tokens: str, term: str) -> Column:
 def bm25(df: DataFrame, terms: list[str], key: str, text: str, every: bool = True) -> DataFrame:
     """``(key, score)`` of the rows with all (or any) of the terms.
 
-    One pass builds per row its length and the counts of the few asked terms; only these narrow rows are kept. The
-    corpus statistics are one aggregate row.
+    One pass builds per row its length and the counts of the few asked terms; only these narrow rows are kept, and both the
+    corpus statistics, which are one aggregate row, and the scores are taken from them.
     """
     counted = df.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    counted = counted.select(key, F.size("_t").alias("dl"), *[_times("_t", t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = cut(counted.select(key, F.size("_t").alias("dl"), *[_times("_t", t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     parts = []
     for i in range(len(terms)):

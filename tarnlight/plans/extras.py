@@ -16,7 +16,6 @@ from tarnlight.plans.catalog import clean_authors, memories, recall
 from tarnlight.plans.search import DOCS, NEAREST, TERMS, one_vector
 from tarnlight.plans.streams import _place
 from tarnlight.session import read
-from tarnlight.streaming import capture
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -157,28 +156,6 @@ def loaded_or_nothing(spark, folder):
     return rows.groupBy("status").agg(F.count("*").alias("n")).where("status is not null")
 
 
-def _timed(spark, folder, seconds):
-    place = _place(spark)
-    r = recall(spark, folder).where("created_at is not null")
-    us = F.unix_micros(F.col("created_at").cast("timestamp")).cast("double")
-    session = F.concat_ws("/", F.lower(F.trim("session_id")), F.to_date("created_at").cast("string"))
-    r.select(session.alias("session"), (us / 1e6).alias("ts")).write.parquet(f"{place}/in")
-    stream = capture.time_gate(capture.read_messages(spark, f"{place}/in", "session string, ts double", 1000), seconds)
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/mark").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("session string, ts double, opened boolean").parquet(f"{place}/out").groupBy("session").agg(F.count_if("opened").alias("opened"), F.count("*").alias("events"))
-
-
-@add("R2")
-def locks(spark, folder):
-    """A lock of 300 seconds per session."""
-    return _timed(spark, folder, 300)
-
-
-@add("R5")
-def thread_gates(spark, folder):
-    return _timed(spark, folder, 600)
-
-
 @add("R11", f"""WITH o AS (SELECT id, project FROM {MEMORIES} WHERE superseded_by IS NULL AND (project = 'fern' OR project IS NULL)), p AS (SELECT id FROM o ORDER BY project IS NULL, id LIMIT 8)
  SELECT id, 'prefix' AS part FROM p UNION ALL SELECT id, 'tail' FROM (SELECT id FROM o WHERE id NOT IN (SELECT id FROM p) ORDER BY id DESC LIMIT 4)
  UNION ALL SELECT id, 'open' FROM (SELECT id FROM hypotheses WHERE lower(status) = 'testing' AND CAST(updated_at AS DATE) <= DATE '2026-03-01' ORDER BY id LIMIT 5)""")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnlight.operators.relational import running
 from tarnlight.plans.base import RECALL, Catalogue
 from tarnlight.plans.catalog import recall
 from tarnlight.session import checkpoint_folder, read
@@ -30,20 +30,49 @@ def _input(spark, folder: str, table: str):
     return stream.parquet(path) if os.path.isdir(path) else stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-@add("R1")
+EVENTS = f"""SELECT lower(trim(session_id)) AS session, epoch_us(created_at)::DOUBLE / 1e6 AS ts, row_number() OVER w AS n, sum(length(coalesce(content, ''))) OVER w AS chars FROM {RECALL}
+ WHERE session_id IS NOT NULL AND created_at IS NOT NULL WINDOW w AS (PARTITION BY lower(trim(session_id)) ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)"""
+
+
+def gate_sql(first: str, later: str) -> str:
+    """A gate per session, event by event: ``first`` and ``later`` tell when it opens, of an event ``e`` and the state ``g``."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({EVENTS}), g AS (
+ SELECT session, 0::BIGINT AS n, NULL::DOUBLE AS last_ts, 0::BIGINT AS last_turns, 0::HUGEINT AS last_chars, 0 AS opened FROM e WHERE n = 1
+ UNION ALL SELECT session, n, CASE WHEN o THEN ts ELSE last_ts END, CASE WHEN o THEN n ELSE last_turns END, CASE WHEN o THEN chars ELSE last_chars END, opened + o::INT
+ FROM (SELECT g.session, e.n, e.ts, e.chars, g.last_ts, g.last_turns, g.last_chars, g.opened, CASE WHEN g.last_ts IS NULL THEN {first} ELSE {later} END AS o FROM g JOIN e ON e.session = g.session AND e.n = g.n + 1))
+ SELECT session, max(opened)::BIGINT AS opened, max(n) AS events FROM g GROUP BY 1"""
+
+
+def messages_in_time(spark, folder):
+    """``(session, ts, id, length)`` of every message with a session and a time, ids being written alike."""
+    r = recall(spark, folder).where("created_at is not null and session_id is not null")
+    ts = F.unix_micros(F.col("created_at").cast("timestamp")).cast("double") / 1e6
+    return r.select(F.lower(F.trim("session_id")).alias("session"), ts.alias("ts"), "id", F.length(F.coalesce("content", F.lit(""))).cast("long").alias("length"))
+
+
+@add("R1", gate_sql("e.n >= 4 AND e.chars >= 800", "e.ts - g.last_ts >= 600 OR (e.n - g.last_turns >= 4 AND e.chars - g.last_chars >= 800)"))
 def session_gates(spark, folder):
-    """The gate of every session, event by event, as a stateful stream."""
-    r = recall(spark, folder).where("created_at is not null")
-    by = Window.partitionBy("session", "day").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = r.select(F.lower(F.trim("session_id")).alias("session"), F.to_date("created_at").alias("day"), "created_at", "id", F.length(F.coalesce("content", F.lit(""))).alias("n"))
-    events = rows.withColumn("session", F.concat_ws("/", "session", F.col("day").cast("string"))).select(
-        "session", F.unix_micros(F.col("created_at").cast("timestamp")).cast("double").alias("us"), F.row_number().over(by).cast("long").alias("turns"), F.sum("n").over(by).cast("long").alias("chars")
-    )
-    place = _place(spark)
-    events.select("session", (F.col("us") / 1e6).alias("ts"), "turns", "chars").write.parquet(f"{place}/in")
-    stream = capture.session_gate(capture.read_messages(spark, f"{place}/in", "session string, ts double, turns long, chars long", 1000))
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/mark").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(capture.GATE_OUT).parquet(f"{place}/out").groupBy("session").agg(F.count_if("opened").alias("opened"), F.count("*").alias("events"))
+    """The gate of every session, event by event, as a stateful stream; turns and characters are counted from the session's start."""
+    events = running(messages_in_time(spark, folder), "session", ["ts", "id"], {"turns": F.lit(1).cast("long"), "chars": F.col("length")}).select("session", "ts", "turns", "chars")
+    gates = capture.run_in_order(events, capture.session_gate, _place(spark))
+    return gates.groupBy("session").agg(F.count_if("opened").alias("opened"), F.count("*").alias("events"))
+
+
+def timed(spark, folder, seconds):
+    events = messages_in_time(spark, folder).select("session", "ts")
+    gates = capture.run_in_order(events, lambda stream: capture.time_gate(stream, seconds), _place(spark))
+    return gates.groupBy("session").agg(F.count_if("opened").alias("opened"), F.count("*").alias("events"))
+
+
+@add("R2", gate_sql("true", "e.ts - g.last_ts >= 300"))
+def locks(spark, folder):
+    """A lock per session that is taken by a message if it is free, and falls free 300 seconds after it was taken."""
+    return timed(spark, folder, 300)
+
+
+@add("R5", gate_sql("true", "e.ts - g.last_ts >= 600"))
+def thread_gates(spark, folder):
+    return timed(spark, folder, 600)
 
 
 @add("R3", "SELECT DISTINCT id, role FROM memory_recall")

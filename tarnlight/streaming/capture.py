@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from tarnlight.session import cut
 
 GATE_STATE = "last_ts double, last_turns long, last_chars long"
 GATE_OUT = "session string, ts double, turns long, chars long, opened boolean"
 TURNS, CHARS, SECONDS = 4, 800, 600
+#: Events of a slice of time that is worked off at once.
+SLICE = 2_000_000
 
 
 def gate_opens(first: bool, elapsed: float, new_turns: int, growth: int, turns: int = TURNS, chars: int = CHARS, seconds: float = SECONDS) -> bool:
@@ -60,6 +65,31 @@ def time_gate(events: DataFrame, seconds: float) -> DataFrame:
     return events.groupBy("session").applyInPandasWithState(gate, "session string, ts double, opened boolean", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def slices(events: DataFrame, column: str, most: int) -> list[tuple]:
+    """``(from, to)`` of stretches of a column, in order, with about ``most`` rows each; None where a stretch is open."""
+    n = events.count()
+    count = max(1, -(-n // most))
+    marks = events.agg(F.percentile_approx(column, [i / count for i in range(1, count)], 10_000)).first()[0] if count > 1 else []
+    marks = sorted(set(marks))
+    return list(zip([None, *marks], [*marks, None]))
+
+
+def run_in_order(events: DataFrame, gate: Callable[[DataFrame], DataFrame], place: str, most: int = SLICE) -> DataFrame:
+    """The output of a gate over ``events``, which arrive by slices of time and are worked off one after the other.
+
+    The state of a session lives on from slice to slice, so a session may be of any length: what one task holds of it
+    is its share of a slice. A run that is broken off goes on from its checkpoint.
+    """
+    spark, events = events.sparkSession, cut(events)
+    for low, high in slices(events, "ts", most):
+        part = events if low is None else events.where(F.col("ts") >= low)
+        (part if high is None else part.where(F.col("ts") < high)).write.mode("append").parquet(f"{place}/in")
+        stream = gate(read_messages(spark, f"{place}/in", events.schema, 100_000))
+        sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/mark").option("path", f"{place}/out")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
 def watch_files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the files that appear below a folder, ready to be ingested batch by batch."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
@@ -97,6 +127,6 @@ def append_once(stream: DataFrame, table: str, checkpoint: str, keys: list[str])
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_messages(spark: SparkSession, folder: str, schema: str, files_each: int = 1) -> DataFrame:
+def read_messages(spark: SparkSession, folder: str, schema: str | StructType, files_each: int = 1) -> DataFrame:
     """A stream over the Parquet files of a folder."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(folder)

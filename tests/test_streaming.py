@@ -57,3 +57,16 @@ def test_watched_folder_is_ingested(spark, tmp_path):
     stream = capture.watch_files(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, _: found.extend(ingest(b, known).collect()))
     stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [r.location for r in found] == ["Chapter 1"]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_gate_is_the_same_however_the_time_is_sliced(spark, tmp_path, most):
+    rows = [("s", float(100 * n), n + 1, 300 * (n + 1)) for n in range(9)] + [("t", 50.0, 1, 5000)]
+    events = spark.createDataFrame(rows, "session string, ts double, turns long, chars long")
+    got = capture.run_in_order(events, capture.session_gate, str(tmp_path / "p"), most)
+    assert [r.ts for r in got.where("opened").orderBy("ts").collect()] == [300.0, 700.0] and got.count() == len(rows)
+
+
+def test_gate_without_events(spark, tmp_path):
+    events = spark.createDataFrame([], "session string, ts double")
+    assert capture.run_in_order(events, lambda s: capture.time_gate(s, 60), str(tmp_path / "p")).count() == 0
