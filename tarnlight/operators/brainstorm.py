@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.operators.pairwise import matched_in_blocks
 from tarnlight.operators.retrieval import cosine, most_similar, norm
-from tarnlight.session import bounded
+from tarnlight.session import cut, small_parts, union_all
 
 
 def drift_band(drift: Column) -> tuple[Column, Column]:
@@ -82,8 +82,8 @@ def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def gaps(df: DataFrame, cluster: str, vector: str, n: int) -> DataFrame:
-    """The n least similar pairs of clusters; clusters are few (at most 1000, checked)."""
-    c = centroids(df, cluster, vector)
+    """The n least similar pairs of clusters; the centroids of one side are broadcast in parts of at most 1000."""
+    c = cut(centroids(df, cluster, vector))
     a, b = c.select(F.col(cluster).alias("a"), F.col("centroid").alias("va")), c.select(F.col(cluster).alias("b"), F.col("centroid").alias("vb"))
-    pairs = a.join(bounded(b, 1000), F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
+    pairs = union_all([a.join(part, F.col("a") < F.col("b")) for part in small_parts(b, 1000)]).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
     return pairs.orderBy("sim", "a", "b").limit(n)

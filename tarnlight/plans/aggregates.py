@@ -15,7 +15,7 @@ from tarnlight.operators.pairwise import nearest
 from tarnlight.operators.plugs import embedded as embed
 from tarnlight.plans.base import CHUNKS, MEMORIES, NOW, RECALL, Catalogue
 from tarnlight.plans.catalog import chunks, memories, now, recall
-from tarnlight.session import bounded, read
+from tarnlight.session import read, small_parts, union_all
 
 catalogue = Catalogue()
 add = catalogue.add
@@ -141,10 +141,11 @@ def rules_by_map(spark, folder):
  h AS (SELECT r.id, t.topic, count(*) AS hits FROM hypotheses r JOIN t ON contains(lower(r.text), t.term) GROUP BY 1, 2)
  SELECT r.id, coalesce(b.topic, 'general') AS domain FROM hypotheses r LEFT JOIN (SELECT id, topic FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY hits DESC, topic) = 1) b ON b.id = r.id""")
 def domains(spark, folder):
-    """The domain of which most terms occur in a text; the terms are a small list (checked) that is broadcast."""
+    """The domain of which most terms occur in a text; the terms are broadcast in parts of a checked size."""
     terms = read(spark, folder, "documents").where("topic is not null").select("topic", F.translate("topic", "_", " ").alias("term")).distinct()
     h = read(spark, folder, "hypotheses").select("id", "text")
-    hits = h.join(bounded(terms), F.lower("text").contains(F.col("term"))).groupBy("id", "topic").agg(F.count("*").alias("hits"))
+    holds = union_all([h.join(part, F.lower("text").contains(F.col("term"))) for part in small_parts(terms)])
+    hits = holds.groupBy("id", "topic").agg(F.count("*").alias("hits"))
     best = R.first_per_group(hits, ["id"], [F.desc("hits"), F.col("topic")]).select("id", "topic")
     return h.select("id").join(best, "id", "left").select("id", F.coalesce("topic", F.lit("general")).alias("domain"))
 

@@ -73,11 +73,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """The rows marked for broadcast, after a count has shown that there are no more than ``most``."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows; this side is meant to be small")
-    return F.broadcast(df)
+def small_parts(df: DataFrame, most: int = 10_000) -> list[DataFrame]:
+    """The rows in parts of at most ``most``, counted, each marked for broadcast; a side of any size is worked off part by part."""
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    parts = max(1, -(-rows.count() // most))
+    while parts > 1:
+        part = F.pmod(F.xxhash64("_row"), F.lit(parts))
+        if rows.groupBy(part).count().where(F.col("count") > most).isEmpty():
+            break
+        parts += 1 + parts // 4
+    return [F.broadcast(rows.where(F.pmod(F.xxhash64("_row"), F.lit(parts)) == n).drop("_row")) for n in range(parts)]
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -161,3 +161,23 @@ def test_plans_scores_and_atoms(spark):
     rules = spark.createDataFrame([(1, "s", "d", "k", "m"), (2, " ", None, "x", None)], "id int, statement string, decision_rule string, kind string, map string")
     maps = spark.createDataFrame([("m",), (None,)], "map string")
     assert {r.id: r.errors for r in ledger.atom_errors(rules, ["k"], maps).collect()} == {1: [], 2: ["statement", "decision_rule", "kind", "map"]}
+
+
+def test_small_parts_hold_every_row_once(spark):
+    from tarnlight.session import small_parts
+
+    df = spark.range(95).select(F.lit("same").alias("x"))
+    parts = small_parts(df, 10)
+    sizes = [p.count() for p in parts]
+    assert sum(sizes) == 95 and max(sizes) <= 10 and parts[0].columns == ["x"]
+    assert [p.count() for p in small_parts(df.limit(0), 10)] == [0]
+
+
+def test_gaps_of_many_clusters(spark, monkeypatch):
+    from tarnlight.operators import brainstorm
+
+    df = spark.range(12).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"), F.array(F.col("id").cast("double") + 1, F.lit(3.0)).alias("v"))
+    whole = brainstorm.gaps(df, "c", "v", 100).collect()
+    own = brainstorm.small_parts
+    monkeypatch.setattr(brainstorm, "small_parts", lambda d, most: own(d, 4))
+    assert brainstorm.gaps(df, "c", "v", 100).collect() == whole and len(whole) == 66
