@@ -125,7 +125,7 @@ def count_words(chunks: DataFrame) -> DataFrame:
                     if token[-1] in MARKS and len(token) > 1:
                         continue
                     word = bare(token)
-                    if word and len(word) <= 40 and _wordlike(word):
+                    if word and _wordlike(word):
                         total[word] += n
                         if not paged:
                             outside[word] += n
@@ -209,7 +209,7 @@ def page_facts(chunks: DataFrame, words: DataFrame, misread: DataFrame) -> DataF
                     word = memory.get(token)
                     if word is None:
                         word = bare(token)
-                        if word in safe or len(word) < 2 or len(word) > 40 or not _wordlike(word) or token[-1] in MARKS:
+                        if word in safe or len(word) < 2 or not _wordlike(word) or token[-1] in MARKS:
                             word = ""
                         if len(memory) > 400_000:
                             memory.clear()
@@ -243,6 +243,15 @@ def page_facts(chunks: DataFrame, words: DataFrame, misread: DataFrame) -> DataF
     return pages.select("id", "source_id", F.col("chunk_index").cast("int"), "text").mapInArrow(run, schema).dropDuplicates(["id"])
 
 
+def title_keys(batches):
+    """``(source_id, title_key)`` of batches of ids and titles."""
+    import pyarrow as pa
+
+    for batch in batches:
+        keys = [_mark(_coarse(title)) for title in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64())], names=["source_id", "title_key"])
+
+
 def edge_noise(facts: DataFrame, sources: DataFrame | None) -> DataFrame:
     """``(id, source_id, chunk_index, tag, at, running, page_number)`` of the edge lines that are no body."""
     rows = facts.select("id", "source_id", "chunk_index", F.explode("edges").alias("e")).select("id", "source_id", "chunk_index", "e.tag", "e.at", "e.key", "e.other", "e.head", "e.flags")
@@ -254,8 +263,8 @@ def edge_noise(facts: DataFrame, sources: DataFrame | None) -> DataFrame:
     rows = rows.union(rows.where("other is not null").withColumns({"key": F.col("other"), "number": F.lit(False)}))
     joined = rows.join(counts, ["source_id", "key"], "left").join(heads, ["source_id", "key"], "left")
     if sources is not None:
-        key_of = F.udf(lambda t: _mark(_coarse(t)) if t else None, "long")
-        titles = sources.where(F.col("title").isNotNull()).select(F.col("id").alias("source_id"), key_of("title").alias("title_key")).dropDuplicates(["source_id"])
+        named = sources.where(F.col("title").isNotNull()).select(F.col("id").alias("source_id"), "title")
+        titles = named.mapInArrow(title_keys, "source_id long, title_key long").dropDuplicates(["source_id"])
         joined = joined.join(titles, "source_id", "left")
     else:
         joined = joined.withColumn("title_key", F.lit(None).cast("long"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tarnlight.llm import personal, personal_table
@@ -19,6 +21,21 @@ def test_held_out_accuracy(tagger):
     assert right / (right + missed) > 0.97 and right / (right + wrong) > 0.97
 
 
+def test_given_names_outside_the_list(tagger):
+    given = "Bruno Clara Dmitri Emil Fatima Gustav Hanna Ibrahim Jana Kofi Leila Marco Nadia Oscar Pedro Stefan Tariq Vera Walter Yara Akira Chidi Esteban Freya Gita Hiroshi Jorge Lars Nikolai Olga".split()
+    assert not {g.lower() for g in given} & set(personal.SHORT_FOR)
+    r = random.Random(9)
+    lines = [x for x in personal_table.LINES.split("\n") if x.count("{name}") == 1]
+    found = 0
+    for _ in range(600):
+        first, last = r.choice(given), personal_table._surname(r)
+        name = r.choice((f"{first} {last}", f"{last}, {first}", f"{last} {first}"))
+        text = r.choice(lines).replace("{name}", name)
+        at = text.index(name)
+        found += any(k == "name" and a <= at and b >= at + len(name) for k, a, b in personal.spans([text], tagger)[0])
+    assert found / 600 > 0.97
+
+
 def test_table(spark, tagger):
     texts = {
         1: "Call (555) 555-0142 after six. Thanks, and map making?", 2: "Write to anna.berg@example.org before Friday", 3: "Home address: 12 Maple Street, Northbrook", 4: "ID number QQ123456C",
