@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from tarnlight.functions import text as T
 from tarnlight.operators import graph as G
@@ -52,16 +51,17 @@ def junk_fields(spark, folder):
     return clean_authors(spark, folder)
 
 
-@add("C8")
+@add("C8", r"SELECT doc_id, 1 + len(regexp_extract_all(text, '[.!?][\s\x0B]+[A-Z]')) AS sentences FROM documents WHERE text IS NOT NULL")
 def sentences(spark, folder):
     return read(spark, folder, "documents").where("text is not null").select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+(?=[A-Z])")).alias("sentences"))
 
 
-@add("C12")
+@add("C12", r"SELECT id, coalesce(array_to_string(list_transform(regexp_extract_all(topic_a, '\pL+|\PL+'), lambda w: upper(w[1]) || lower(w[2:])), ''), '') AS title FROM hypotheses WHERE topic_a IS NOT NULL")
 def title_case(spark, folder):
     """Capitals after every character that is no letter, which ``initcap`` does not give after hyphens."""
-    titled = F.pandas_udf(lambda s: s.str.title(), Ty.StringType())
-    return read(spark, folder, "hypotheses").where("topic_a is not null").select("id", titled("topic_a").alias("title"))
+    runs = F.regexp_extract_all("topic_a", F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    titled = F.array_join(F.transform(runs, lambda w: F.concat(F.upper(w.substr(1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), "")
+    return read(spark, folder, "hypotheses").where("topic_a is not null").select("id", titled.alias("title"))
 
 
 @add("C23", f"SELECT id, json_extract_string(content, '$.topic') AS topic FROM {RECALL} WHERE content LIKE '{{%' AND json_valid(content)")
