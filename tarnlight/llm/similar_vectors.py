@@ -1,13 +1,14 @@
-"""The most similar vectors of every vector, by counting collisions on single-projection arrays.
+"""The most similar vectors of every vector, by all cosines in overlapping cells.
 
 1. Vectors of exactly one direction are one class, so that copies cost nothing however many there are.
-2. Every class enters the cells of its nearest anchors. Anchors are a sample of the directions, one in 64, so that dense regions have
-   many; every vector is indexed. Many anchors are found through groups of anchors. A cell holds the vectors among which windows on random lines are selective at all: over a whole
-   collection a window that catches a cosine of 0.8 covers a third of any line.
-3. In a cell each vector is projected on random lines; every line is a sorted array. Around each query a window of
-   radius R is opened on all lines; R grows by a constant factor (virtual rehashing: the arrays stay as they are).
-   Vectors that fall into the windows of enough lines are verified by their cosine. A query ends as soon as it has its
-   k vectors within R, or when R has reached the distance that belongs to the least cosine asked for.
+2. Every class enters the cells of its seven nearest anchors. Anchors are a sample of the directions, so that dense regions have
+   many; every vector is indexed. Two neighbours are found if they share a cell, and the more anchors lie around them the less often
+   they do: cells therefore have some 4,096 members, and beyond 4,096 anchors their number grows only with the square root of the rows.
+3. In a cell the cosines of all pairs are computed. With ``collisions`` each vector is projected on random lines instead; every line
+   is a sorted array. Around each query a window of radius R is opened on all lines; R grows by a constant factor (virtual
+   rehashing: the arrays stay as they are). Vectors that fall into the windows of enough lines are verified by their cosine. A query
+   ends as soon as it has its k vectors within R, or when R has reached the distance that belongs to the least cosine asked for.
+   One pair in sixteen at just that distance is lost.
 4. The lists of the cells are merged and copies are put back.
 
 Cells beyond ``block`` members are cut into blocks and every pair of blocks is searched in a task of its own.
@@ -24,14 +25,17 @@ from pyspark.sql import functions as F
 from tarnlight.session import cut
 
 LINES, COLLISIONS, GROWTH, ROUNDS = 32, 18, 1.6, 3
-ANCHOR_EVERY, CELLS_EACH, BLOCK = 64, 3, 2048
-#: The anchors are broadcast: at most so many (two bytes a number, 50 MB at 96 numbers), enough for 2**24 vectors at one in 64. Beyond that
-#: cells grow in proportion, and stay within a block up to ten times as many.
+CELLS_EACH, CELL_SIZE, BLOCK = 7, 4096, 32_768
+#: Anchors up to which cells stay at CELL_SIZE members; beyond, anchors and cells both grow with the square root of the rows.
+DENSE_ANCHORS = 4_096
+#: The anchors are broadcast: at most so many (two bytes a number, 50 MB at 96 numbers).
 MOST_ANCHORS = 1 << 18
 #: Copies of one direction beyond which they are dealt out, and over how many tasks.
 HOT, HOT_PARTS = 100_000, 64
 #: Anchors up to which every vector is compared with all of them; beyond, it is compared with those of its nearest groups.
-FLAT, GROUPS_EACH = 8_192, 12
+FLAT, GROUPS_EACH = 32_768, 12
+#: Cosines held at once, so many numbers.
+AT_ONCE = 4_000_000
 
 
 def _walk(count: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
@@ -103,6 +107,42 @@ def _search(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, points: np
     return found
 
 
+def _compare(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, points: np.ndarray, k: int, least: float) -> list[tuple]:
+    """``(id, other, cosine)`` of the k nearest points of every query, of those with a cosine of at least ``least``; all pairs are looked at."""
+    step = max(16, AT_ONCE // max(1, len(points)))
+    found = []
+    for start in range(0, len(queries), step):
+        cosines = queries[start : start + step] @ points.T
+        near = cosines >= least
+        # in rows with many, what is below the k-th best goes before the sort; one place more, for a vector meets itself
+        full = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * (k + 1))
+        for some in (full[a : a + 256] for a in range(0, len(full), 256)):
+            near[some] &= cosines[some] >= np.partition(cosines[some], -k - 1, axis=1)[:, -k - 1, None]
+        q, p = np.divmod(np.flatnonzero(near), len(points))
+        cosine = cosines[q, p]
+        q += start
+        differ = ids[q] != others[p]
+        q, p, cosine = q[differ], p[differ], cosine[differ]
+        by = np.lexsort((others[p], -cosine, q))
+        q, p, cosine = q[by], p[by], cosine[by]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((ids[q[top]], others[p[top]], cosine[top]))
+    return found
+
+
+def _largest(x: np.ndarray, each: int) -> np.ndarray:
+    """``(rows, each)`` places of the largest numbers of each row, found through the largest of every 16."""
+    columns = x.shape[1] // 16
+    if columns < 2 * each:
+        return np.argpartition(-x, each - 1, axis=1)[:, :each]
+    body = x[:, : 16 * columns].reshape(len(x), 16, columns)
+    some = np.argpartition(-body.max(axis=1), each - 1, axis=1)[:, :each]
+    rest = np.broadcast_to(np.arange(16 * columns, x.shape[1]), (len(x), x.shape[1] - 16 * columns))
+    places = np.concatenate([(some[:, :, None] + columns * np.arange(16)).reshape(len(x), -1), rest], axis=1)
+    best = np.argpartition(-np.take_along_axis(x, places, axis=1), each - 1, axis=1)[:, :each]
+    return np.take_along_axis(places, best, axis=1)
+
+
 class Anchors:
     """Finds the nearest anchors of vectors; many anchors are grouped, and only the nearest groups are looked at."""
 
@@ -119,7 +159,8 @@ class Anchors:
         """``(rows, each)`` numbers of the nearest anchors."""
         each = min(each, len(self.centre))
         if self.groups is None:
-            return np.argpartition(-(x @ self.centre.T), each - 1, axis=1)[:, :each]
+            step = max(16, AT_ONCE // len(self.centre))
+            return np.concatenate([_largest(x[a : a + step] @ self.centre.T, each) for a in range(0, len(x), step)])
         near = np.argpartition(-(x @ self.groups.T), GROUPS_EACH - 1, axis=1)[:, :GROUPS_EACH]
         best = np.full((len(x), each), -np.inf, np.float32)
         out = np.zeros((len(x), each), np.int64)
@@ -167,18 +208,25 @@ def _matrix(units: list[bytes], width: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blob", k: int = 5, least: float = 0.8, width: int = 96, seed: int = 7, block: int = BLOCK, most_anchors: int = MOST_ANCHORS) -> DataFrame:
+def anchors_for(rows: int) -> int:
+    """How many anchors: cells of CELL_SIZE members, and larger ones when that makes more than DENSE_ANCHORS."""
+    wanted = rows * CELLS_EACH / CELL_SIZE
+    return max(16, int(wanted if wanted <= DENSE_ANCHORS else math.sqrt(wanted * DENSE_ANCHORS)))
+
+
+def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blob", k: int = 5, least: float = 0.8, width: int = 96, seed: int = 7, block: int = BLOCK, most_anchors: int = MOST_ANCHORS, collisions: bool = False) -> DataFrame:
     """``(id, other, cosine, place)``: for every usable vector its up to k most similar others with cosine >= least.
 
     Every row is a query and every row is indexed. Rows without a usable vector (null, other width, a null, infinite or
     NaN number, all zero) or without an id do not appear; a row written twice is one row; other columns are
-    ignored. Ties go to the smaller id, also among copies. No usable vector gives no rows.
+    ignored. Ties go to the smaller id, also among copies. No usable vector gives no rows. ``collisions`` looks for neighbours in a
+    cell by windows on sorted lines instead of all cosines.
     """
     spark = df.sparkSession
     units = unit_vectors(df, key, vector, width)
     classes = cut(units.groupBy("direction").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n"), F.first("unit").alias("unit")))
     rows = classes.count()
-    wanted = int(min(most_anchors, max(16, rows // ANCHOR_EVERY)))
+    wanted = min(most_anchors, anchors_for(rows))
     # a sample by hash, a little larger than wanted
     share = F.lit(int(min(1.0, 1.2 * wanted / max(rows, 1) + 0.001) * 1_000_000))
     draw = F.pmod(F.xxhash64("direction", F.lit(seed)), F.lit(1_000_000))
@@ -243,15 +291,17 @@ def similar_vectors(df: DataFrame, key: str = "id", vector: str = "embedding_blo
     def search(table):
         import pyarrow as pa
 
-        lines = shared.value[1]
+        def each_query(ids, queries, others, points):
+            return _search(ids, queries, others, points, shared.value[1], k, least) if collisions else _compare(ids, queries, others, points, k, least)
+
         ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
         x = _matrix(table.column("unit").to_pylist(), width)
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         if a == b:
-            found = _search(ids, x, ids, x, lines, k, least)
+            found = each_query(ids, x, ids, x)
         else:
             one, two = own == a, own == b
-            found = _search(ids[one], x[one], ids[two], x[two], lines, k, least) + _search(ids[two], x[two], ids[one], x[one], lines, k, least)
+            found = each_query(ids[one], x[one], ids[two], x[two]) + each_query(ids[two], x[two], ids[one], x[one])
         parts = [np.concatenate(p) for p in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
         return pa.table(parts, names=["id", "other", "cosine"])
 

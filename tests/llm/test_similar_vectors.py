@@ -95,3 +95,50 @@ def test_hot_class_of_copies(spark, monkeypatch):
     plain = {tuple(r) for r in module.similar_vectors(table(spark, rows)).collect()}
     monkeypatch.setattr(module, "HOT", 10)
     assert {tuple(r) for r in module.similar_vectors(table(spark, rows)).collect()} == plain and len(plain) == 40 * 5 + 2
+
+
+def test_neighbours_share_a_cell_among_many_anchors():
+    from tarnlight.llm import similar_vectors as module
+
+    # half a million vectors of one topic would have so many anchors around a pair
+    rng = np.random.default_rng(10)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    topic, spread = np.eye(96)[0] * 0.55, 0.835
+    near_topic = lambda x: unit(topic + spread * unit(x))
+    anchors = near_topic(rng.standard_normal((module.anchors_for(500_000), 96)))
+    one = rng.standard_normal((1500, 96))
+    a, b = near_topic(one), near_topic(one + 0.6 * rng.standard_normal(one.shape))
+    assert 0.88 < (a * b).sum(axis=1).mean() < 0.93
+    find = module.Anchors(anchors)
+    met = [bool(set(i) & set(j)) for i, j in zip(find.nearest(a, module.CELLS_EACH), find.nearest(b, module.CELLS_EACH))]
+    assert np.mean(met) >= 0.98
+
+
+def test_pairs_just_above_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    q, _ = np.linalg.qr(rng.standard_normal((96, 96)))
+    # 48 pairs at a cosine of 0.802, pairs at right angles to each other
+    rows = []
+    for n in range(48):
+        rows += [(2 * n, q[2 * n].tolist()), (2 * n + 1, (0.802 * q[2 * n] + (1 - 0.802**2) ** 0.5 * q[2 * n + 1]).tolist())]
+    assert {(r.id_a, r.id_b) for r in similar_pairs(table(spark, rows)).collect()} == {(2 * n, 2 * n + 1) for n in range(48)}
+
+
+def test_largest_numbers_through_groups():
+    from tarnlight.llm.similar_vectors import _largest
+
+    x = np.random.default_rng(12).standard_normal((50, 1003))
+    assert (np.sort(_largest(x, 6), axis=1) == np.sort(np.argsort(-x, axis=1)[:, :6], axis=1)).all()
+
+
+def test_rows_with_many_near_and_ties():
+    from tarnlight.llm.similar_vectors import _compare
+
+    x = np.zeros((200, 96), np.float32)
+    x[:, 0] = 1
+    ids = np.arange(200)[::-1].copy()
+    (got,) = _compare(ids, x, ids, x, 5, 0.8)
+    lists = {}
+    for i, o, _ in zip(*got):
+        lists.setdefault(int(i), []).append(int(o))
+    assert all(lists[i] == [o for o in range(6 if i < 5 else 5) if o != i] for i in range(200))
