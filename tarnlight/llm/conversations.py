@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.operators.components import connected_components
-from tarnlight.session import cut
+from tarnlight.session import cut, union_all
 
 # Spellings of the four roles, compared after lower-casing and removal of everything but letters.
 ROLES = {
@@ -59,21 +59,83 @@ def reports_no_answer(content: Column) -> Column:
     return F.coalesce(bare.rlike(f"^({NO_ANSWER})$"), F.lit(False))
 
 
+def tidy_session(session: Column) -> Column:
+    """A session id in lower case without surrounding white space of any kind; null and blank ids are empty."""
+    return F.coalesce(F.lower(F.regexp_replace(session, "^[\\s\\p{Z}\\p{Cf}]+|[\\s\\p{Z}\\p{Cf}]+$", "")), F.lit(""))
+
+
+def _lines(content: Column) -> Column:
+    """The lines of a text that are not blank, without white space around them and between leading quotation marks."""
+    bare = F.transform(F.split(content, "\\r\\n|[\\n\\r\\u0085\\u2028\\u2029]"), lambda x: F.regexp_replace(x, "^[\\s\\p{Z}\\p{Cf}]+|[\\s\\p{Z}\\p{Cf}]+$", ""))
+    joined = F.transform(bare, lambda x: F.concat(F.regexp_replace(F.regexp_extract(x, "^[>\\s\\p{Z}]*", 0), "[\\s\\p{Z}]", ""), F.regexp_replace(x, "^[>\\s\\p{Z}]*", "")))
+    return F.filter(joined, lambda x: x != "")
+
+
+def _mark(lines: Column) -> Column:
+    return F.sha2(F.array_join(lines, "\n"), 256)
+
+
 def threads_without_id(messages: DataFrame, reply_to: str | None = None) -> DataFrame:
     """``(id, thread)`` of the messages whose session id is null or blank.
 
-    Links are ``reply_to`` (a message id, if the table has that column) and quotations: a message whose first line
-    is ``> some text`` is linked to the message without id whose first line is that text, if there is only one; a line with which
-    several begin tells nothing. Threads are the connected components, named by their smallest id; a message without any link is a thread of its own.
+    Links are ``reply_to`` (a message id, if the table has that column) and quotations: a message that begins with ``> some text``
+    is linked to the message without id that opens with that line. If several open with it, the whole quotation decides, whatever its
+    number of lines; if it fits several still, it links when all of these are of one thread already, and else tells nothing. Where no message
+    opens with the line, those count whose own text opens with it after a quotation. A quotation may itself be quoted. Messages of
+    equal role, content and time (if the table has these columns) are one message sent again, and are linked.
+    Threads are the connected components, named by their smallest id; a message without any link is a thread of its own.
     """
-    lone = messages.where(F.coalesce(F.trim("session_id"), F.lit("")) == "").select("id", "content", *([reply_to] if reply_to else []))
-    first_line = F.regexp_extract(F.col("content"), "^\\s*([^\\n]*\\S)", 1)
-    quoted = F.regexp_extract(F.col("content"), "^\\s*>\\s*([^\\n]*\\S)", 1)
-    origins = lone.where(~first_line.startswith(">") & (first_line != "")).groupBy(F.sha2(first_line, 256).alias("h")).agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v = w").drop("w")
-    links = lone.where(quoted != "").select(F.col("id").alias("u"), F.sha2(quoted, 256).alias("h")).join(origins, "h").select("u", "v")
+    timed = {"role", "created_at"} <= set(messages.columns)
+    lone = messages.where(tidy_session(F.col("session_id")) == "").select("id", "content", *(["role", "created_at"] if timed else []), *([reply_to] if reply_to else []))
+    links = lone.select(F.col("id").alias("u"), F.col("id").alias("v")).where("false")
+    heads = lone.select("id", "content", F.col("id").alias("head"))
+    if timed:
+        said = lone.select("id", "content", clean_role(F.col("role")).alias("role"), "created_at", F.md5("content").alias("body"))
+        copies = said.where(~is_blank(F.col("content"))).groupBy("body", "role", "created_at").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
+        heads = said.join(copies, ["body", "role", "created_at"], "left").select("id", "content", F.coalesce("first", "id").alias("head"))
+        links = links.union(heads.where("id <> head").select("id", "head"))
     if reply_to:
         links = links.union(lone.where(F.col(reply_to).isNotNull()).select("id", F.col(reply_to).cast("long")))
-    found = connected_components(links, "u", "v").withColumnsRenamed({"node": "id", "component": "root"})
+
+    lined = heads.select("id", "head", _lines(F.col("content")).alias("lines"))
+    plain = F.array_position(F.transform("lines", lambda x: x.startswith(">")), F.lit(False))
+    parted = lined.where(F.size("lines") > 0).withColumn("k", F.when(plain == 0, F.size("lines")).otherwise(plain.cast("int") - 1))
+    parted = parted.withColumn("quote", F.filter(F.transform(F.expr("slice(lines, 1, k)"), lambda x: F.substring(x, 2, 2**31 - 1)), lambda x: x != "")).withColumn("own", F.expr("slice(lines, k + 1, size(lines))"))
+    parted = cut(parted.select("id", "head", "lines", "k", "quote", "own"))
+    quotes = parted.where(F.size("quote") > 0).select(F.col("id").alias("u"), "head", _mark(F.expr("slice(quote, 1, 1)")).alias("h"), F.size("quote").alias("n"), _mark(F.col("quote")).alias("whole"))
+    openers = parted.select(F.col("head").alias("v"), F.col("lines").alias("text"))
+    after = parted.where((F.col("k") > 0) & (F.size("own") > 0)).select(F.col("head").alias("v"), F.col("own").alias("text"))
+    first = F.expr("slice(text, 1, 1)")
+    opened = openers.select(_mark(first).alias("h")).distinct()
+    quotes = {0: quotes.join(opened, "h", "left_semi"), 1: quotes.join(opened, "h", "left_anti")}
+    unclear = []
+    for level, texts in enumerate((openers, after)):
+        # only texts that open with a quoted line, each cut to the lengths of the quotations of that line
+        asked = quotes[level].select("h", "n").distinct()
+        fit = cut(texts.withColumn("h", _mark(first)).join(asked.union(asked.select("h", F.lit(1))).distinct(), "h").where("size(text) >= n").select("v", "n", _mark(F.expr("slice(text, 1, n)")).alias("whole")).distinct())
+        known = fit.groupBy("n", "whole").agg(F.min("v").alias("v"), F.max("v").alias("w"), F.count("*").alias("several"))
+        other = F.when(F.col("v") == F.col("w"), F.col("v")).when((F.col("several") == 2) & (F.col("head") == F.col("v")), F.col("w")).when((F.col("several") == 2) & (F.col("head") == F.col("w")), F.col("v"))
+        by_line = quotes[level].join(known.where("n = 1").select(F.col("whole").alias("h"), "v", "w", "several"), "h").withColumn("other", other)
+        links = links.union(by_line.where("other is not null").select("u", "other"))
+        by_whole = by_line.where("other is null").select("u", "head", "h", "n", "whole").join(known, ["n", "whole"], "left").withColumn("other", other)
+        links = links.union(by_whole.where("other is not null").select("u", "other"))
+        # what fits several: by the whole quotation, or by its first line if nothing goes on like it
+        held = F.col("v").isNotNull()
+        open_ = by_whole.where("other is null").select("u", F.when(held, F.col("n")).otherwise(1).alias("n"), F.when(held, F.col("whole")).otherwise(F.col("h")).alias("whole"))
+        unclear.append((open_.withColumn("level", F.lit(level)), fit.select("v", "n", "whole", F.lit(level).alias("level"))))
+    links = cut(links)
+    waiting, fit = cut(union_all([a for a, _ in unclear])), union_all([b for _, b in unclear])
+    while True:
+        found = connected_components(links, "u", "v").withColumnsRenamed({"node": "id", "component": "root"})
+        if waiting.isEmpty():
+            break
+        found = cut(found)
+        rooted = fit.join(found.withColumnRenamed("id", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+        agreed = rooted.groupBy("level", "n", "whole").agg(F.min("root").alias("root"), F.max("root").alias("most")).where("root = most")
+        more = cut(waiting.join(agreed, ["level", "n", "whole"]).select("u", F.col("root").alias("v")))
+        if more.isEmpty():
+            break
+        links, waiting = cut(links.union(more)), cut(waiting.join(more.select("u").distinct(), "u", "left_anti"))
     return lone.select("id").distinct().join(found, "id", "left").select("id", F.concat(F.lit("thread-"), F.coalesce("root", "id").cast("string")).alias("thread"))
 
 
@@ -88,8 +150,8 @@ def rebuild_conversations(messages: DataFrame, reply_to: str | None = None) -> D
     or assistant message is not the user's, if a user message is not directly followed by an assistant message, or if it has no user
     message. Turns count from 1 by time, then id. An empty table gives no rows; equal times are broken by id.
     """
-    tidy = F.lower(F.regexp_replace(F.col("session_id"), "^[\\s\\p{Z}\\p{Cf}]+|[\\s\\p{Z}\\p{Cf}]+$", ""))
-    nameless = messages.where(F.coalesce(F.trim("session_id"), F.lit("")) == "")
+    tidy = tidy_session(F.col("session_id"))
+    nameless = messages.where(tidy == "")
     rows = messages.select("id", tidy.alias("session_id"), "role", "content", "created_at")
     if not nameless.isEmpty():
         threads = threads_without_id(messages, reply_to)

@@ -62,3 +62,37 @@ def test_a_line_that_several_messages_open_with_links_nothing(spark):
     rows = [(1, None, "Thanks\nfor one"), (2, " ", "Thanks\nfor two"), (3, None, "> Thanks\nyou are welcome"), (4, None, "The harbour map"), (5, None, "> The harbour map\nis on the table")]
     got = {r.id: r.thread for r in threads_without_id(spark.createDataFrame(rows, "id long, session_id string, content string")).collect()}
     assert got == {1: "thread-1", 2: "thread-2", 3: "thread-3", 4: "thread-4", 5: "thread-4"}
+
+
+def threads(spark, texts):
+    return {r.id: r.thread for r in threads_without_id(spark.createDataFrame([(i, None, c) for i, c in texts], "id long, session_id string, content string")).collect()}
+
+
+def test_a_quotation_of_several_lines_tells_which_message(spark):
+    rows = [(1, "Thanks\nfor one"), (2, "Thanks\r\n\r\nfor two\nand more"), (3, "> Thanks\n> for two\nyou are welcome"), (4, "> Thanks\nwhich?"), (5, "> Thanks\n> for three\nwhich?")]
+    assert threads(spark, rows) == {1: "thread-1", 2: "thread-2", 3: "thread-2", 4: "thread-4", 5: "thread-5"}
+
+
+def test_an_answer_that_begins_with_a_quotation_is_quoted_in_turn(spark):
+    rows = [(1, "first question"), (2, "> first question\nan answer"), (3, "> an answer\nanother question"), (4, "> > first question\n> an answer\nI doubt it"), (5, "> another question\nanother question")]
+    assert set(threads(spark, rows).values()) == {"thread-1"}
+
+
+def test_what_fits_several_messages_of_one_thread_belongs_to_it(spark):
+    rows = [(1, "Yes\nit is"), (2, "> Yes\n> it is\nagreed"), (3, "Yes\nof course\nquite"), (4, "> agreed\n> > Yes\nno")]
+    rows += [(10, "the harbour map"), (11, "> the harbour map\nwell\nfirst"), (12, "> the harbour map\nwell\nsecond"), (13, "> well\nwhat?")]
+    got = threads(spark, rows)
+    assert {got[n] for n in (10, 11, 12, 13)} == {"thread-10"} and got[2] == "thread-1" and got[3] == "thread-3" and got[4] == "thread-1"
+
+
+def test_a_message_sent_again_is_one_message(spark):
+    rows = [(1, None, "user", "first question", 1), (2, None, "Human", "first question", 1), (3, None, "assistant", "> first question\nan answer", 2), (4, None, "user", "first question again", 1), (5, None, "user", "first question again", 9), (6, None, "assistant", "> first question again\nyes", 10)]
+    got = {r.id: r.thread for r in threads_without_id(table(spark, rows)).collect()}
+    assert got == {1: "thread-1", 2: "thread-1", 3: "thread-1", 4: "thread-4", 5: "thread-5", 6: "thread-6"}
+    assert kept(spark, rows[:3]) == {"thread-1": [(1, 1), (2, 3)]}
+
+
+def test_session_ids_of_other_white_space_are_none(spark):
+    rows = [(1, "\t", "user", "first question", 1), (2, " ", "assistant", "> first question\nan answer", 2), (3, None, "user", "alone", 3)]
+    assert kept(spark, rows) == {"thread-1": [(1, 1), (2, 2)]}
+    assert kept(spark, rows[:2]) == {"thread-1": [(1, 1), (2, 2)]}
